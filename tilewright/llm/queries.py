@@ -20,6 +20,12 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.order_minhash import order_minhash
+
+    return order_minhash(table(spark, sf_dir, "documents"))
+
+
 def op8_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,10 +44,18 @@ def op9_piece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
+    "op6_order_minhash": op6_order_minhash,
     "op8_orc_token_files": op8_orc_token_files,
     "op9_piece_encode_decode": op9_piece_encode_decode,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
