@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tilewright.session import shared_dir
 
@@ -14,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.language import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = train(docs.filter(~held_out))
+    docs = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    return identify(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.minhash import near_duplicates
 
@@ -51,6 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_kneser_ney_language": op2_kneser_ney_language,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
     "op6_order_minhash": op6_order_minhash,
     "op8_orc_token_files": op8_orc_token_files,
