@@ -25,6 +25,21 @@ def op2_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
 
 
+def op3_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.quality import score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = train(docs, labels.filter(~held_out))
+    return score(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), model, ["doc_id", "held_out"])
+
+
+def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.minhash import near_duplicates
 
@@ -63,6 +78,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kneser_ney_language": op2_kneser_ney_language,
+    "op3_pairwise_quality": op3_pairwise_quality,
+    "op4_qgram_decontamination": op4_qgram_decontamination,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
     "op6_order_minhash": op6_order_minhash,
     "op8_orc_token_files": op8_orc_token_files,
