@@ -15,6 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has plain turns, so each user turn is read as a call, the turn after it as its result if an assistant speaks there, and each call needs the call two turns before."""
+    from tilewright.llm.tool_calls import link_calls
+
+    talk = table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null")
+    call_id = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("/"), turn.cast("string"))
+    text = F.coalesce("text", F.lit(""))
+    asked = F.struct(F.col("turn").alias("turn"), F.regexp_extract(text, "[A-Za-z]+", 0).alias("first"), F.length(text).alias("chars"))
+    calls = talk.filter("role = 'user'").select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.when(text.contains("?"), "ask").otherwise("tell").alias("name"), F.to_json(asked).alias("arguments"))
+    results = talk.filter("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn")
+    needs = calls.filter("turn >= 2").select("conv_id", "call_id", call_id(F.col("turn") - 2).alias("needs"))
+    tell = {"type": "object", "required": ["turn", "first", "chars"], "additionalProperties": False, "properties": {"turn": {"type": "integer", "minimum": 0}, "first": {"type": "string", "minLength": 2}, "chars": {"type": "integer", "maximum": 300}}}
+    return link_calls(calls, results, needs, {"tell": tell})
+
+
 def op2_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.language import identify, train
 
@@ -52,6 +67,14 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash(table(spark, sf_dir, "documents"))
 
 
+def op7_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tilewright.llm.word_pieces import count_pieces
+
+    return count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,17 +100,39 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_kneser_ney_language": op2_kneser_ney_language,
     "op3_pairwise_quality": op3_pairwise_quality,
     "op4_qgram_decontamination": op4_qgram_decontamination,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
     "op6_order_minhash": op6_order_minhash,
+    "op7_word_piece_counts": op7_word_piece_counts,
     "op8_orc_token_files": op8_orc_token_files,
     "op9_piece_encode_decode": op9_piece_encode_decode,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_tool_calls": r"""
+with recursive talk as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null
+), calls as (
+  select conv_id, turn, call_id, s.name as name, s.first as first, s.chars as chars from (
+    select conv_id, turn, conv_id || '/' || turn as call_id, min(struct_pack(
+      name := case when contains(text, '?') then 'ask' else 'tell' end, first := regexp_extract(text, '[A-Za-z]+'), chars := length(text))) as s
+    from talk where role = 'user' group by all)
+), answers as (
+  select conv_id, turn - 1 as turn, min(turn) as result_turn, count(*) as n_results from talk where role = 'assistant' group by conv_id, turn
+), depth as (
+  select c.conv_id, c.turn, 0 as level from calls c where not exists (select 1 from calls p where p.conv_id = c.conv_id and p.turn = c.turn - 2)
+  union all select c.conv_id, c.turn, d.level + 1 from depth d join calls c on c.conv_id = d.conv_id and c.turn = d.turn + 2
+), judged as (
+  select *, case when name <> 'tell' then 'unknown tool' else concat_ws('; ', case when chars > 300 then '$.chars: range' end, case when length(first) < 2 then '$.first: length' end, case when turn < 0 then '$.turn: range' end) end as problems from calls
+)
+select conv_id, call_id, j.turn, name, level, n_results is not null as linked, result_turn, coalesce(n_results, 0) as n_results,
+  '{"chars":' || chars || ',"first":"' || first || '","turn":' || j.turn || '}' as arguments, problems = '' as valid, problems
+from judged j join depth using (conv_id, turn) left join answers using (conv_id, turn)
+""",
     "op5_minhash_near_duplicates": r"""
 with recursive word as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
