@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def extension(name: Column) -> Column:
@@ -52,7 +53,7 @@ def host_allowed(host: Column, allowed: list[str]) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def percent_decoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """%XX as bytes of UTF-8; a bad escape stays as it is, and so does a plus. Bytes that aren't UTF-8 become U+FFFD."""
     import re
