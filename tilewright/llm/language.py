@@ -74,6 +74,8 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(3):
         stays[starts + k] = True
     stays[starts + 3] = ~space[starts + 3]
+    if len(texts):  # a text without letters keeps the space that ends it
+        stays[ends[np.add.reduceat(stays, starts, dtype=np.int64) == 3] - 1] = True
     kept = np.concatenate(([0], np.cumsum(stays)))
     has = np.add.reduceat(letter, starts, dtype=np.int64) > 0 if len(texts) else np.zeros(0, bool)
     return chars[stays], np.concatenate(([0], kept[ends])), has
