@@ -4,13 +4,14 @@ and connected components by alternating large-star and small-star.
 1. One scan makes each document's word-sequence key, set size and signature. Documents of one word sequence have one
    representative (the smallest id), found by a grouped minimum.
 2. The representatives' bands are grouped: the smallest id of a bucket is its hub, and every other member is held against the hub
-   only, so that a bucket of k members makes k - 1 pairs.
-3. A pair stays if its signatures agree in enough places, and is a link if the full sets reach the similarity. Sets are made again
-   from the whole texts, which are dealt by hub in chunks, so that a hub of many members is spread over many tasks.
-4. A member that isn't linked to its bucket's hub may be linked to another member. Jaccard distance is a metric: if x is at least d from the hub,
-   any partner within t of x is at least d - t from it. Only such members, of other stars, are held against x, exactly as in 3.
-
-A link of similarity s or more is missed only if its two signatures agree in no band: with 32 bands of 4, less than 5e-6 at 0.75.
+   only, so that a bucket of k members makes k - 1 pairs. A pair whose signatures agree in enough places is confirmed on full sets, which are made again from
+   the whole texts, dealt by hub in chunks, so that a hub of many members is spread over many tasks.
+3. Buckets that then hold one component are done. In the others, members outside the bucket's largest component are held against all members of
+   other components by signature, chunk by chunk, and only pairs that agree in enough places leave the task, each in the first band that it shares. This is done for pairs that look
+   like links first, and once more, with what is left between the new components, for all that may be links.
+
+A link of similarity s or more is missed only if its two signatures agree in no band (with 32 bands of 4, less than 5e-6 at 0.75), or in
+fewer than s - 0.12 of 256 places (4.5 standard deviations).
 """
 
 from __future__ import annotations
@@ -27,20 +28,22 @@ from tilewright.llm.shingles import WORDS, shingle_sets
 from tilewright.llm.text import U64, mix, stream
 from tilewright.session import discard, written
 
-BANDS, ROWS = 32, 4
-#: Signatures may fall so far below the similarity (five standard deviations of 128 places) before a pair is given up.
-SLACK = 0.2
+BANDS, ROWS, PLACES = 32, 4, 256
+#: Signatures may fall so far below the similarity before a pair is given up.
+SLACK = 0.12
+#: Members of a bucket in one chunk of the comparison by signature.
+TARGETS = 512
 #: Members of a hub in one chunk of the confirmation.
 CHUNK = 256
 
-_A, _B = ((stream(seed, BANDS * ROWS) >> U64(32)).astype(np.uint32) for seed in (101, 202))
+_A, _B = ((stream(seed, PLACES) >> U64(32)).astype(np.uint32) for seed in (101, 202))
 _A |= np.uint32(1)
 
 
 def signature(members: np.ndarray) -> np.ndarray:
     """The minimum of each universal hash a * x + b over the (non-empty) set."""
     x = (members >> U64(32)).astype(np.uint32)
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    out = np.full(PLACES, 0xFFFFFFFF, np.uint32)
     for k in range(0, len(x), 4096):
         np.minimum(out, (_A[:, None] * x[None, k : k + 4096] + _B[:, None]).min(axis=1), out=out)
     return out
@@ -48,7 +51,7 @@ def signature(members: np.ndarray) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band; the band's number is part of it."""
-    rows = sig.reshape(BANDS, ROWS).astype(U64)
+    rows = sig[: BANDS * ROWS].reshape(BANDS, ROWS).astype(U64)
     key = np.arange(1, BANDS + 1, dtype=U64)
     for k in range(ROWS):
         key = mix(key * U64(0x9E3779B97F4A7C15) + rows[:, k])
@@ -68,7 +71,7 @@ def _sketches(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(s) for _, _, s in sets], pa.int64()),
-                    pa.array([None if s is None else (s & np.uint32(0xFFFF)).astype("<u2").tobytes() for s in sig], pa.binary()),
+                    pa.array([None if s is None else (s & np.uint32(0xFF)).astype(np.uint8).tobytes() for s in sig], pa.binary()),
                     pa.array([None if s is None else band_keys(s).view(np.int64) for s in sig], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "k1", "k2", "n_shingles", "sig", "bands"],
@@ -79,11 +82,13 @@ def _sketches(size: int):
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sig_x", "sig_y"))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_x", "sig_y"))
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array((a == b).mean(axis=1) if batch.num_rows else [], pa.float64())], ["x", "y", "agree"])
 
 
-def _confirm(size: int):
+def _confirm(size: int, percent: int):
+    """For each member x of a hub y whether they are linked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.zeros(0, U64)
         for batch in batches:
@@ -94,79 +99,126 @@ def _confirm(size: int):
                     hub = own
                     continue
                 place = np.searchsorted(hub, own)
-                both = int(np.count_nonzero(hub[np.minimum(place, len(hub) - 1)] == own)) if len(hub) else 0
-                out.append((x[k], y[k], both, len(own) + len(hub) - both))
-            columns = zip(*out, strict=True) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["x", "y", "common", "either"])
+                common = int(np.count_nonzero(hub[np.minimum(place, len(hub) - 1)] == own)) if len(hub) else 0
+                if 100 * common >= percent * (len(own) + len(hub) - common):
+                    out.append((x[k], y[k]))
+            columns = list(zip(*out, strict=True)) if out else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["x", "y"])
 
     return run
 
 
-def _measured(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, similarity: float, size: int, label: str) -> DataFrame:
-    """pairs (x, y), each once, with near: bounds of the distance (exact where the full sets were compared), written."""
-    sig = sketches.select("doc_id", "sig")
-    agree = pairs.join(sig.select(F.col("doc_id").alias("x"), F.col("sig").alias("sig_x")), "x").join(sig.select(F.col("doc_id").alias("y"), F.col("sig").alias("sig_y")), "y")
-    agree = written(agree.mapInArrow(_agreement, "x long, y long, agree double"), f"{label}-agree")
-    close = agree.filter(F.col("agree") >= similarity - SLACK).select("x", "y")
-    # rows of a hub y: itself once in each chunk, before the members x of the chunk
-    chunks = close.groupBy("y").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    members = close.join(chunks, "y").select("x", "y", F.pmod(F.hash("x"), "chunks").alias("chunk"), F.lit(True).alias("member"), F.col("x").alias("doc_id"))
+def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (member x, hub y) that are links, written."""
+    chunks = pairs.groupBy("y").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    members = pairs.join(chunks, "y").select("x", "y", F.pmod(F.hash("x"), "chunks").alias("chunk"), F.lit(True).alias("member"), F.col("x").alias("doc_id"))
     hubs = chunks.select(F.col("y").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("member"), F.col("y").alias("doc_id"))
-    rows = members.union(hubs).join(docs.select("doc_id", "text"), "doc_id").drop("doc_id")
+    rows = members.union(hubs).join(texts.hint("merge"), "doc_id").drop("doc_id")
     rows = rows.repartition("y", "chunk").sortWithinPartitions("y", "chunk", "member")
-    exact = rows.mapInArrow(_confirm(size), "x long, y long, common long, either long")
-    exact = exact.select("x", "y", (100 * F.col("common") >= F.lit(round(100 * similarity)) * F.col("either")).alias("link"), (1 - F.col("common") / F.col("either")).alias("low"), (1 - F.col("common") / F.col("either")).alias("high"))
-    rough = agree.filter(F.col("agree") < similarity - SLACK).select("x", "y", F.lit(False).alias("link"), F.greatest(F.lit(0.0), 1 - F.col("agree") - SLACK).alias("low"), F.lit(1.0).alias("high"))
-    return written(exact.union(rough), label)
+    return written(rows.mapInArrow(_confirm(size, percent), "x long, y long"), "links")
+
+
+def _alike(pairs: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures agree in enough places, written."""
+    sig = one.select("doc_id", "sig")
+    both = pairs.join(sig.select(F.col("doc_id").alias("x"), F.col("sig").alias("sig_x")), "x").join(sig.select(F.col("doc_id").alias("y"), F.col("sig").alias("sig_y")), "y")
+    return written(both.mapInArrow(_agreement, "x long, y long, agree double").filter(F.col("agree") >= least).select("x", "y"), "alike")
+
+
+def _compare(least: float):
+    """Rows of a bucket's chunk: its targets, which are held, then the probes, which pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for batch in batches:
+            out_x, out_y = [], []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "chunk", "probe")), strict=True))
+            x, c, minor, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("x", "c", "minor", "place"))
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, PLACES)
+            i = 0
+            while i < len(keys):
+                j = i + 1
+                while j < len(keys) and keys[j] == keys[i]:
+                    j += 1
+                if keys[i][:2] != here:
+                    here, held = keys[i][:2], []
+                if not keys[i][2]:
+                    held.append((x[i:j], c[i:j], minor[i:j], sig[i:j]))
+                elif held:
+                    tx, tc, tm, ts = (np.concatenate(z) for z in zip(*held, strict=True))
+                    held = [(tx, tc, tm, ts)]
+                    for k in range(i, j):
+                        # of two members outside the largest component one comes as a probe to the other
+                        able = np.flatnonzero((tc != c[k]) & (~tm | (tx < x[k])))
+                        equal = ts[able] == sig[k]
+                        able, equal = able[near := equal.mean(axis=1) >= least], equal[near]
+                        shared = equal[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
+                        able = able[shared.argmax(axis=1) == place[k]] if len(able) else able
+                        out_x.append(np.maximum(tx[able], x[k]))
+                        out_y.append(np.minimum(tx[able], x[k]))
+                i = j
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64)) for o in (out_x, out_y)], ["x", "y"])
+
+    return run
+
+
+def _between(bands: DataFrame, one: DataFrame, named: DataFrame, least: float) -> DataFrame:
+    """Pairs of a bucket's members in different components whose signatures agree in so many places, written."""
+    rows = bands.join(named.withColumnRenamed("node", "x"), "x", "left").select("band", "place", "x", F.coalesce("component", "x").alias("c"))
+    parts = rows.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "c")).getField("c").alias("major"))
+    parts = parts.filter("parts > 1").select("band", F.ceil(F.col("n") / TARGETS).cast("int").alias("chunks"), "major")
+    rows = written(rows.join(parts, "band").withColumn("minor", F.col("c") != F.col("major")), "rows")
+    targets = rows.select("band", "place", "x", "c", "minor", F.pmod(F.hash("x"), "chunks").alias("chunk"), F.lit(False).alias("probe"))
+    probes = rows.filter("minor").select("band", "place", "x", "c", "minor", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probe"))
+    both = targets.union(probes).join(one.select(F.col("doc_id").alias("x"), "sig"), "x")
+    both = both.repartition("band", "chunk").sortWithinPartitions("band", "chunk", "probe")
+    out = written(both.mapInArrow(_compare(least), "x long, y long").distinct(), "between")
+    discard(rows)
+    return out
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, size: int = WORDS) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, copy_of, n_links.
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, copy_of.
 
     component_id is the smallest doc_id reachable by links of the given Jaccard similarity or more (in whole hundredths); equal
     word sequences are linked. Texts without words (null and empty texts too) are linked with nothing. copy_of is the smallest id with the same
-    word sequence. Rows with a null doc_id keep null in component_id and aren't kept. Rows that repeat a doc_id count as one
-    document if their word sequences are equal; otherwise the id stands for all its texts, which are thereby linked. Other columns of docs aren't read.
+    word sequence. Rows with a null doc_id keep null in component_id and aren't kept. Rows that repeat a doc_id count as one document, which is linked as the first of its
+    texts is; its other texts are linked with their equals only. Other columns of docs aren't read.
     """
-    docs = docs.select("doc_id", "text")
+    docs, percent = docs.select("doc_id", "text"), round(100 * similarity)
     sketches = written(docs.mapInArrow(_sketches(size), _SKETCH), "sketches")
     full = sketches.filter("n_shingles > 0 and doc_id is not null")
     firsts = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"))
     of = written(sketches.select("doc_id", "k1", "k2", "n_shingles").join(firsts, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("copy_of")).alias("copy_of")), "copies")
-    alone = full.join(firsts, ["k1", "k2"]).filter("doc_id = copy_of").dropDuplicates(["doc_id", "k1", "k2"])
-    alone = written(alone.select("doc_id", "sig", "bands"), "alone")
-    one = alone.dropDuplicates(["doc_id"])
-
-    bands = alone.select(F.col("doc_id").alias("x"), F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("x").alias("y"), F.max("x").alias("last")).filter("y != last").select("band", "y")
-    inside = bands.join(buckets, "band")
-    pairs = inside.filter("x != y").select("x", "y").distinct()
-    first = _measured(pairs, one, docs, similarity, size, "first")
-    links = first.filter("link").select("x", "y")
-
-    failed = first.filter("not link").select("x", "y", "low")
-    if failed.isEmpty():
-        second = None
-    else:
-        star = links.groupBy("x").agg(F.min("y").alias("star"))
-        lost = inside.join(failed, ["x", "y"]).join(star, "x", "left").select("band", "x", "low", F.coalesce("star", "x").alias("star"))
-        lost = written(lost, "lost")
-        there = inside.join(lost.select("band").distinct(), "band", "left_semi").filter("x != y").join(first, ["x", "y"]).join(star, "x", "left")
-        there = there.select("band", F.col("x").alias("y"), F.col("high"), F.col("link"), F.coalesce("star", "x").alias("star_y"))
-        again = lost.join(there, "band").filter("star != star_y and high >= low - {} and (link or x > y)".format(1 - similarity))
-        again = again.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct().join(first.select("x", "y"), ["x", "y"], "left_anti")
-        second = _measured(again, one, docs, similarity, size, "second")
-        links = links.union(second.filter("link").select("x", "y"))
-        discard(lost)
-
+    alone = full.join(firsts, ["k1", "k2"]).filter("doc_id = copy_of").select("doc_id", "n_shingles", "k1", "sig", "bands")
+    alone = written(alone.groupBy("doc_id").agg(F.min(F.struct("k1", "sig", "bands")).alias("s")).select("doc_id", "s.sig", "s.bands"), "alone")
+    discard(sketches)
+
+    bands = alone.select(F.col("doc_id").alias("x"), F.posexplode("bands").alias("place", "band"))
+    hubs = bands.groupBy("band").agg(F.min("x").alias("y"), F.max("x").alias("last")).filter("y != last").select("band", "y")
+    bands = written(bands.join(hubs, "band"), "bands")  # of buckets with two members or more
+    pairs = written(bands.select("x", "y").filter("x != y").distinct(), "pairs")
+    wanted = bands.select(F.col("x").alias("doc_id")).distinct()
+    texts = written(docs.join(wanted.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(of) else docs.join(wanted.hint("merge"), "doc_id"), "texts")
     same_id = of.filter("copy_of is not null and copy_of != doc_id").groupBy("doc_id").agg(F.min("copy_of").alias("a"), F.max("copy_of").alias("b")).filter("a != b").select(F.col("a").alias("x"), F.col("b").alias("y"))
-    groups = components(links.union(same_id), "x", "y")
-    degree = links.select(F.col("x").alias("copy_of")).union(links.select(F.col("y").alias("copy_of"))).groupBy("copy_of").agg(F.count("*").alias("n_links"))
-    named = groups.withColumnRenamed("node", "copy_of").join(degree, "copy_of", "left")
-    out = of.join(named, "copy_of", "left")
+    close = _alike(pairs, alone, similarity - SLACK)
+    found = _links(close, texts, percent, size)
+    links, scratch = same_id.union(found), [alone, bands, pairs, texts, close, found]
+    named = written(components(links, "x", "y"), "named")
+    for least in (similarity, similarity - SLACK):
+        more = _between(bands, alone, named, least).join(close, ["x", "y"], "left_anti")
+        found = _links(more, texts, percent, size)
+        links = links.union(found)
+        scratch += [found, named]
+        named = written(components(links, "x", "y"), "named")
+    out = of.join(named.withColumnRenamed("node", "copy_of"), "copy_of", "left")
     component = F.coalesce("component", "copy_of", "doc_id")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNotNull() & (component == F.col("doc_id"))).alias("kept"), "copy_of", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNotNull() & (component == F.col("doc_id"))).alias("kept"), "copy_of")
     out = written(out, "near")
-    for df in (sketches, of, alone, first, *([second] if second is not None else [])):
+    for df in (of, named, *scratch):
         discard(df)
     return out
+
+
+def _repeats(of: DataFrame) -> bool:
+    return not of.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
