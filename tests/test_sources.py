@@ -46,3 +46,31 @@ def test_options(spark, tmp_path):
     assert sorted((r["section"], r["key"], r["value"]) for r in rows.collect()) == [("", "x", "0"), ("one", "k", "v"), ("three", "q", ""), ("two", "a", "b=c")]
     registered = spark.createDataFrame([("one", "k", "new"), ("four", "z", "1")], "section string, key string, value string")
     assert sorted((r["section"], r["value"]) for r in ini.merged(rows, registered).collect()) == [("", "0"), ("four", "1"), ("one", "new"), ("three", ""), ("two", "b=c")]
+
+
+def element(tag, vr, value):
+    import struct
+
+    from tilewright.sources.dicom import LONG_VR
+
+    value += b" " * (len(value) % 2)
+    head = struct.pack("<HH", tag >> 16, tag & 0xFFFF) + vr.encode()
+    return head + (struct.pack("<HI", 0, len(value)) if vr in LONG_VR else struct.pack("<H", len(value))) + value
+
+
+def test_dicom_elements(spark, tmp_path):
+    import struct
+
+    from tilewright.sources import dicom
+
+    item = struct.pack("<HHI", 0xFFFE, 0xE000, 0xFFFFFFFF) + element(0x00080100, "SH", b"A1") + struct.pack("<HHI", 0xFFFE, 0xE00D, 0)
+    sequence = struct.pack("<HH", 0x0040, 0x0555) + b"SQ" + struct.pack("<HI", 0, 0xFFFFFFFF) + item + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+    body = element(0x00080008, "CS", rb"ORIGINAL\PRIMARY\VOLUME\NONE") + element(0x00280010, "US", struct.pack("<H", 256)) + element(0x00280011, "US", struct.pack("<H", 512)) + sequence + element(0x00480006, "UL", struct.pack("<I", 5000))
+    whole = bytes(128) + b"DICM" + element(0x00020010, "UI", b"1.2.840.10008.1.2.1") + body
+    (tmp_path / "a.dcm").write_bytes(whole)
+    (tmp_path / "b.dcm").write_bytes(b"x")
+    rows = dicom.read_elements(spark, str(tmp_path))
+    got = {(r["parent"], r["tag"]): r["value"] or r["numbers"] for r in rows.collect() if r["tag"]}
+    assert got["", "00020010"] == "1.2.840.10008.1.2.1" and got["00400555[0]", "00080100"] == "A1" and got["", "00280010"] == [256.0]
+    one = dicom.instances(rows).collect()
+    assert [(r["flavor"], r["columns"], r["tile_width"], r["tile_height"]) for r in one] == [("VOLUME", 5000, 512, 256)]
