@@ -19,7 +19,7 @@ from tilewright.llm.ordered import range_bounds, range_number
 from tilewright.llm.text import U64, mix, stream
 
 #: Length of k-mers, elements in a tuple, hash functions (places of a fingerprint).
-K, TUPLE, PLACES = 5, 2, 32
+K, TUPLE, PLACES = 5, 2, 64
 #: Rows in one range of ids.
 RANGE_ROWS = 4096
 
