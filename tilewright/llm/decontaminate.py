@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tilewright.llm.text import U64, mix, ranges, sliced, utf8
 from tilewright.session import written
 
-#: Length of q-grams (at most 16 bytes), and edits allowed as a share of an item's length.
-Q, ERRORS = 12, 0.05
+#: Length of q-grams (9 to 16 bytes), and edits allowed as a share of an item's length.
+Q, ERRORS = 9, 0.08
 #: Normalised bytes of items in a block.
 BLOCK_BYTES = 4 << 20
 #: Items of fewer normalised bytes say nothing about a document, and are never searched.
@@ -59,7 +59,8 @@ def qgrams(data: np.ndarray) -> np.ndarray:
     wide = data.astype(U64)
     two = wide[:-1] << U64(8) | wide[1:]
     four = two[:-2] << U64(16) | two[2:]
-    return mix((four[:n] << U64(32) | four[4 : n + 4]) * U64(0x9E3779B97F4A7C15) + four[8 : n + 8])
+    eight = four[:-4] << U64(32) | four[4:]
+    return mix(eight[:n] * U64(0x9E3779B97F4A7C15) + (eight[Q - 8 : n + Q - 8] & U64((1 << 8 * (Q - 8)) - 1)))
 
 
 def budget(n: int) -> int:
