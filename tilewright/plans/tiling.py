@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.operators import pyramid as P
-from tilewright.operators import rings
+from tilewright.operators import regions, rings
 from tilewright.plans import views as V
 from tilewright.plans.registry import query
 
@@ -180,3 +180,12 @@ def best_level(spark, d):
 def level_of_detail(spark, d):
     b = rings.bounds(V.vertices(spark, d), "ann_id")
     return b.select("ann_id", F.when(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 5 < 2, "point").when(F.col("n") < 3, "line").otherwise("fill").alias("detail"))
+
+
+@query(V.sql("vtx", "tile", "req", then=""", cam as (select event_id as region_id, cam_x - 6 as x0, cam_x + 6 as x1, cam_y - 9 as y0, cam_y + 9 as y1 from req where event_id % 50 = 0),
+cell as (select region_id, level, cast(floor(x0 / (4 * pow(2.0, level))) as bigint) + i as tile_x, cast(floor(y0 / (8 * pow(2.0, level))) as bigint) + j as tile_y, x1, y1 from cam, range(3) l(level), range(5) a(i), range(5) b(j))
+select region_id, level, max(tile_x) - min(tile_x) + 1 as width, list(coalesce(n_points, 0) order by tile_y, tile_x) as values from (select * from cell where tile_x <= floor(x1 / (4 * pow(2.0, level))) and tile_y <= floor(y1 / (8 * pow(2.0, level)))) left join tile using (level, tile_x, tile_y) group by region_id, level"""))
+def region_mosaic(spark, d):
+    """The point counts of each region's tiles, row by row, with 0 where no tile is stored."""
+    cam = V.requests(spark, d).filter("event_id % 50 = 0").selectExpr("event_id as region_id", "cam_x - 6 as x0", "cam_x + 6 as x1", "cam_y - 9 as y0", "cam_y + 9 as y1")
+    return regions.mosaic(cam, V.tiles(spark, d), "n_points", 4.0, 8.0, 3, 0)
