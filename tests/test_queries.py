@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from tilewright.plans import formats, outlines, raster, registry, signals, texts, tiling  # noqa: F401
+from tilewright.plans import conversions, formats, outlines, raster, registry, signals, texts, tiling  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
