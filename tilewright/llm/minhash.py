@@ -4,14 +4,15 @@ and connected components by alternating large-star and small-star.
 1. One scan makes each document's word-sequence key, set size and signature. Documents of one word sequence have one
    representative (the smallest id), found by a grouped minimum.
 2. The representatives' bands are grouped: the smallest id of a bucket is its hub, and every other member is held against the hub
-   only, so that a bucket of k members makes k - 1 pairs. A pair whose signatures agree in enough places is confirmed on full sets, which are made again from
-   the whole texts, dealt by hub in chunks, so that a hub of many members is spread over many tasks.
+   only, so that a bucket of k members makes k - 1 pairs. The texts of all members are set aside, with a long signature of each. A pair whose long
+   signatures agree in enough places is confirmed on full sets, which are made again from the whole texts, dealt by hub in chunks, so that a
+   hub of many members is spread over many tasks.
 3. Buckets that then hold one component are done. In the others, members outside the bucket's largest component are held against all members of
-   other components by signature, chunk by chunk, and only pairs that agree in enough places leave the task, each in the first band that it shares. This is done for pairs that look
-   like links first, and once more, with what is left between the new components, for all that may be links.
+   other components by long signature, chunk by chunk, each pair in the first band that it shares. At first only the likest partner in each chunk leaves the task, and is confirmed; what
+   lies between the new components is then compared once more, and all pairs that may be links are confirmed.
 
-A link of similarity s or more is missed only if its two signatures agree in no band (with 32 bands of 4, less than 5e-6 at 0.75), or in
-fewer than s - 0.12 of 256 places (4.5 standard deviations).
+A link of similarity s or more is missed only if its two signatures agree in no band (with 32 bands of 4, less than 5e-6 at 0.75), or its long ones
+in fewer than s - 0.06 of 1024 places (4.4 standard deviations).
 """
 
 from __future__ import annotations
@@ -28,37 +29,40 @@ from tilewright.llm.shingles import WORDS, shingle_sets
 from tilewright.llm.text import U64, mix, stream
 from tilewright.session import discard, written
 
-BANDS, ROWS, PLACES = 32, 4, 256
-#: Signatures may fall so far below the similarity before a pair is given up.
-SLACK = 0.12
+BANDS, ROWS = 32, 4
+#: Places of a long signature, and how far they may fall below the similarity before a pair is given up.
+PLACES, SLACK = 1024, 0.06
 #: Members of a bucket in one chunk of the comparison by signature.
 TARGETS = 512
 #: Members of a hub in one chunk of the confirmation.
 CHUNK = 256
 
-_A, _B = ((stream(seed, PLACES) >> U64(32)).astype(np.uint32) for seed in (101, 202))
+#: Factors and addends of the universal hashes: those of the bands, then those of long signatures.
+_A, _B = ((stream(seed, BANDS * ROWS + PLACES) >> U64(32)).astype(np.uint32) for seed in (101, 202))
 _A |= np.uint32(1)
+SHORT, LONG = slice(0, BANDS * ROWS), slice(BANDS * ROWS, None)
 
 
-def signature(members: np.ndarray) -> np.ndarray:
+def signature(members: np.ndarray, which: slice = SHORT) -> np.ndarray:
     """The minimum of each universal hash a * x + b over the (non-empty) set."""
     x = (members >> U64(32)).astype(np.uint32)
-    out = np.full(PLACES, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(x), 4096):
-        np.minimum(out, (_A[:, None] * x[None, k : k + 4096] + _B[:, None]).min(axis=1), out=out)
+    a, b = _A[which, None], _B[which, None]
+    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(x), 1024):
+        np.minimum(out, (a * x[None, k : k + 1024] + b).min(axis=1), out=out)
     return out
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band; the band's number is part of it."""
-    rows = sig[: BANDS * ROWS].reshape(BANDS, ROWS).astype(U64)
+    rows = sig.reshape(BANDS, ROWS).astype(U64)
     key = np.arange(1, BANDS + 1, dtype=U64)
     for k in range(ROWS):
         key = mix(key * U64(0x9E3779B97F4A7C15) + rows[:, k])
     return key
 
 
-_SKETCH = "doc_id long, k1 long, k2 long, n_shingles long, sig binary, bands array<long>"
+_SKETCH = "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>"
 
 
 def _sketches(size: int):
@@ -71,19 +75,30 @@ def _sketches(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(s) for _, _, s in sets], pa.int64()),
-                    pa.array([None if s is None else (s & np.uint32(0xFF)).astype(np.uint8).tobytes() for s in sig], pa.binary()),
                     pa.array([None if s is None else band_keys(s).view(np.int64) for s in sig], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "k1", "k2", "n_shingles", "sig", "bands"],
+                ["doc_id", "k1", "k2", "n_shingles", "bands"],
             )
 
     return run
 
 
+def _long(size: int):
+    """Adds the low bytes of the long signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column("text"), size)
+            sig = [(signature(s, LONG) & np.uint32(0xFF)).astype(np.uint8).tobytes() for _, _, s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(sig, pa.binary())], ["doc_id", "text", "sig"])
+
+    return run
+
+
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_x", "sig_y"))
-        yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array((a == b).mean(axis=1) if batch.num_rows else [], pa.float64())], ["x", "y", "agree"])
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in ("sig_x", "sig_y"))
+        yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array((a == b).mean(axis=1), pa.float64())], ["x", "y", "agree"])
 
 
 def _confirm(size: int, percent: int):
@@ -113,19 +128,19 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
     chunks = pairs.groupBy("y").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     members = pairs.join(chunks, "y").select("x", "y", F.pmod(F.hash("x"), "chunks").alias("chunk"), F.lit(True).alias("member"), F.col("x").alias("doc_id"))
     hubs = chunks.select(F.col("y").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("member"), F.col("y").alias("doc_id"))
-    rows = members.union(hubs).join(texts.hint("merge"), "doc_id").drop("doc_id")
+    rows = members.union(hubs).join(texts.select("doc_id", "text").hint("merge"), "doc_id").drop("doc_id")
     rows = rows.repartition("y", "chunk").sortWithinPartitions("y", "chunk", "member")
     return written(rows.mapInArrow(_confirm(size, percent), "x long, y long"), "links")
 
 
-def _alike(pairs: DataFrame, one: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures agree in enough places, written."""
-    sig = one.select("doc_id", "sig")
+def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs whose long signatures agree in enough places, written."""
+    sig = texts.select("doc_id", "sig")
     both = pairs.join(sig.select(F.col("doc_id").alias("x"), F.col("sig").alias("sig_x")), "x").join(sig.select(F.col("doc_id").alias("y"), F.col("sig").alias("sig_y")), "y")
     return written(both.mapInArrow(_agreement, "x long, y long, agree double").filter(F.col("agree") >= least).select("x", "y"), "alike")
 
 
-def _compare(least: float):
+def _compare(least: float, likest: bool):
     """Rows of a bucket's chunk: its targets, which are held, then the probes, which pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +150,7 @@ def _compare(least: float):
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "chunk", "probe")), strict=True))
             x, c, minor, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("x", "c", "minor", "place"))
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, PLACES)
+            bands = np.array(batch.column("bands").to_pylist(), np.int64).reshape(batch.num_rows, BANDS)
             i = 0
             while i < len(keys):
                 j = i + 1
@@ -143,17 +159,16 @@ def _compare(least: float):
                 if keys[i][:2] != here:
                     here, held = keys[i][:2], []
                 if not keys[i][2]:
-                    held.append((x[i:j], c[i:j], minor[i:j], sig[i:j]))
+                    held.append((x[i:j], c[i:j], minor[i:j], sig[i:j], bands[i:j]))
                 elif held:
-                    tx, tc, tm, ts = (np.concatenate(z) for z in zip(*held, strict=True))
-                    held = [(tx, tc, tm, ts)]
+                    tx, tc, tm, ts, tb = (np.concatenate(z) for z in zip(*held, strict=True))
+                    held = [(tx, tc, tm, ts, tb)]
                     for k in range(i, j):
                         # of two members outside the largest component one comes as a probe to the other
                         able = np.flatnonzero((tc != c[k]) & (~tm | (tx < x[k])))
-                        equal = ts[able] == sig[k]
-                        able, equal = able[near := equal.mean(axis=1) >= least], equal[near]
-                        shared = equal[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
-                        able = able[shared.argmax(axis=1) == place[k]] if len(able) else able
+                        able = able[(tb[able] == bands[k]).argmax(axis=1) == place[k]] if len(able) else able
+                        agree = (ts[able] == sig[k]).mean(axis=1)
+                        able = able[agree >= least] if not likest or not len(able) else able[[int(agree.argmax())]][agree.max(keepdims=True) >= least]
                         out_x.append(np.maximum(tx[able], x[k]))
                         out_y.append(np.minimum(tx[able], x[k]))
                 i = j
@@ -162,17 +177,18 @@ def _compare(least: float):
     return run
 
 
-def _between(bands: DataFrame, one: DataFrame, named: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket's members in different components whose signatures agree in so many places, written."""
+def _between(bands: DataFrame, alone: DataFrame, texts: DataFrame, named: DataFrame, least: float, likest: bool) -> DataFrame:
+    """Pairs of a bucket's members in different components whose long signatures agree in so many places, written; if likest, one of each member and chunk."""
     rows = bands.join(named.withColumnRenamed("node", "x"), "x", "left").select("band", "place", "x", F.coalesce("component", "x").alias("c"))
     parts = rows.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "c")).getField("c").alias("major"))
     parts = parts.filter("parts > 1").select("band", F.ceil(F.col("n") / TARGETS).cast("int").alias("chunks"), "major")
     rows = written(rows.join(parts, "band").withColumn("minor", F.col("c") != F.col("major")), "rows")
     targets = rows.select("band", "place", "x", "c", "minor", F.pmod(F.hash("x"), "chunks").alias("chunk"), F.lit(False).alias("probe"))
     probes = rows.filter("minor").select("band", "place", "x", "c", "minor", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probe"))
-    both = targets.union(probes).join(one.select(F.col("doc_id").alias("x"), "sig"), "x")
+    known = texts.select("doc_id", "sig").join(alone, "doc_id").withColumnRenamed("doc_id", "x")
+    both = targets.union(probes).join(known, "x")
     both = both.repartition("band", "chunk").sortWithinPartitions("band", "chunk", "probe")
-    out = written(both.mapInArrow(_compare(least), "x long, y long").distinct(), "between")
+    out = written(both.mapInArrow(_compare(least, likest), "x long, y long").distinct(), "between")
     discard(rows)
     return out
 
@@ -190,8 +206,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, size: int = WORDS
     full = sketches.filter("n_shingles > 0 and doc_id is not null")
     firsts = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"))
     of = written(sketches.select("doc_id", "k1", "k2", "n_shingles").join(firsts, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("copy_of")).alias("copy_of")), "copies")
-    alone = full.join(firsts, ["k1", "k2"]).filter("doc_id = copy_of").select("doc_id", "n_shingles", "k1", "sig", "bands")
-    alone = written(alone.groupBy("doc_id").agg(F.min(F.struct("k1", "sig", "bands")).alias("s")).select("doc_id", "s.sig", "s.bands"), "alone")
+    alone = full.join(firsts, ["k1", "k2"]).filter("doc_id = copy_of").select("doc_id", "k1", "bands")
+    alone = written(alone.groupBy("doc_id").agg(F.min(F.struct("k1", "bands")).alias("s")).select("doc_id", "s.bands"), "alone")
     discard(sketches)
 
     bands = alone.select(F.col("doc_id").alias("x"), F.posexplode("bands").alias("place", "band"))
@@ -199,14 +215,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, size: int = WORDS
     bands = written(bands.join(hubs, "band"), "bands")  # of buckets with two members or more
     pairs = written(bands.select("x", "y").filter("x != y").distinct(), "pairs")
     wanted = bands.select(F.col("x").alias("doc_id")).distinct()
-    texts = written(docs.join(wanted.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(of) else docs.join(wanted.hint("merge"), "doc_id"), "texts")
+    members = docs.join(wanted.hint("merge"), "doc_id")
+    if not of.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        members = members.groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = written(members.mapInArrow(_long(size), "doc_id long, text string, sig binary"), "texts")
     same_id = of.filter("copy_of is not null and copy_of != doc_id").groupBy("doc_id").agg(F.min("copy_of").alias("a"), F.max("copy_of").alias("b")).filter("a != b").select(F.col("a").alias("x"), F.col("b").alias("y"))
-    close = _alike(pairs, alone, similarity - SLACK)
+    close = _alike(pairs, texts, similarity - SLACK)
     found = _links(close, texts, percent, size)
     links, scratch = same_id.union(found), [alone, bands, pairs, texts, close, found]
     named = written(components(links, "x", "y"), "named")
-    for least in (similarity, similarity - SLACK):
-        more = _between(bands, alone, named, least).join(close, ["x", "y"], "left_anti")
+    for least, likest in ((similarity, True), (similarity - SLACK, False)):
+        more = _between(bands, alone, texts, named, least, likest).join(close, ["x", "y"], "left_anti")
         found = _links(more, texts, percent, size)
         links = links.union(found)
         scratch += [found, named]
@@ -219,6 +238,3 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, size: int = WORDS
         discard(df)
     return out
 
-
-def _repeats(of: DataFrame) -> bool:
-    return not of.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
