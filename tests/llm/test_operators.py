@@ -430,3 +430,17 @@ def test_tool_calls(spark):
     assert got[1, "b"]["problems"] == "$.b: not integer" and got[1, "c"]["problems"] == "unknown tool" and got[1, "d"]["problems"] == "not JSON" and got[1, "d"]["arguments"] is None
     assert got[2, "x"]["arguments"] == '{"b":2,"é":null}' and got[2, "x"]["linked"] and not got[2, "y"]["linked"]
     assert json.loads(got[2, "x"]["arguments"]) == {"b": 2, "é": None}
+
+
+def test_levels_of_random_graphs(spark):
+    from tilewright.llm.tool_calls import levels
+
+    rng = random.Random(27)
+    needs = {k: rng.sample(range(k), min(k, rng.choice([0, 1, 1, 1, 1, 2, 3]))) for k in range(60)}
+    needs |= {100 + k: [100 + k - 1] if k else [] for k in range(70)} | {200: [201], 201: [202], 202: [200], 203: [200, 5], 204: [203]}
+    want = {}
+    for k in sorted(needs):
+        want[k] = None if k >= 200 else max([want[n] + 1 for n in needs[k]], default=0)
+    calls = spark.createDataFrame([(1, str(k)) for k in needs], "conv_id long, call_id string")
+    edges = spark.createDataFrame([(1, str(k), str(n)) for k, own in needs.items() for n in own], "conv_id long, call_id string, needs string")
+    assert {int(r["call_id"]): r["level"] for r in levels(calls, edges).collect()} == want

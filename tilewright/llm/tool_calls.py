@@ -74,23 +74,36 @@ def _check(schemas: dict[str, dict]):
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): the longest path to a call through the calls that it needs; null on and behind a cycle.
 
-    needs: (conv_id, call_id, needs); a needed call that isn't there counts for nothing. There is a round for each level, over what is still open.
+    needs: (conv_id, call_id, needs); a needed call that isn't there counts for nothing. Chains of calls that need one other each are cut short first, by letting each
+    call point to what its target points to, twice as far in each round; what is left then takes a round for each layer of calls that need several.
     """
     keys = ["conv_id", "call_id"]
     nodes = written(calls.select(*keys).distinct(), "calls")
     edges = needs.select(*keys, "needs").distinct().join(nodes.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi")
-    edges = written(edges, "needs")
-    open_ = written(nodes.join(edges.groupBy(*keys).agg(F.count("*").alias("left")), keys, "left").select(*keys, F.coalesce("left", F.lit(0)).alias("left")), "open")
-    done, level = None, 0
+    edges = written(edges.withColumn("steps", F.lit(1)), "needs")
+    counts = written(edges.groupBy(*keys).agg(F.count("*").alias("left")), "counts")
+    single = written(edges.join(counts.filter("left = 1"), keys, "left_semi").select(*keys, "needs", "steps"), "single")
+    for _ in range(single.count().bit_length() + 1):
+        onward = single.select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("further"), F.col("steps").alias("more"))
+        longer = written(single.join(onward, ["conv_id", "needs"], "left").select(*keys, F.coalesce("further", "needs").alias("needs"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved")), "single")
+        discard(single)
+        single = longer
+        if single.filter("moved").isEmpty():
+            break
+    several = edges.join(counts.filter("left > 1"), keys, "left_semi").select(*keys, "needs", "steps")
+    edges = written(several.unionByName(single.select(*keys, "needs", "steps")), "needs")
+    open_ = written(nodes.join(counts, keys, "left").select(*keys, F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).alias("level")), "open")
+    done = None
     while True:
-        ready = written(open_.filter("left = 0").select(*keys, F.lit(level).alias("level")), "ready")
+        ready = written(open_.filter("left = 0").select(*keys, "level"), "ready")
         if ready.isEmpty():
             break
         done = ready if done is None else done.union(ready)
-        met = edges.join(ready.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]).groupBy(*keys).agg(F.count("*").alias("met"))
-        rest = written(open_.filter("left > 0").join(met, keys, "left").select(*keys, (F.col("left") - F.coalesce("met", F.lit(0))).alias("left")), "open")
+        met = edges.join(ready.select("conv_id", F.col("call_id").alias("needs"), "level"), ["conv_id", "needs"]).groupBy(*keys).agg(F.count("*").alias("met"), F.max(F.col("level") + F.col("steps")).alias("reached"))
+        rest = open_.filter("left > 0").join(met, keys, "left").select(*keys, (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"), F.greatest("level", F.coalesce("reached", F.lit(0))).alias("level"))
+        rest = written(rest, "open")
         discard(open_)
-        open_, level = rest, level + 1
+        open_ = rest
     stuck = open_.filter("left > 0").select(*keys, F.lit(None).cast("int").alias("level"))
     return stuck if done is None else done.union(stuck)
 
