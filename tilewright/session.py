@@ -37,3 +37,16 @@ def discard(df: DataFrame) -> None:
         if top in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of whole texts in one batch between Spark and Python: a few megabytes, of which either side holds several copies.
+BATCH_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends smaller batches to Python from now on, as rows are whole texts. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
