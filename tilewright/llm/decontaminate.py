@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.text import U64, mix, ranges, sliced, utf8
-from tilewright.session import written
+from tilewright.session import text_batches, written
 
 #: Length of q-grams (9 to 16 bytes), and edits allowed as a share of an item's length.
 Q, ERRORS = 9, 0.08
@@ -209,7 +209,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
     if clash := {"leaked", "n_items", "items", "least_edits"} & set(keep):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
-    rows = docs.select(*keep, docs["text"].alias("__text"), F.array().cast("array<long>").alias("__items"), F.lit(None).cast("int").alias("__edits"))
+    rows = text_batches(docs).select(*keep, docs["text"].alias("__text"), F.array().cast("array<long>").alias("__items"), F.lit(None).cast("int").alias("__edits"))
     first = True
     for block in blocks(benchmark):
         if not first:

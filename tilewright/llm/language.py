@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.text import U64, mix, ranges
-from tilewright.session import written
+from tilewright.session import text_batches, written
 
 ORDER = 4
 #: Bits of a folded gram: at most 2 ** FOLD_BITS grams of each order and language.
@@ -230,7 +230,7 @@ def build(rows: pa.Table, langs: list[str], bits: int) -> LanguageModel:
 def train(docs: DataFrame, bits: int = FOLD_BITS, calibration_rows: int = CALIBRATION_ROWS, accepted: float = ACCEPTED) -> LanguageModel:
     """Learns from docs (text, lang); rows with a null in either aren't used. Counts cover all rows; only the scale of scores and the limits of
     rejection are fitted on a sample of about calibration_rows rows a language."""
-    docs = docs.select("text", "lang").filter("lang is not null and text is not null")
+    docs = text_batches(docs).select("text", "lang").filter("lang is not null and text is not null")
     rows = count_grams(docs, bits)
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
@@ -299,4 +299,4 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in keep] + columns, [*keep, "lang_pred", "score", "entropy", "rejected"])
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, fields)
+    return text_batches(docs).select(*keep, docs["text"].alias("__text")).mapInArrow(run, fields)

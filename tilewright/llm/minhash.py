@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.components import components
 from tilewright.llm.shingles import WORDS, shingle_sets
 from tilewright.llm.text import U64, mix, stream
-from tilewright.session import discard, written
+from tilewright.session import discard, text_batches, written
 
 BANDS, ROWS = 32, 4
 #: Places of a long signature, and how far they may fall below the similarity before a pair is given up.
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, size: int = WORDS
     word sequence. Rows with a null doc_id keep null in component_id and aren't kept. Rows that repeat a doc_id count as one document, which is linked as the first of its
     texts is; its other texts are linked with their equals only. Other columns of docs aren't read.
     """
-    docs, percent = docs.select("doc_id", "text"), round(100 * similarity)
+    docs, percent = text_batches(docs).select("doc_id", "text"), round(100 * similarity)
     sketches = written(docs.mapInArrow(_sketches(size), _SKETCH), "sketches")
     full = sketches.filter("n_shingles > 0 and doc_id is not null")
     firsts = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"))

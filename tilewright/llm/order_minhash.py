@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.ordered import range_bounds, range_number
 from tilewright.llm.text import U64, mix, stream
+from tilewright.session import text_batches
 
 #: Length of k-mers, elements in a tuple, hash functions (places of a fingerprint).
 K, TUPLE, PLACES = 5, 2, 64
@@ -114,7 +115,7 @@ def order_minhash(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     Null is the empty text. Null ids come last; rows of one id are in descending order of their text, empty or null last. After the last row comes the first, so a single row is its own
     next. Other columns aren't read. Rows are dealt out by ranges of the id, each with one guest: the first row of the range after it.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = text_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bounds = range_bounds(docs.select("doc_id"), "doc_id", range_rows)
     part = F.lit(len(bounds)) - range_number(F.col("doc_id"), bounds)
     # the first id of each range that has rows

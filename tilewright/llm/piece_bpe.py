@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 
 from tilewright.llm.segments import SegmentStore
 from tilewright.llm.text import BYTE_HASH, sliced, span_hash, utf8
+from tilewright.session import text_batches
 
 MARK = "▁"
 #: Longer segments (text without spaces) are merged one by one from a heap, in n log n steps instead of rounds over all symbols.
@@ -211,7 +212,7 @@ class PieceModel:
 @lru_cache(maxsize=2)
 def loaded(path: str) -> tuple[PieceModel, SegmentStore]:
     """The model of a file and this worker's store for it."""
-    return PieceModel(path), SegmentStore()
+    return PieceModel(path), SegmentStore(600_000, 6_000_000)
 
 
 def encode_decode(docs: DataFrame, model: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -245,4 +246,4 @@ def encode_decode(docs: DataFrame, model: str, keep: list[str] | None = None, wi
             columns += [pa.array(lists, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, fields)
+    return text_batches(docs).select(*keep, docs["text"].alias("__text")).mapInArrow(run, fields)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.shingles import words
 from tilewright.llm.text import BYTE_HASH, sliced, span_hash, utf8
+from tilewright.session import text_batches
 
 #: Labelled documents that are learned from (a sample of the labelled rows by a hash of their id; about so many, and all if there are fewer).
 TRAIN_ROWS = 12_000
@@ -136,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Q
     n = known.count()
     if n > train_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 20)) < int((1 << 20) * train_rows / n))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_sample_features, "doc_id long, quality int, x array<double>")
+    rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_sample_features, "doc_id long, quality int, x array<double>")
     table = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("s")).select("doc_id", "s.quality", "s.x").orderBy("doc_id").toArrow()
     x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     return fit(x, table.column("quality").to_numpy())
@@ -154,4 +155,4 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -
             s = model.scores(model.strengths(features(batch.column("__text"))))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(s, pa.float64()), pa.array((s >= AT_THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, fields)
+    return text_batches(docs).select(*keep, docs["text"].alias("__text")).mapInArrow(run, fields)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tilewright.llm.text import sliced, utf8
+from tilewright.session import text_batches
 
 # The patterns of the base scan, and the least length of what they must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -230,4 +231,4 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, redact: bool =
             arrays = [batch.column(c) for c in keep] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *names])
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, fields)
+    return text_batches(docs).select(*keep, docs["text"].alias("__text")).mapInArrow(run, fields)

@@ -15,7 +15,8 @@ SLOT_BITS, MOST_SEGMENTS, MOST_VALUES = 21, 1_500_000, 16_000_000
 class SegmentStore:
     """encode gets the indexes of new segments and returns their values end to end and the number of values of each."""
 
-    def __init__(self) -> None:
+    def __init__(self, most_segments: int | None = None, most_values: int | None = None) -> None:
+        self.most_segments, self.most_values = most_segments or MOST_SEGMENTS, most_values or MOST_VALUES
         self.clear()
 
     def clear(self) -> None:
@@ -57,7 +58,7 @@ class SegmentStore:
         if (missing := np.flatnonzero(item < 0)).size:
             new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
             values, lengths = encode(missing[first])
-            if self.items + len(new) > MOST_SEGMENTS or self.used + len(values) > MOST_VALUES:
+            if self.items + len(new) > self.most_segments or self.used + len(values) > self.most_values:
                 had_start, had_length, had_values = self.start, self.length, self.values
                 kept = np.flatnonzero(item >= 0)
                 n = np.zeros(len(h), np.int64)
@@ -68,7 +69,7 @@ class SegmentStore:
                 out[ranges(at[kept], n[kept])] = had_values[ranges(had_start[item[kept]], n[kept])]
                 out[ranges(at[missing], n[missing])] = values[ranges(own_start[back], n[missing])]
                 self.clear()
-                if len(new) <= MOST_SEGMENTS and len(values) <= MOST_VALUES:
+                if len(new) <= self.most_segments and len(values) <= self.most_values:
                     self._add(new, values, lengths)
                 return out, n
             base = self.items

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.ordered import range_bounds, range_number
 from tilewright.llm.segments import SegmentStore
 from tilewright.llm.text import BYTE_HASH, sliced, span_hash, utf8
-from tilewright.session import written
+from tilewright.session import text_batches, written
 
 #: Documents in one file.
 FILE_ROWS = 8192
@@ -96,7 +96,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 0, file_
     tokenizer: path of a tokenizer file that every executor has. end: the id appended to each document. A null text is the empty text. Null ids come
     first; rows of one id are ordered by their text. Other columns aren't read. Nothing is written for an empty table but its schema.
     """
-    docs = docs.select("doc_id", "text")
+    docs = text_batches(docs).select("doc_id", "text")
     bounds = range_bounds(docs.select("doc_id"), "doc_id", file_rows)
     dealt = docs.select(range_number(F.col("doc_id"), bounds).alias("part"), "doc_id", "text")
     dealt = dealt.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))

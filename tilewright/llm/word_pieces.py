@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from tilewright.llm.segments import SegmentStore
 from tilewright.llm.shingles import words
 from tilewright.llm.text import BYTE_HASH, sliced, span_hash, utf8
+from tilewright.session import text_batches
 
 ROOT, MORE, NONE = 0, 1, -1
 
@@ -137,4 +138,4 @@ def count_pieces(docs: DataFrame, vocabulary: str, keep: list[str] | None = None
             table = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(table[:, k]) for k in range(3)], [*keep, "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, fields)
+    return text_batches(docs).select(*keep, docs["text"].alias("__text")).mapInArrow(run, fields)
