@@ -290,6 +290,31 @@ def test_word_piece_counts(spark):
         assert (r["n_words"], r["n_tokens"], r["n_unknown"]) == (len(own), sum(1 if n < 0 else n for n in own), own.count(-1))
 
 
+def test_word_pieces_of_other_scripts(spark):
+    """The longest match over the whole vocabulary, of each word with the space before it."""
+    from tilewright.llm.word_pieces import count_pieces
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spelt = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    pieces = {bytes(spelt[c] for c in t) for t in vocab if all(c in spelt for c in t)}
+
+    def greedy(w):
+        i = n = 0
+        while i < len(w):
+            i, n = next(j for j in range(len(w), i, -1) if w[i:j] in pieces), n + 1
+        return n
+
+    rng = random.Random(20)
+    alphabet = "中文字日本語ひらがな한국어हिन्दीไทยабвгруфхя🎉éñ’\x00\x01\x7fabthe.1"
+    texts = ["中文没有空格的段落很长很长", "日本語 한국어 हिन्दी ไทย русский 🎉🎉", "\x00x plain"] + [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(40)]
+    for r in count_pieces(frame(spark, enumerate(texts)), path, ["text"], lone_space=True).collect():
+        own = [greedy(b" " + w.encode()) for w in r["text"].split(" ")]
+        assert (r["n_words"], r["n_tokens"], r["n_unknown"]) == (len(own), sum(own), 0), r["text"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab cde'stl  \n\t  　éñ’12,.!|日🎉\x85")), max_size=60), min_size=1, max_size=4))
 def test_token_ids_are_the_librarys(texts):

@@ -72,7 +72,7 @@ def op7_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tilewright.llm.word_pieces import count_pieces
 
-    return count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), lone_space=True)
 
 
 def op8_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

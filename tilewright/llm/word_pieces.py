@@ -25,18 +25,21 @@ ROOT, MORE, NONE = 0, 1, -1
 
 
 def byte_vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
-    """Pieces that begin a word, and pieces that go on, of a byte-level vocabulary file: those with a space before them begin one."""
+    """Pieces that begin a word, and pieces that go on, of a byte-level vocabulary file: those with a space before them begin one.
+
+    The empty piece among the first is a space by itself: a word may begin with it and go on with pieces of the second kind."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spelt = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
     with open(path, encoding="utf-8") as f:
         known = json.load(f)
     special = {t["content"] for t in known["added_tokens"]}
     pieces = [bytes(spelt[c] for c in t) for t in known["model"]["vocab"] if t not in special]
-    return [p[1:] for p in pieces if p[0] == 32 and len(p) > 1], [p for p in pieces if p[0] != 32]
+    return [p[1:] for p in pieces if p[0] == 32], [p for p in pieces if p[0] != 32]
 
 
 class Automaton:
-    def __init__(self, first: Iterable[bytes], more: Iterable[bytes]) -> None:
+    def __init__(self, first: Iterable[bytes], more: Iterable[bytes], lone_space: bool = False) -> None:
+        first = set(first)
         children: list[dict[int, int]] = [{}, {}]
         whole = [False, False]
         for root, pieces in ((ROOT, first), (MORE, more)):
@@ -50,6 +53,8 @@ class Automaton:
                     at = children[at][b]
                 whole[at] = whole[at] or bool(piece)
         link, pops = [NONE] * len(children), [0] * len(children)
+        if lone_space and b"" in first:
+            link[ROOT], pops[ROOT] = MORE, 1
         queue = deque([ROOT, MORE])
         while queue:
             u = queue.popleft()
@@ -104,15 +109,15 @@ class Automaton:
 
 
 @lru_cache(maxsize=2)
-def loaded(path: str) -> tuple[Automaton, SegmentStore]:
-    return Automaton(*byte_vocabulary(path)), SegmentStore()
+def loaded(path: str, lone_space: bool = False) -> tuple[Automaton, SegmentStore]:
+    return Automaton(*byte_vocabulary(path), lone_space), SegmentStore()
 
 
-def count_pieces(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) -> DataFrame:
+def count_pieces(docs: DataFrame, vocabulary: str, keep: list[str] | None = None, lone_space: bool = False) -> DataFrame:
     """One row per row of docs: the kept columns (doc_id), n_words, n_tokens, n_unknown.
 
-    vocabulary: path of a byte-level vocabulary file that every executor has. Words are runs between ASCII white space, as they are. A word that the vocabulary can't spell is one
-    token, counted in n_unknown too. Null and empty texts have none. Repeated rows and null ids stay as they are. No shuffle.
+    vocabulary: path of a byte-level vocabulary file that every executor has. Words are runs between ASCII white space, as they are. With lone_space a word that no piece with a space begins
+    has the space as a token by itself, so it is spelt as the vocabulary spells the word after a space. A word that can't be spelt is one token, counted in n_unknown too. Null and empty texts have none. Repeated rows and null ids stay as they are. No shuffle.
     """
     keep = ["doc_id"] if keep is None else keep
     if clash := {"n_words", "n_tokens", "n_unknown"} & set(keep):
@@ -120,7 +125,7 @@ def count_pieces(docs: DataFrame, vocabulary: str, keep: list[str] | None = None
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields) + "n_words long, n_tokens long, n_unknown long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, store = loaded(vocabulary)
+        automaton, store = loaded(vocabulary, lone_space)
         for batch in batches:
             data, offsets = utf8(batch.column("__text"))
             out = [np.zeros((0, 3), np.int64)]
