@@ -419,6 +419,46 @@ def test_secret_layers():
     assert redacted(plain + " ok", base_spans(plain)) == "[SECRET] ok"
 
 
+def test_secret_layers_of_every_writing(spark, monkeypatch):
+    import gzip
+    import textwrap
+
+    from tilewright.llm import secrets as S
+
+    plain = "password=abcdefghij1234"
+    note = f"some words before {plain} and many words after it"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    url = lambda raw: base64.urlsafe_b64encode(raw).decode()
+    noise = random.Random(1).randbytes(3000)
+    asked = f" ask? who>> me? ok~~ {plain} end".encode()
+    assert set(url(asked)) & set("-_")
+    whole = [url(asked), b64(asked).rstrip("="), "key-" + b64(note.encode()), "a/bc" + b64(note.encode()), "x" + b64(note.encode()), "payload\n" + b64(note.encode())]
+    whole += [b64(zlib.compress(note.encode(), k)) for k in range(10)] + [url(zlib.compress(note.encode() + noise, k)) for k in (2, 6)]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 10)
+    whole += [b64(packer.compress(note.encode()) + packer.flush()), b64(gzip.compress(b"first member") + gzip.compress(note.encode())), b64(zlib.compress(note.encode()) + b"trailing")]
+    for size in (10, 16, 64, 76):
+        whole += [gap.join(textwrap.wrap(b64(raw), size)) for gap in ("\n", "\r\n", "\n    ") for raw in (note.encode(), zlib.compress(note.encode()), zlib.compress(note.encode() + noise))]
+    whole += [b64(b"\x00\x01\xff" + note.encode() + b"\xfe\x00"), b64(b64(zlib.compress(note.encode(), 3)).encode()), "%ff" + "".join(f"%{c:02x}" for c in plain.encode()), "\\ud800" + "".join(f"\\x{ord(c):02x}" for c in plain)]
+    for run in whole:
+        text = f"see {run} there"
+        spans, unopened = S.all_spans(text, [])
+        assert any(k == 0 for _, k, _ in spans) and all(4 <= s < e <= 4 + len(run) for s, _, e in spans) and not unopened, run
+    cut = b64(zlib.compress(note.encode() + noise)[:-500])
+    broken = bytearray(zlib.compress(note.encode() + noise, 0))
+    broken[-2] ^= 255
+    for run in (cut, b64(bytes(broken))):
+        spans, unopened = S.all_spans(f"see {run} there", [])
+        assert any(k == 0 for _, k, _ in spans) and unopened == 1
+    monkeypatch.setattr(S, "MOST_UNPACKED", 1 << 12)
+    monkeypatch.setattr(S, "PIECE", 1 << 11)
+    monkeypatch.setattr(S, "OVERLAP", 1 << 8)
+    for before in (10, 2040, 2050, 9000, 300000):
+        text = b64(zlib.compress(b"x " * (before // 2) + note.encode() + b" y" * 5000))
+        assert S.all_spans(text, []) == ([(0, 0, len(text))], 1)
+    rows = {r["doc_id"]: r for r in S.scan_secrets(frame(spark, [(k, f"see {run} there") for k, run in enumerate(whole)]), redact=True).collect()}
+    assert all(rows[k]["redacted"].startswith("see ") and "[SECRET]" in rows[k]["redacted"] and rows[k]["n_spans"] for k in range(len(whole)))
+
+
 def test_secret_rows_against_plain_patterns(spark):
     from tilewright.llm.secrets import scan_secrets
 

@@ -1,14 +1,14 @@
 """Secret scans with a recursive decoding worklist.
 
-Each text is scanned as it is (the base), and so is every layer that decoding it yields: runs of %XX, runs of \\uXXXX and \\xXX, base64 runs
-whose bytes are printable UTF-8, and base64 runs whose bytes are a zlib or gzip stream of such text. A layer carries, for each of its characters, the span of
-the original text that it came from, so that what is found in it is reported there. Layers go on a worklist until none is new; a layer
+Each text is scanned as it is (the base), and so is every layer that decoding it yields: runs of %XX, runs of \\uXXXX and \\xXX, the readable parts of
+base64 runs, and those of the zlib and gzip streams in base64 runs. A base64 run may be of the standard alphabet, the URL-safe one or both, may be wrapped over lines,
+and is read from each of its first four characters, so that what stands before it doesn't put it out of step. A layer carries, for each of its characters, the span of
+the original text that it came from, so that what is found in it is reported there. Layers are opened depth first until none is new; a layer
 that was seen at the same place ends its branch.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -31,9 +31,17 @@ KINDS = ("assign", "access", "hex")
 
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 _PERCENT, _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+"), re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
-#: A compressed run may unwrap to so many bytes; a longer one (an archive, or a decompression bomb) is reported in n_unopened.
-MOST_UNPACKED = 1 << 26
+_BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+#: A run of both alphabets that may go on over line breaks and indents; 16 characters with these at least.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?=(?:[A-Za-z0-9+/_-]|[\r\n][ \t]*+){16})[A-Za-z0-9+/_-]+(?:(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_BREAK, _STANDARD = re.compile(r"[\r\n][\r\n \t]*"), str.maketrans("-_", "+/")
+#: Nothing that is looked for has under 16 characters, so shorter readable parts hold nothing.
+_READABLE, _MAYBE = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]{16,}"), re.compile(rb"[\t\n\r\x20-\x7e\x80-\xff]{16,}")
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: A stream of up to so many bytes is one layer. A longer one (an archive, or a decompression bomb) is scanned in overlapping pieces; it is reported
+#: in n_unopened too, since a run inside it that is longer than the overlap may be cut.
+MOST_UNPACKED, PIECE, OVERLAP = 1 << 26, 1 << 23, 1 << 20
+_STEP = 1 << 20
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -50,20 +58,26 @@ def base_spans(text: str, kinds: tuple[bool, bool, bool] = (True, True, True)) -
     return out
 
 
-def _printable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def _parts(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The readable parts of bytes, with each character's first byte and the byte after its last."""
+    if not _MAYBE.search(raw):
+        return
+    text = raw.decode("utf-8", "surrogateescape")
+    ends = None
+    for m in _READABLE.finditer(text):
+        if ends is None:
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+            ends = np.cumsum(np.where((points >= 0xD800) & (points < 0xE000), 1, size))
+            starts = np.concatenate(([0], ends[:-1]))
+        yield m[0], starts[m.start() : m.end()], ends[m.start() : m.end()]
 
 
 def _replaced(layer: str, pattern: re.Pattern, decode) -> tuple[str, np.ndarray, np.ndarray] | None:
     """The layer with all matches decoded (decode: pieces of (text, length in the layer)), and each character's span in the layer."""
     texts, lo, hi, at = [], [], [], 0
     for m in pattern.finditer(layer):
-        if (got := decode(m[0])) is None:
-            continue
+        got = decode(m[0])
         plain = np.arange(at, m.start())
         texts.append(layer[at : m.start()])
         lo.append(plain)
@@ -81,75 +95,158 @@ def _replaced(layer: str, pattern: re.Pattern, decode) -> tuple[str, np.ndarray,
     return "".join([*texts, layer[at:]]), np.concatenate([*lo, plain]), np.concatenate([*hi, plain + 1])
 
 
-def _from_percent(run: str) -> list[tuple[str, int]] | None:
-    text = None
-    with_bytes = bytes.fromhex(run.replace("%", ""))
-    try:
-        text = with_bytes.decode()
-    except UnicodeDecodeError:
-        return None
-    return [(c, 3 * len(c.encode())) for c in text]
+def _from_percent(run: str) -> list[tuple[str, int]]:
+    text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    return [("\ufffd", 3) if "\udc80" <= c <= "\udcff" else (c, 3 * len(c.encode())) for c in text]
 
 
-def _from_escape(run: str) -> list[tuple[str, int]] | None:
+def _from_escape(run: str) -> list[tuple[str, int]]:
     units = [(int(m[2:], 16), len(m)) for m in re.findall(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}", run)]
     out, k = [], 0
     while k < len(units):
         c, n = units[k]
         if 0xD800 <= c < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1][0] < 0xE000:
             c, n, k = 0x10000 + (c - 0xD800 << 10) + units[k + 1][0] - 0xDC00, n + units[k + 1][1], k + 1
-        if 0xD800 <= c < 0xE000:
-            return None
-        out.append((chr(c), n))
+        out.append(("\ufffd" if 0xD800 <= c < 0xE000 else chr(c), n))
         k += 1
     return out
 
 
+def _heads(raw: bytes, k: int = 0) -> bool:
+    """Whether a gzip or zlib stream (of any window and level) may begin at a place."""
+    return raw[k : k + 3] == b"\x1f\x8b\x08" or len(raw) > k + 1 and raw[k] & 15 == 8 and raw[k] < 0x80 and (raw[k] << 8 | raw[k + 1]) % 31 == 0
+
+
+class _Stream:
+    """A compressed stream: read pieces(), then see end (bytes that it takes), whole (it ended, and was one piece) and size."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw, self.end, self.whole, self.size = raw, len(raw), False, 0
+
+    def _bytes(self) -> Iterator[bytes]:
+        """What it unpacks to, as far as it is valid; of several gzip members, all."""
+        packed, at = zlib.decompressobj(47), 0
+        while at < len(self.raw):
+            feed = self.raw[at : at + (1 << 16)]
+            at += len(feed)
+            while True:
+                before = packed.copy()
+                try:
+                    got = packed.decompress(feed, _STEP)
+                except zlib.error:
+                    yield from self._valid(before, feed)
+                    return
+                yield got
+                if packed.eof:
+                    at = self.end = at - len(packed.unused_data)
+                    if self.raw[at : at + 2] != b"\x1f\x8b":
+                        self.whole = True
+                        return
+                    packed, self.end = zlib.decompressobj(47), len(self.raw)
+                    break
+                feed = packed.unconsumed_tail
+                if not feed and len(got) < _STEP:
+                    break
+
+    @staticmethod
+    def _valid(packed, feed: bytes) -> Iterator[bytes]:
+        """What is unpacked up to the byte that is wrong."""
+        for step in (256, 1):
+            while feed:
+                before = packed.copy()
+                try:
+                    yield packed.decompress(feed[:step])
+                except zlib.error:
+                    packed = before
+                    break
+                feed = feed[step:]
+
+    def pieces(self) -> Iterator[bytes]:
+        held = bytearray()
+        for got in self._bytes():
+            held += got
+            self.size += len(got)
+            while self.size > MOST_UNPACKED and len(held) > PIECE + OVERLAP:
+                yield bytes(held[: PIECE + OVERLAP])
+                del held[:PIECE]
+        self.whole = self.whole and self.size <= MOST_UNPACKED
+        yield bytes(held)
+
+
+def _readings(layer: str) -> Iterator[tuple[str, np.ndarray, int, tuple[int, ...], list[int]]]:
+    """Base64 runs: their characters in the standard alphabet, where these stand, the run's end, from which characters to read it, and at which of them lines begin."""
+    known = set()
+    for pattern in _BASE64:
+        for m in pattern.finditer(layer):
+            if m.span() not in known:
+                known.add(m.span())
+                run = m[0].rstrip("=").translate(_STANDARD)
+                yield run, np.arange(m.start(), m.start() + len(run)), m.end(), (0,), [0]
+    for m in _WRAPPED.finditer(layer):
+        run = m[0].rstrip("=")
+        lines, places, at = [], [], 0
+        for gap in [*((g.start(), g.end()) for g in _BREAK.finditer(run)), (len(run), len(run))]:
+            lines.append(run[at : gap[0]])
+            places.append(np.arange(m.start() + at, m.start() + gap[0]))
+            at = gap[1]
+        chars = "".join(lines).translate(_STANDARD)
+        if len(chars) >= 16:
+            yield chars, np.concatenate(places), m.end(), (1, 2, 3) if m.span() in known else (0, 1, 2, 3), [0, *np.cumsum([len(x) for x in lines])[:-1].tolist()]
+
+
 def _unwrapped(layer: str, unopened: list[int]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Every layer that one decoding step makes, with each character's span in this layer."""
     for pattern, decode in ((_PERCENT, _from_percent), (_ESCAPE, _from_escape)):
         if (got := _replaced(layer, pattern, decode)) is not None:
             yield got
-    for m in _BASE64.finditer(layer):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        if raw[:2] in (b"\x1f\x8b", b"\x78\x01", b"\x78\x9c", b"\x78\xda"):
-            try:
-                packed = zlib.decompressobj(47)
-                plain = packed.decompress(raw, MOST_UNPACKED)
-            except zlib.error:
-                continue
-            if packed.unconsumed_tail:
-                unopened.append(m.start())
-            elif (text := _printable(plain)) is not None:
-                yield text, np.full(len(text), m.start()), np.full(len(text), m.end())
-        elif (text := _printable(raw)) is not None:
-            ends = np.cumsum([len(c.encode()) for c in text])
-            starts = np.concatenate(([0], ends[:-1]))
-            yield text, m.start() + starts * 4 // 3, m.start() + np.minimum((ends * 4 + 2) // 3, m.end() - m.start())
+    opened, partly = set(), set()
+    for run, places, end, phases, lines in _readings(layer):
+        for phase in phases:
+            chars = run[phase:]
+            chars = chars[: len(chars) - (len(chars) % 4 == 1)]
+            raw = binascii.a2b_base64(chars + "=" * (-len(chars) % 4))
+            for text, a, b in _parts(raw):
+                yield text, places[phase + a * 4 // 3], places[phase + (b * 4 + 2) // 3 - 1] + 1
+            heads = {(x - phase) // 4 * 3 for x in lines if x >= phase and (x - phase) % 4 == 0}
+            heads = {k for k in heads if _heads(raw, k)}
+            for k in sorted(heads | {m.start() for m in _STREAM.finditer(raw)}):
+                start, stream, any_part = int(places[phase + k * 4 // 3]), _Stream(raw[k:]), False
+                for piece in stream.pieces():
+                    stop = end if k + stream.end >= len(raw) else int(places[phase + ((k + stream.end) * 4 + 2) // 3 - 1]) + 1
+                    for text, _, _ in _parts(piece):
+                        any_part = True
+                        yield text, np.broadcast_to(start, len(text)), np.broadcast_to(stop, len(text))
+                if stream.whole:
+                    opened.add(start)
+                elif any_part or k in heads and stream.size:
+                    partly.add(start)
+    unopened.extend(partly - opened)
 
 
 def all_spans(text: str, base: list[Span]) -> tuple[list[Span], int]:
-    """The base spans and those of all layers, in the text's own characters; and the number of runs that were too large to unpack."""
+    """The base spans and those of all layers, in the text's own characters; and the number of compressed runs that weren't unpacked as a whole."""
     found, unopened = set(base), []
-    work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
-    seen = {(0, text)}
+    work: list[tuple[np.ndarray | None, np.ndarray | None, Iterator]] = [(None, None, _unwrapped(text, unopened))]
+    seen = {(0, _digest(text))}
     while work:
-        layer, lo, hi = work.pop()
-        for child, a, b in _unwrapped(layer, unopened):
-            start, end = (a, b) if lo is None else (lo[a], hi[b - 1])
-            if (key := (int(start[0]) if len(start) else 0, child)) in seen:
-                continue
-            seen.add(key)
-            found.update((int(start[s]), k, int(end[e - 1])) for s, k, e in base_spans(child))
-            work.append((child, start, end))
+        lo, hi, children = work[-1]
+        if (got := next(children, None)) is None:
+            work.pop()
+            continue
+        child, a, b = got
+        start, end = (a, b) if lo is None else (lo[a], hi[b - 1])
+        if (key := (int(start[0]) if len(start) else 0, _digest(child))) in seen:
+            continue
+        seen.add(key)
+        found.update((int(start[s]), k, int(end[e - 1])) for s, k, e in base_spans(child))
+        work.append((start, end, _unwrapped(child, unopened)))
     return sorted(found), len(unopened)
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -175,10 +272,14 @@ _HEXES = _table("0123456789abcdef")
 _BASE64S = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 
-def _long_runs(data: np.ndarray, members: np.ndarray, at: np.ndarray, least: int = 16) -> np.ndarray:
-    """Which rows may have a run of so many members (runs that cross rows count too)."""
+def _long_runs(data: np.ndarray, members: np.ndarray, at: np.ndarray, least: int = 16, wrapped: bool = False) -> np.ndarray:
+    """Which rows may have a run of so many members (runs that cross rows count too); if wrapped, line breaks and indents after them are members."""
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = members[data]
+    if wrapped and len(data):
+        line, gap = (data == 10) | (data == 13), (data == 32) | (data == 9)
+        inside[1:-1] |= line
+        inside[2:-1] |= gap[1:] & (line | gap)[:-1]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     long = ends - starts >= least
@@ -210,7 +311,7 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, redact: bool =
             for i, j in sliced(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 raw = part.tobytes()
-                hexes, wraps = _long_runs(part, _HEXES, at), _long_runs(part, _BASE64S, at)
+                hexes, wraps = _long_runs(part, _HEXES, at), _long_runs(part, _BASE64S, at, wrapped=True)
                 for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     own = raw[a:b]
                     low = own.lower()
