@@ -4,6 +4,7 @@ import datetime
 import decimal
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -48,6 +49,30 @@ def test_query(spark, oracle, name):
     assert got == want
 
 
+def test_searches_of_all_outlines(spark):
+    """Every finite point has its nearest segment, and outlines of more than three vertices are found; against all pairs."""
+    from tilewright.operators.grid import nearest_segment
+    from tilewright.plans import views as V
+
+    rng = random.Random(41)
+    segments = [(k, 1, *(rng.uniform(0, 60) for _ in range(4))) for k in range(80)] + [(900, 1, 3.0, 3.0, 3.0, 3.0), (901, 1, None, 1.0, 2.0, 2.0)]
+    points = [(k, rng.uniform(-20, 80), rng.uniform(-20, 80)) for k in range(60)] + [(100, 5000.0, -9000.0), (101, None, 1.0), (102, float("nan"), 1.0)]
+
+    def far(px, py, x, y, nx, ny):
+        d = (nx - x) ** 2 + (ny - y) ** 2
+        t = max(0.0, min(1.0, ((px - x) * (nx - x) + (py - y) * (ny - y)) / d)) if d else 0.0
+        return math.hypot(x + t * (nx - x) - px, y + t * (ny - y) - py)
+
+    edges = spark.createDataFrame(segments, "ann_id long, ord int, x double, y double, nx double, ny double")
+    got = {r["event_id"]: (r["ann_id"], round(r["dist"], 6)) for r in nearest_segment(spark.createDataFrame(points, "event_id long, px double, py double"), edges).collect()}
+    assert got == {p: min((round(far(px, py, *s[2:]), 6), s[0]) for s in segments[:-1])[::-1] for p, px, py in points[:-2]}
+    n = V.requests(spark, DATA).filter("event_id % 50 = 0").count()
+    near = outlines.nearest_annotation_whole(spark, DATA).join(V.vertices(spark, DATA).select("ann_id", "n").distinct(), "ann_id").collect()
+    assert len(near) == n and any(r["n"] > 3 for r in near)
+    few, whole = ({r["event_id"]: r["n_hit"] for r in q(spark, DATA).collect()} for q in (outlines.point_in_bounds, outlines.point_in_bounds_whole))
+    assert few.keys() == whole.keys() and all(few[k] <= whole[k] for k in few) and sum(few.values()) < sum(whole.values())
+
+
 def test_entry_without_the_pipeline(monkeypatch):
     """The driver takes corpus_pipeline.py and the llm folders away: everything else must stay."""
     import importlib
