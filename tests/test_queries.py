@@ -73,6 +73,15 @@ def test_searches_of_all_outlines(spark):
     assert few.keys() == whole.keys() and all(few[k] <= whole[k] for k in few) and sum(few.values()) < sum(whole.values())
 
 
+def test_every_row_of_plain_arithmetic(spark):
+    from tilewright.plans import views as V
+
+    n = {t: V.table(spark, DATA, t).count() for t in ("orders", "events")}
+    assert signals.ellipse_points_whole(spark, DATA).count() == 48 * n["orders"]
+    assert tiling.region_cover_whole(spark, DATA).select("event_id").distinct().count() == n["events"]
+    assert tiling.prerequisite_closure_whole(spark, DATA).filter("level = 0").count() == V.tiles(spark, DATA).filter("level = 0").count()
+
+
 def test_entry_without_the_pipeline(monkeypatch):
     """The driver takes corpus_pipeline.py and the llm folders away: everything else must stay."""
     import importlib

@@ -27,10 +27,19 @@ def inverse_lifting(spark, d):
 
 @query("select o_orderkey, round(x, 6) as x, round(y, 6) as y, k from (select o_orderkey, 10 * cos(2 * pi() * k / 48) + o_orderkey % 7 as x, 5 * sin(2 * pi() * k / 48) as y, k from orders, range(0, 48, 12) t(k) where o_orderkey % 50 = 0)")
 def ellipse_points(spark, d):
-    """Quarter points of ellipses of 48 segments."""
-    o = V.table(spark, d, "orders").filter("o_orderkey % 50 = 0")
+    """Quarter points of ellipses of 48 segments, of a fiftieth of the orders."""
+    return _ellipses(V.table(spark, d, "orders").filter("o_orderkey % 50 = 0")).filter("k % 12 = 0")
+
+
+@query("select o_orderkey, round(10 * cos(2 * pi() * k / 48) + o_orderkey % 7, 6) as x, round(5 * sin(2 * pi() * k / 48), 6) as y, k from orders, range(48) t(k)")
+def ellipse_points_whole(spark, d):
+    """All points of ellipses of 48 segments, of all orders."""
+    return _ellipses(V.table(spark, d, "orders"))
+
+
+def _ellipses(o):
     points = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda k: F.struct((10 * F.cos(k * (2 * 3.141592653589793 / 48)) + F.col("o_orderkey") % 7).alias("x"), (5 * F.sin(k * (2 * 3.141592653589793 / 48))).alias("y"), k.cast("long").alias("k")))
-    return o.select("o_orderkey", F.explode(points).alias("p")).select("o_orderkey", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), "p.k").filter("k % 12 = 0")
+    return o.select("o_orderkey", F.explode(points).alias("p")).select("o_orderkey", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), "p.k")
 
 
 @query(V.sql("patch", then="select vec_id, i, round(px[i + 1] * (1 - 0.25 * least(1.0, greatest(0.0, px[64 - i]))) + px[64 - i] * 0.25 * least(1.0, greatest(0.0, px[64 - i])), 6) as v from patch, range(64) t(i)"))

@@ -20,7 +20,18 @@ def tiles_by_level(spark, d):
 select event_id, level, cast((floor(x1 / (4 * pow(2.0, level))) - floor(x0 / (4 * pow(2.0, level))) + 1) * (floor(y1 / (8 * pow(2.0, level))) - floor(y0 / (8 * pow(2.0, level))) + 1) as bigint) as n_tiles from lev"""))
 def region_cover(spark, d):
     """How many tiles of each level each region of a query set touches."""
-    cam = V.requests(spark, d).filter("event_id % 50 = 0").selectExpr("event_id", "cam_x - 6 as x0", "cam_x + 6 as x1", "cam_y - 9 as y0", "cam_y + 9 as y1")
+    return _cover(V.requests(spark, d).filter("event_id % 50 = 0"))
+
+
+@query(V.sql("req", then=""", cam as (select event_id, cam_x - 6 as x0, cam_x + 6 as x1, cam_y - 9 as y0, cam_y + 9 as y1 from req), lev as (select * from cam, range(3) t(level))
+select event_id, level, cast((floor(x1 / (4 * pow(2.0, level))) - floor(x0 / (4 * pow(2.0, level))) + 1) * (floor(y1 / (8 * pow(2.0, level))) - floor(y0 / (8 * pow(2.0, level))) + 1) as bigint) as n_tiles from lev"""))
+def region_cover_whole(spark, d):
+    """How many tiles of each level each request's region touches."""
+    return _cover(V.requests(spark, d))
+
+
+def _cover(requests):
+    cam = requests.selectExpr("event_id", "cam_x - 6 as x0", "cam_x + 6 as x1", "cam_y - 9 as y0", "cam_y + 9 as y1")
     return P.covered(cam, 4.0, 8.0, 3).groupBy("event_id", "level").agg(F.count("*").alias("n_tiles"))
 
 
@@ -50,6 +61,12 @@ def prerequisite_closure(spark, d):
     return P.prerequisites(V.tiles(spark, d).filter("level = 0 and n_points % 3 = 0"), 4)
 
 
+@query(V.sql("vtx", "tile", then="select u.level, cast(floor(tile_x / pow(2.0, u.level - t.level)) as bigint) as tile_x, cast(floor(tile_y / pow(2.0, u.level - t.level)) as bigint) as tile_y from tile t, range(5) u(level) where t.level = 0 and u.level >= t.level group by all"))
+def prerequisite_closure_whole(spark, d):
+    """All stored tiles of level 0 and all their ancestors."""
+    return P.prerequisites(V.tiles(spark, d).filter("level = 0"), 4)
+
+
 @query(V.sql("vtx", "tile", then="select level, tile_x, tile_y from tile t where n_points > 1 and not exists (select 1 from tile p where p.level = t.level + 1 and p.tile_x = t.tile_x // 2 and p.tile_y = t.tile_y // 2 and p.n_points % 2 = 0)"))
 def tiles_to_request(spark, d):
     """Tiles that aren't empty and aren't covered by what is resident."""
