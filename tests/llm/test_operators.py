@@ -111,6 +111,42 @@ def test_language_of_held_out_texts(spark):
     assert identify(odd(spark), model).count() == 12
 
 
+def test_more_languages_than_one_group_holds(spark, monkeypatch):
+    from tilewright.llm import language as L
+
+    rng = random.Random(8)
+    alphabets = {f"l{k:02d}": [chr(0x4E00 + 40 * k + c) for c in range(40)] + [" "] for k in range(35)}
+    rows = [(k, "".join(rng.choice(alphabets[x]) for _ in range(120)), x) for k, x in enumerate(sorted(alphabets) * 5)] + [(1000, "12 !?", "l01"), (1001, None, "l02")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(docs)
+    assert isinstance(model, L.GroupedModel) and len(model.groups) == 2 and model.langs == sorted(alphabets)
+    got = {r["doc_id"]: r for r in L.identify(docs, model).collect()}
+    assert len(got) == len(rows) and all(got[k]["lang_pred"] == (x if k < 1000 else "und") for k, _, x in rows)
+    # groups give what one model gives
+    few = docs.filter("lang < 'l06'")
+    one = L.train(few)
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 2)
+    several = L.train(few)
+    assert isinstance(one, L.LanguageModel) and len(several.groups) == 3
+    a, b = ({r["doc_id"]: r for r in L.identify(few, m).collect()} for m in (one, several))
+    for k, r in a.items():
+        assert (r["lang_pred"], r["rejected"]) == (b[k]["lang_pred"], b[k]["rejected"]) and b[k]["score"] == pytest.approx(r["score"], abs=1e-6)
+        assert r["entropy"] is None and b[k]["entropy"] is None or b[k]["entropy"] == pytest.approx(r["entropy"], abs=1e-4)
+
+
+def test_every_gram_of_large_alphabets_is_kept(spark):
+    from tilewright.llm.language import fold, grams, letters, train
+
+    rng = random.Random(9)
+    texts = [("".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(1000)), x) for x in ("ja", "zh") for _ in range(200)]
+    model = train(spark.createDataFrame(texts, "text string, lang string"))
+    own = np.unique(np.concatenate([grams(letters([t])[0]) for t, _ in texts]))
+    assert len(own) > 1 << 18 and len(model.hashes[4]) == len(own)
+    assert (model._find(4, fold(own, 4, model.bits)) >= 0).all()
+    strange = np.setdiff1d(np.array([int.from_bytes(rng.randbytes(8), "big") for _ in range(2000)], np.uint64), own)
+    assert (model._find(4, fold(strange, 4, model.bits)) < 0).all()
+
+
 def test_language_probabilities_sum_to_one(spark):
     from tilewright.llm.language import train
 

@@ -5,8 +5,8 @@ four characters: absolute discounting at each order, continuation counts below t
 training texts: tasks count the distinct four-character grams of their rows, Spark adds them up, and the lower orders are aggregations of those.
 
 For scoring, the grams of all languages stand in one sorted array of hashes for each order, with the full interpolated log-probabilities of every language beside them; a text's score for a language
-is its cross-entropy by character. Grams are folded to so many bits of their hash that the arrays stay within a stated size whatever the corpus is;
-folded grams share their counts. The lowest cross-entropy wins, and it is accepted if it is at most the language's calibrated limit.
+is its cross-entropy by character. Grams are known by 62 bits of a hash, so that practically none share counts however many there are. Languages are dealt out in groups, each of which is a model of stated size (of one language at least); with more than one
+group, texts are scored against one after the other. The lowest cross-entropy wins, and it is accepted if it is at most the language's calibrated limit.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +26,10 @@ from tilewright.llm.text import U64, mix, ranges
 from tilewright.session import text_batches, written
 
 ORDER = 4
-#: Bits of a folded gram: at most 2 ** FOLD_BITS grams of each order and language.
-FOLD_BITS = 18
-#: Languages of one model; with ORDER, FOLD_BITS and 4 bytes a probability they bound what is broadcast.
-MOST_LANGUAGES = 32
+#: Bits of a gram's hash: of fifty million grams any two share one with a chance under one in a thousand.
+FOLD_BITS = 62
+#: Languages of one group, and its probabilities of the highest order (distinct grams x languages; one language may have more): they bound what is broadcast at once.
+MOST_LANGUAGES, MOST_CELLS = 32, 1 << 23
 #: Rows of the calibration sample for each language, and the share of them that is accepted.
 CALIBRATION_ROWS, ACCEPTED = 500, 0.995
 DISCOUNT = 0.75
@@ -122,17 +123,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fold(gram: np.ndarray, order: int, bits: int) -> np.ndarray:
     """The folded hash of grams of an order (their last 16 * order bits)."""
     mask = U64((1 << 16 * order) - 1)
-    return (mix((gram & mask) * U64(2) + U64(order * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> U64(64 - bits)).astype(np.int64)
+    return (mix((gram & mask) + U64(order * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> U64(64 - bits)).astype(np.int64)
 
 
-def count_grams(docs: DataFrame, bits: int = FOLD_BITS) -> DataFrame:
-    """Of every order the folded grams of docs (text, lang): (lang, level, h, gram, n, kinds).
+def distinct_grams(docs: DataFrame) -> DataFrame:
+    """The distinct four-character grams of docs (text, lang): (lang, gram, n), written."""
+    raw = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    return written(raw.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def count_grams(level: DataFrame, bits: int = FOLD_BITS) -> DataFrame:
+    """Of every order the folded grams of distinct_grams(): (lang, level, h, gram, n, kinds).
 
     level k: n is the count (below the highest order: of different characters before it), gram one gram of the fold. level -k: the folded contexts of grams of
     order k, with the sum n of their grams' counts and the number kinds of their grams.
     """
-    raw = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
-    level = written(raw.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     out = None
     for order in range(ORDER, 0, -1):
 
@@ -162,7 +167,7 @@ class LanguageModel:
     floor: float = -12.0
     limit: np.ndarray | None = None
     scale: float = 20.0
-    _places: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
+    _places: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_places": {}}
@@ -170,9 +175,21 @@ class LanguageModel:
     def _find(self, level: int, h: np.ndarray) -> np.ndarray:
         """Where the hashes stand in a level's sorted array, or -1."""
         if level not in self._places:
-            self._places[level] = np.full(1 << self.bits, -1, np.int32)
-            self._places[level][self.hashes[level]] = np.arange(len(self.hashes[level]))
-        return self._places[level][h]
+            own = self.hashes[level]
+            top = min(self.bits, len(own).bit_length() + 1)
+            first = np.searchsorted(own, np.arange(1 << top, dtype=np.int64) << (self.bits - top)).astype(np.int32)
+            self._places[level] = first, np.append(own, np.iinfo(np.int64).max)
+        first, own = self._places[level]
+        # from the first of those with its highest bits on, a hash is looked for in order
+        out, live = np.full(len(h), -1, np.int32), np.arange(len(h))
+        at = first[h >> (self.bits - (len(first).bit_length() - 1))]
+        while len(live):
+            got = own[at]
+            hit = got == h
+            out[live[hit]] = at[hit]
+            less = got < h
+            live, at, h = live[less], at[less] + 1, h[less]
+        return out
 
     def log_probabilities(self, gram: np.ndarray, order: int = ORDER) -> np.ndarray:
         """ln p(last character | those before it) of each gram in each language."""
@@ -199,8 +216,21 @@ class LanguageModel:
         return -np.add.reduceat(value, np.cumsum(size) - size, axis=0, dtype=np.float64) / size[:, None], has
 
 
-def build(rows: pa.Table, langs: list[str], bits: int) -> LanguageModel:
-    """Interpolated Kneser-Ney probabilities of the counted grams (count_grams: at most languages x orders x 2 x 2 ** bits rows)."""
+@dataclass
+class GroupedModel:
+    """Languages of several models, each of which is broadcast by itself; the languages stand in the order of the groups."""
+
+    langs: list[str]
+    groups: list[Broadcast]
+    limit: np.ndarray | None = None
+    scale: float = 20.0
+
+
+def build(rows: pa.Table, langs: list[str], bits: int, letters_known: int | None = None) -> LanguageModel:
+    """Interpolated Kneser-Ney probabilities of the counted grams (count_grams: a row or less for each distinct gram of an order and context).
+
+    letters_known: distinct characters, if there are other languages than these.
+    """
     model = LanguageModel(langs, bits)
     lang = np.array([{x: k for k, x in enumerate(langs)}[x] for x in rows.column("lang").to_pylist()], np.int64)
     level, h, n, kinds = (rows.column(c).to_numpy() for c in ("level", "h", "n", "kinds"))
@@ -213,7 +243,7 @@ def build(rows: pa.Table, langs: list[str], bits: int) -> LanguageModel:
         counts[back, lang[own]], different[back, lang[own]] = n[own], kinds[own]
         return hashes, gram[own[first]] if len(own) else gram[:0], counts, different
 
-    model.floor = -float(np.log(len(np.unique(h[level == 1])) + 1))
+    model.floor = -float(np.log((len(np.unique(h[level == 1])) if letters_known is None else letters_known) + 1))
     for order in range(1, ORDER + 1):
         hashes, one, counts, _ = dense(order)
         heads, _, total, different = dense(-order)
@@ -227,20 +257,45 @@ def build(rows: pa.Table, langs: list[str], bits: int) -> LanguageModel:
     return model
 
 
-def train(docs: DataFrame, bits: int = FOLD_BITS, calibration_rows: int = CALIBRATION_ROWS, accepted: float = ACCEPTED) -> LanguageModel:
+def grouped(langs: list[str], kinds: dict[str, int]) -> list[list[str]]:
+    """The languages in groups of at most MOST_LANGUAGES and about MOST_CELLS probabilities (of one language at least)."""
+    out: list[list[str]] = []
+    total = 0
+    for x in langs:
+        total += (n := kinds.get(x, 0))
+        if not out or len(out[-1]) == MOST_LANGUAGES or (len(out[-1]) + 1) * total > MOST_CELLS:
+            out.append([])
+            total = n
+        out[-1].append(x)
+    return out
+
+
+def train(docs: DataFrame, bits: int = FOLD_BITS, calibration_rows: int = CALIBRATION_ROWS, accepted: float = ACCEPTED) -> LanguageModel | GroupedModel:
     """Learns from docs (text, lang); rows with a null in either aren't used. Counts cover all rows; only the scale of scores and the limits of
     rejection are fitted on a sample of about calibration_rows rows a language."""
     docs = text_batches(docs).select("text", "lang").filter("lang is not null and text is not null")
-    rows = count_grams(docs, bits)
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    level = distinct_grams(docs)
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    kinds = {r["lang"]: r["count"] for r in level.groupBy("lang").count().collect()}
     langs = sorted(sizes)
-    model = build(rows.toArrow(), langs, bits)
+    groups = grouped(langs, kinds)
+    spark = docs.sparkSession
+    if len(groups) <= 1:
+        model = build(count_grams(level, bits).toArrow(), langs, bits)
+    else:
+        known = level.select(F.col("gram").bitwiseAND(F.lit(0xFFFF))).distinct().count()
+        parts = ((own, level.filter(F.col("lang").isin(own))) for own in groups)
+        model = GroupedModel(langs, [spark.sparkContext.broadcast(build(count_grams(rows, bits).toArrow(), own, bits, known)) for own, rows in parts])
     if not langs:
         return model
     shares = {x: min(1.0, calibration_rows / n) for x, n in sizes.items()}
-    sample = docs.sampleBy("lang", shares, seed=17).mapInArrow(_calibrate(docs.sparkSession.sparkContext.broadcast(model)), "truth int, values array<double>").toArrow()
+    sample = docs.sampleBy("lang", shares, seed=17)
+    if isinstance(model, GroupedModel):
+        number = F.array_position(F.lit(langs), F.col("lang")) - 1
+        valued = with_entropies(sample.select(number.cast("int").alias("truth"), F.col("text").alias("__text")), model, ["truth"])
+        sample = valued.filter("__has").select("truth", F.col("__values").alias("values")).toArrow()
+    else:
+        sample = sample.mapInArrow(_calibrate(spark.sparkContext.broadcast(model)), "truth int, values array<double>").toArrow()
     truth = sample.column("truth").to_numpy()
     values = np.array(sample.column("values").to_pylist(), np.float64).reshape(-1, len(langs))
     if len(truth):
@@ -268,24 +323,53 @@ def _calibrate(shared):
     return run
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
+def with_entropies(docs: DataFrame, model: GroupedModel, keep: list[str]) -> DataFrame:
+    """docs (keep, __text) with __has (a letter) and __values (the cross-entropies in the model's order); texts are written between two groups, so that a worker holds one."""
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
+    names = [*keep, "__text", "__has", "__values"]
+    rows = docs.select(*keep, "__text", F.lit(False).alias("__has"), F.array().cast("array<double>").alias("__values"))
+    for k, shared in enumerate(model.groups):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                for i, j, texts in _texts(batch, "__text"):
+                    values, has = known.entropies(texts)
+                    part = batch.slice(i, j - i)
+                    before = part.column("__values").to_pylist()
+                    values = [[*a, *b] for a, b in zip(before, values.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:-2]), pa.array(has), pa.array(values, pa.list_(pa.float64()))], names)
+
+        rows = rows.mapInArrow(run, f"{types}__text string, __has boolean, __values array<double>")
+        if k < len(model.groups) - 1:
+            rows = written(rows, "entropies")
+    return rows.drop("__text")
+
+
+def identify(docs: DataFrame, model: LanguageModel | GroupedModel, keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: the kept columns (doc_id), lang_pred, score, entropy, rejected.
 
     lang_pred is the language of the lowest cross-entropy (the first by name of equals), or und if the text is null or has no letter, or nothing was learned; score is then 0, entropy null.
     score is the scaled softmax of the entropies. rejected: the entropy is over the language's calibrated limit, or und. Repeated rows and null ids stay. No shuffle;
-    the model is broadcast (its size is bounded by its bits and languages).
+    the model is broadcast (one group of languages at a time, if there are several).
     """
     keep = ["doc_id"] if keep is None else keep
     if clash := {"lang_pred", "score", "entropy", "rejected"} & set(keep):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields) + "lang_pred string, score double, entropy double, rejected boolean"
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if several := isinstance(model, GroupedModel):
+        shared = docs.sparkSession.sparkContext.broadcast(GroupedModel(model.langs, [], model.limit, model.scale))
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for i, j, texts in _texts(batch, "__text"):
-                values, has = known.entropies(texts)
+            for i, j, texts in [(0, len(batch), [])] if several else _texts(batch, "__text"):
+                if several:
+                    values, has = np.array(batch.column("__values").to_pylist(), np.float64).reshape(len(batch), len(known.langs)), batch.column("__has").to_numpy(zero_copy_only=False)
+                else:
+                    values, has = known.entropies(texts)
                 if not known.langs:
                     has[:] = False
                     values = np.zeros((len(texts), 1))
@@ -299,4 +383,5 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in keep] + columns, [*keep, "lang_pred", "score", "entropy", "rejected"])
 
-    return text_batches(docs).select(*keep, docs["text"].alias("__text")).mapInArrow(run, fields)
+    rows = text_batches(docs).select(*keep, docs["text"].alias("__text"))
+    return (with_entropies(rows, model, keep) if several else rows).mapInArrow(run, fields)
