@@ -381,10 +381,40 @@ def test_token_files(spark, tmp_path):
     assert read_tokens(spark, path, [rows[0][0]]).count() == 1
     write_tokens(odd(spark), public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "odd"))
     assert token_digest(spark, str(tmp_path / "odd")).count() == 12
+    # rows of one id, some of them equal: every slice that the digest names is what stands there in the files, end to end
+    again = frame(spark, [(1, prose(rng, 11)), (1, "two"), (1, None), (1, "two"), (2, "three"), (None, "four"), (2, prose(rng, 400)), *((3, prose(rng, k)) for k in range(60))])
+    write_tokens(again, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "again"), file_rows=4)
+    rows = read_tokens(spark, str(tmp_path / "again")).orderBy("part", "place").collect()
+    flat, starts = [x for r in rows for x in r["ids"]], {}
+    assert len({r["part"] for r in rows}) > 8 and [r["doc_id"] or 0 for r in rows] == sorted(r["doc_id"] or 0 for r in rows)
+    digest = token_digest(spark, str(tmp_path / "again")).collect()
+    assert sorted((r["start"], r["n_tokens"]) for r in digest) == [(sum(len(x["ids"]) for x in rows[:k]), len(rows[k]["ids"])) for k in range(len(rows))]
+    assert all(zlib.crc32(np.array(flat[r["start"] : r["start"] + r["n_tokens"]], "<u4").tobytes()) == r["ids_crc32"] for r in digest)
     write_tokens(frame(spark, []), public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "none"))
     assert token_digest(spark, str(tmp_path / "none")).count() == 0
 
 
+def scanned(df):
+    """The rows that a query's scan brought in, after the files' indexes were used."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_token_files_are_pruned(spark, tmp_path):
+    from tilewright.llm.token_files import read_tokens, write_tokens
+
+    docs = spark.range(0, 20000, 2).selectExpr("id as doc_id", "'some words' as text")
+    for bloom in (False, True):
+        write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / f"t{bloom}"), file_rows=5000, bloom=bloom)
+    read = {bloom: read_tokens(spark, str(tmp_path / f"t{bloom}"), [7001]) for bloom in (False, True)}
+    # the id is between two others: statistics leave one row group of one file, Bloom filters none
+    assert (scanned(read[False]), scanned(read[True])) == (1024, 0)
+    assert read[True].count() == 0 and scanned(read_tokens(spark, str(tmp_path / "tTrue"), [7000])) == 1024
+    assert read_tokens(spark, str(tmp_path / "tTrue"), [7000]).first()["n_tokens"] == 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("abcdetheingrou   ▁\n\t日🎉é1.,\x00")), max_size=80), min_size=1, max_size=4))
 def test_piece_ids_are_the_librarys(texts):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.ordered import range_bounds, range_number
+from tilewright.llm.ordered import key, ranges_of, text_hash
 from tilewright.llm.text import U64, mix, stream
 from tilewright.session import text_batches
 
@@ -93,7 +93,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         out = []
         for part, doc_id, guest, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "guest", "text")), strict=True):
             if guest and (held is None or held[0] != part):
-                continue  # another row with the id of the guest that has been
+                continue  # an equal row of the guest that has been
             points = _points(text)
             print_ = fingerprint(points)
             if held is not None and held[0] == part:
@@ -112,20 +112,21 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def order_minhash(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of every row of docs (doc_id, text), and of each text with its last half replaced from the next row in descending doc_id.
 
-    Null is the empty text. Null ids come last; rows of one id are in descending order of their text, empty or null last. After the last row comes the first, so a single row is its own
-    next. Other columns aren't read. Rows are dealt out by ranges of the id, each with one guest: the first row of the range after it.
+    Null is the empty text. Null ids come last; rows of one id are in descending order of a hash of their text. After the last row comes the first, so a single row is its own
+    next. Other columns aren't read. Rows are dealt out by ranges of (id, hash), a task each, with one guest: the first row of the range after it. The first keys of ranges
+    (bounded in number) come to the driver and are broadcast.
     """
     docs = text_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = range_bounds(docs.select("doc_id"), "doc_id", range_rows)
-    part = F.lit(len(bounds)) - range_number(F.col("doc_id"), bounds)
-    # the first id of each range that has rows
-    heads = sorted((r["part"], r["head"]) for r in docs.select("doc_id").groupBy(part.alias("part")).agg(F.max("doc_id").alias("head")).collect())
-    # an id that begins a range is a guest of the range before, the first of all one of the last
-    guest_of = [(heads[k][1], heads[k - 1][0]) for k in range(len(heads))]
-    own = F.struct(part.alias("part"), F.lit(False).alias("guest"))
-    names = docs.sparkSession.createDataFrame(guest_of, "head long, before int")
-    found = docs.join(F.broadcast(names), F.col("doc_id").eqNullSafe(F.col("head")), "left")  # a row for each range is broadcast
+    ranges = ranges_of(docs, range_rows)
+    last = len(ranges) - 1
+    keyed = docs.select("doc_id", "text", key().alias("id"), text_hash().alias("h"))
+    keyed = keyed.withColumn("part", F.lit(last) - ranges.number(F.col("id"), F.col("h")))
+    # the first key of each range that has rows
+    heads = sorted(tuple(r) for r in keyed.groupBy("part").agg(F.max(F.struct("id", "h")).alias("k")).select("part", "k.id", "k.h").collect())
+    # it is a guest of the range before, the first of all one of the last
+    names = docs.sparkSession.createDataFrame([(*heads[k][1:], heads[k - 1][0]) for k in range(len(heads))], "id long, h long, before int")
+    own = F.struct("part", F.lit(False).alias("guest"))
     visits = F.when(F.col("before").isNotNull(), F.array(own, F.struct(F.col("before").alias("part"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    rows = found.select("doc_id", "text", F.explode(visits).alias("visit")).select(F.col("visit.part").alias("part"), F.col("visit.guest").alias("guest"), "doc_id", "text")
-    rows = rows.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return rows.mapInArrow(_fingerprints, _FIELDS)
+    rows = keyed.join(F.broadcast(names), ["id", "h"], "left").select("doc_id", "text", "id", "h", F.explode(visits).alias("visit")).select("visit.part", "visit.guest", "doc_id", "text", "id", "h")
+    rows = rows.repartitionById(len(ranges), "part").sortWithinPartitions("part", "guest", F.desc("id"), F.desc("h"), F.desc("text"))
+    return rows.select("part", "guest", "doc_id", "text").mapInArrow(_fingerprints, _FIELDS)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilewright.llm.ordered import range_bounds, range_number
+from tilewright.llm.ordered import key, ranges_of, text_hash
 from tilewright.llm.segments import SegmentStore
 from tilewright.llm.text import BYTE_HASH, sliced, span_hash, utf8
-from tilewright.session import text_batches, written
+from tilewright.session import text_batches
 
 #: Documents in one file.
 FILE_ROWS = 8192
@@ -90,34 +91,44 @@ def encoder(path: str) -> TokenEncoder:
     return TokenEncoder(path)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 0, file_rows: int = FILE_ROWS) -> None:
-    """Writes docs (doc_id, text) as ORC files of (part, doc_id, n_tokens, ids) in ascending doc_id order, parts in that order too.
+_COLUMNS = "part int, place long, first long, doc_id long, n_tokens long, ids array<int>"
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 0, file_rows: int = FILE_ROWS, bloom: bool = True) -> None:
+    """Writes docs (doc_id, text) as ORC files, each a range of ids, in ascending doc_id order: part, place (the row's number in its part), first (ids before it in its part), doc_id, n_tokens, ids.
 
     tokenizer: path of a tokenizer file that every executor has. end: the id appended to each document. A null text is the empty text. Null ids come
-    first; rows of one id are ordered by their text. Other columns aren't read. Nothing is written for an empty table but its schema.
+    first; rows of one id are ordered by a hash of their text, then by the text. Other columns aren't read. Nothing is written for an empty table but its schema.
     """
     docs = text_batches(docs).select("doc_id", "text")
-    bounds = range_bounds(docs.select("doc_id"), "doc_id", file_rows)
-    dealt = docs.select(range_number(F.col("doc_id"), bounds).alias("part"), "doc_id", "text")
-    dealt = dealt.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    ranges = ranges_of(docs, file_rows)
+    dealt = docs.select("doc_id", "text", key().alias("id"), text_hash().alias("h"))
+    dealt = dealt.withColumn("part", ranges.number(F.col("id"), F.col("h")))
+    dealt = dealt.repartitionById(len(ranges), "part").sortWithinPartitions("part", "id", "h", F.asc_nulls_first("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(tokenizer)
+        here, place, first = None, 0, 0
         for batch in batches:
-            for i, j, ids, at in known.encode(batch.column("text"), end):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("part").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))],
-                    ["part", "doc_id", "n_tokens", "ids"],
-                )
-
-    out = dealt.mapInArrow(run, "part int, doc_id long, n_tokens long, ids array<int>")
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1024", "orc.stripe.size": str(16 << 20), "compression": "snappy"}
+            parts = batch.column("part").to_numpy()
+            for a, b in pairwise([0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]):
+                if a < b and parts[a] != here:
+                    here, place, first = parts[a], 0, 0
+                for i, j, ids, at in known.encode(batch.column("text").slice(a, b - a), end):
+                    rows = batch.slice(a + i, j - i)
+                    arrays = [rows.column("part"), pa.array(np.arange(place, place + j - i)), pa.array(first + at[:-1]), rows.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["part", "place", "first", "doc_id", "n_tokens", "ids"])
+                    place, first = place + j - i, first + int(at[-1])
+
+    out = dealt.select("part", "doc_id", "text").mapInArrow(run, _COLUMNS)
+    options = {"orc.create.index": "true", "orc.row.index.stride": "1024", "orc.stripe.size": str(16 << 20), "compression": "snappy"}
+    options |= {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"} if bloom else {}
     out.write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(part, doc_id, n_tokens, ids) of the files; with doc_ids only those, pruned by statistics and Bloom filters."""
-    df = spark.read.schema("part int, doc_id long, n_tokens long, ids array<int>").orc(path)
+    """(part, place, first, doc_id, n_tokens, ids) of the files; with doc_ids only those, pruned by statistics and Bloom filters."""
+    df = spark.read.schema(_COLUMNS).orc(path)
     return df if doc_ids is None else df.filter(F.col("doc_id").isin([int(x) for x in doc_ids]))
 
 
@@ -126,15 +137,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("ids")
         flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
         crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["part", "doc_id", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "first", "doc_id")), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["part", "first", "doc_id", "n_tokens", "ids_crc32"])
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers).
 
-    Running sums are made within parts (of bounded size) and of the parts' totals (a row for each file). Of rows with the same id, equal texts are told apart by nothing, and so are summed in any order.
+    A row's place within its part is in the file; the parts' totals (a row for each range, which are bounded in number) are summed up and broadcast.
     """
-    slim = written(read_tokens(spark, path).mapInArrow(_digest, "part int, doc_id long, n_tokens long, ids_crc32 long"), "digest")
-    totals = slim.groupBy("part").agg(F.sum("n_tokens").alias("total")).withColumn("base", F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
-    inside = F.sum("n_tokens").over(W.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "ids_crc32").rowsBetween(W.unboundedPreceding, -1))
-    return slim.withColumn("inside", inside).join(totals.select("part", "base"), "part").select("doc_id", (F.coalesce("base", F.lit(0)) + F.coalesce("inside", F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
+    tokens = read_tokens(spark, path)
+    totals = tokens.groupBy("part").agg(F.max(F.col("first") + F.col("n_tokens")).alias("total"))
+    base = totals.select("part", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    digest = tokens.mapInArrow(_digest, "part int, first long, doc_id long, n_tokens long, ids_crc32 long")
+    return digest.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
