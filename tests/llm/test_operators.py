@@ -84,6 +84,26 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_recall_on_a_skewed_table(spark):
+    """All pairs of 1,500 rows, a third of them copies of one text and a third near one another at similarities on both sides of 0.75."""
+    from tilewright.llm.minhash import near_duplicates
+
+    rng = random.Random(5)
+    base, chain = prose(rng, 120).split(), prose(rng, 90).split()
+    rows = [(k, " ".join(base)) for k in range(500)]
+    for k in range(500, 1000):
+        words = list(chain)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        rows.append((k, " ".join(words)))
+    rows += [(k, prose(rng, rng.randint(3, 60))) for k in range(1000, 1500)]
+    rng.shuffle(rows)
+    want = brute_components(rows)
+    got = {r["doc_id"]: r for r in near_duplicates(frame(spark, rows).repartition(7)).collect()}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+    assert sum(r["kept"] for r in got.values()) == len({c for _, c in want.values()}) and len({c for _, c in want.values()}) < 900
+
+
 def test_components_of_a_chain(spark):
     from tilewright.llm.components import components
 

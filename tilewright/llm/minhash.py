@@ -1,8 +1,8 @@
 """MinHash near-duplicates: many universal hash minima with banding, signature verification, exact confirmation on full sets,
 and connected components by alternating large-star and small-star.
 
-1. One scan makes each document's word-sequence key, set size and signature. Documents of one word sequence have one
-   representative (the smallest id), found by a grouped minimum.
+1. One scan makes each document's word-sequence key, set size and signature; copies in one batch become one row with a list of ids. Documents of one
+   word sequence have one representative (the smallest id), found by a grouped minimum.
 2. The representatives' bands are grouped: the smallest id of a bucket is its hub, and every other member is held against the hub
    only, so that a bucket of k members makes k - 1 pairs. The texts of all members are set aside, with a long signature of each. A pair whose long
    signatures agree in enough places is confirmed on full sets, which are made again from the whole texts, dealt by hub in chunks, so that a
@@ -62,23 +62,22 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-_SKETCH = "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>"
+_SKETCH = "docs array<long>, k1 long, k2 long, n_shingles long, bands array<long>"
 
 
 def _sketches(size: int):
+    """Rows of one word sequence in a batch become one row with all their ids, so that a large group of copies is few rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column("text"), size)
-            full = [len(s) > 0 for _, _, s in sets]
-            sig = [signature(s) if f else None for (_, _, s), f in zip(sets, full, strict=True)]
-            keys = np.array([(a, b) for a, b, _ in sets], U64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(s) for _, _, s in sets], pa.int64()),
-                    pa.array([None if s is None else band_keys(s).view(np.int64) for s in sig], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "k1", "k2", "n_shingles", "bands"],
-            )
+            groups: dict[tuple[int, int], tuple[np.ndarray, list[int | None]]] = {}
+            for doc_id, (a, b, members) in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
+                groups.setdefault((a, b), (members, []))[1].append(doc_id)
+            keys = np.array(list(groups), U64).reshape(-1, 2).view(np.int64)
+            sets, ids = [m for m, _ in groups.values()], [d for _, d in groups.values()]
+            bands = [band_keys(signature(m)).view(np.int64) if len(m) else None for m in sets]
+            columns = [pa.array(ids, pa.list_(pa.int64())), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(m) for m in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["docs", "k1", "k2", "n_shingles", "bands"])
 
     return run
 
@@ -203,10 +202,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, size: int = WORDS
     """
     docs, percent = text_batches(docs).select("doc_id", "text"), round(100 * similarity)
     sketches = written(docs.mapInArrow(_sketches(size), _SKETCH), "sketches")
-    full = sketches.filter("n_shingles > 0 and doc_id is not null")
+    full = sketches.filter("n_shingles > 0").withColumn("doc_id", F.array_min("docs")).filter("doc_id is not null")
     firsts = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"))
-    of = written(sketches.select("doc_id", "k1", "k2", "n_shingles").join(firsts, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("copy_of")).alias("copy_of")), "copies")
-    alone = full.join(firsts, ["k1", "k2"]).filter("doc_id = copy_of").select("doc_id", "k1", "bands")
+    of = sketches.select("docs", "k1", "k2", "n_shingles").join(firsts, ["k1", "k2"], "left")
+    of = written(of.select(F.explode("docs").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("copy_of")).alias("copy_of")), "copies")
+    # the key has the id in it, so the copies of a large group don't meet
+    alone = full.join(firsts.withColumnRenamed("copy_of", "doc_id"), ["k1", "k2", "doc_id"]).select("doc_id", "k1", "bands")
     alone = written(alone.groupBy("doc_id").agg(F.min(F.struct("k1", "bands")).alias("s")).select("doc_id", "s.bands"), "alone")
     discard(sketches)
 
