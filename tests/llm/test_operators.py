@@ -346,6 +346,26 @@ def test_word_piece_counts(spark):
         assert (r["n_words"], r["n_tokens"], r["n_unknown"]) == (len(own), sum(1 if n < 0 else n for n in own), own.count(-1))
 
 
+def test_a_word_of_a_megabyte():
+    import time
+
+    from tilewright.llm.word_pieces import Automaton
+
+    automaton = Automaton({b"ab", b"a", b"b", b"abba"}, {b"a", b"b", b"ba", b"bab"})
+    rng = random.Random(3)
+    words = ["".join(rng.choice("ab") for _ in range(n)).encode() for n in (1 << 20, 300, 20, 20, 9, 8, 7)]
+    ends = np.cumsum([len(w) for w in words])
+    began = time.time()
+    got = automaton.lengths(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    assert time.time() - began < 20
+    for w, n in zip(words, got.tolist(), strict=True):
+        known, i, count = {b"ab", b"a", b"b", b"abba"}, 0, 0
+        while i < len(w):
+            i += next(k for k in (4, 3, 2, 1) if w[i : i + k] in known and len(w[i : i + k]) == k)
+            known, count = {b"a", b"b", b"ba", b"bab"}, count + 1
+        assert n == count
+
+
 def test_word_pieces_of_other_scripts(spark):
     """The longest match over the whole vocabulary, of each word with the space before it."""
     from tilewright.llm.word_pieces import count_pieces
@@ -459,6 +479,42 @@ def test_long_pieces_and_small_stores(monkeypatch):
         assert got == model.library.encode(texts, add_eos=True)
 
 
+def test_rounds_are_the_librarys_on_any_run():
+    """Long runs of pieces and letters, whose merges may hinder one another, and a word of a megabyte."""
+    from tilewright.llm.piece_bpe import MARK, loaded
+
+    model, _ = loaded(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(29)
+    early = [p for p, s in model.symbol.items() if s < len(model.names) and model.early[s] and MARK not in p]
+    assert len(early) > 1000
+    for alphabet in (early, rng.sample(early, 40), list("aeinst"), list("ab"), ["e", "es", "s", "st"], list("日本語中国人")):
+        for n in (2, 7, 60, 900):
+            texts = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(20)]
+            ids, size = model.encode_segments([MARK + t for t in texts])
+            at = np.concatenate(([0], np.cumsum(size)))
+            assert [ids[at[k] : at[k + 1]].tolist() for k in range(20)] == model.library.encode(texts)
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    assert model.encode_segments([MARK + long])[0].tolist() == model.library.encode(long)
+
+
+def test_spans_that_share_a_hash():
+    """Thue-Morse words and their opposites collide under any polynomial hash of 64 bits; the second hash tells them apart."""
+    from tilewright.llm.segments import SegmentStore
+    from tilewright.llm.text import BYTE_HASH, span_check, span_hash
+
+    word = b"a"
+    for _ in range(12):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    data = np.frombuffer(word + word.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    spans = np.array([0, len(word)]), np.array([len(word), 2 * len(word)])
+    h, check = span_hash(BYTE_HASH[data], *spans), span_check(BYTE_HASH[data], *spans)
+    assert h[0] == h[1] and check[0] != check[1]
+    store = SegmentStore()
+    encode = lambda k: (k.astype(np.int32), np.ones(len(k), np.int64))
+    assert store.lookup(h, check, encode)[0].tolist() == [0, 1]
+    assert store.lookup(h[:1], check[:1], encode)[0].tolist() == [0] and store.lookup(h[1:], check[1:], lambda k: (k.astype(np.int32) + 7, np.ones(1, np.int64)))[0].tolist() == [7]
+
+
 def test_encode_decode_rows(spark):
     from tilewright.llm.piece_bpe import encode_decode, loaded
 

@@ -2,14 +2,18 @@
 
 A text is " " + text with each space as U+2581. No piece has that mark behind another character, so no merge crosses the start of a run of
 marks; nor does one cross a character that no longer piece has, such as a line feed. Texts are cut there into segments, and each worker
-encodes each distinct segment once. All new segments of a batch are merged at once: in each round every segment's best-ranked leftmost
-pair is merged, and the flat symbol arrays are compacted, until no pair remains. Characters that aren't pieces become byte pieces.
+encodes each distinct segment once. New segments are cut further between any two characters that no piece has side by side, and all are merged at once:
+in each round every segment's pairs of minimal rank are merged, the leftmost of those that overlap, and the flat symbol arrays are compacted, until no
+pair remains. Characters that aren't pieces become byte pieces.
+
+The library merges one pair at a time, the leftmost of the best. A round does the same merges: as long as none of them makes a pair that is as good or better,
+the next best pair is the next of that round. Where one does, the round's later merges in that segment wait. Long segments are divided into units, each with its minimum, so that a
+round only looks at units that hold a merge, and the arrays are compacted when half of them are merged away.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,12 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tilewright.llm.segments import SegmentStore
-from tilewright.llm.text import BYTE_HASH, sliced, span_hash, utf8
+from tilewright.llm.text import BYTE_HASH, ranges, sliced, span_check, span_hash, utf8
 from tilewright.session import text_batches
 
 MARK = "▁"
-#: Longer segments (text without spaces) are merged one by one from a heap, in n log n steps instead of rounds over all symbols.
-LONG = 400
+#: Symbols in one unit of a segment.
+UNIT = 256
+_NONE = np.int64(1) << 40
 
 
 class PieceModel:
@@ -60,83 +65,109 @@ class PieceModel:
             for k in range(1, len(p)):
                 if p[:k] in symbol and p[k:] in symbol:
                     pairs[symbol[p[:k]] << 32 | symbol[p[k:]]] = (order[score], i)
-        self.pairs = pairs
         self.pair_key = np.array(sorted(pairs), np.int64)
         self.pair_rank = np.array([pairs[k][0] for k in self.pair_key.tolist()], np.int64)
         self.pair_made = np.array([pairs[k][1] for k in self.pair_key.tolist()], np.int64)
+        # pieces that are part of a pair of their own rank or a better one: making them may put another pair first
+        of = {i: order[score] for i, score in pieces.values()}
+        self.early = np.zeros(max(symbol.values()) + 1, bool)
+        self.early[[x for key, (rank, _) in pairs.items() for x in (key >> 32, key & 0xFFFFFFFF) if rank <= of.get(x, -1)]] = True
+        self.beside = np.array(sorted({ord(p[k]) << 32 | ord(p[k + 1]) for p in pieces for k in range(len(p) - 1)}), np.int64)
 
     def _ranked(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of pairs (-1: no merge) and the pieces that they make."""
+        """Ranks of pairs (_NONE: no merge) and the pieces that they make."""
         key = a << 32 | b
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         hit = (self.pair_key[at] == key) & (a >= 0) & (b >= 0)
-        return np.where(hit, self.pair_rank[at], -1), self.pair_made[at]
+        return np.where(hit, self.pair_rank[at], _NONE), self.pair_made[at]
 
     def merge_rounds(self, symbols: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merges flat symbols (below 0: never merges), of ascending segments, until no pair remains; returns what is left."""
-        kept_symbols, kept_segments = [], []
-        none = np.int64(1) << 40
-        rank = np.full(len(symbols), none)
-        made = np.zeros(len(symbols), np.int64)
-        if len(symbols) > 1:
-            r, made[:-1] = self._ranked(symbols[:-1], symbols[1:])
-            rank[:-1] = np.where((segment[:-1] == segment[1:]) & (r >= 0), r, none)
+        done_symbols, done_segments = [], []
         while len(symbols):
-            head = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-            size = np.diff(np.append(head, len(symbols)))
-            # the minimum of (rank, place) of each segment is its leftmost best pair
-            best = np.minimum.reduceat(rank << 22 | np.arange(len(rank)) - np.repeat(head, size), head)
-            open_ = best < none << 22
-            if not open_.all():
-                done = np.repeat(~open_, size)
-                kept_symbols.append(symbols[done])
-                kept_segments.append(segment[done])
-                shift = np.cumsum(done) - done
-                at = head[open_] + (best[open_] & ((1 << 22) - 1))
-                at = at - shift[at]
-                symbols, segment, rank, made = symbols[~done], segment[~done], rank[~done], made[~done]
-            else:
-                at = head + (best & ((1 << 22) - 1))
-            if not len(at):
-                break
-            symbols[at] = made[at]
-            stays = np.ones(len(symbols), bool)
-            stays[at + 1] = False
-            new = at - np.arange(len(at))
-            symbols, segment, rank, made = symbols[stays], segment[stays], rank[stays], made[stays]
-            for i in (new, new[new > 0] - 1):  # only the pairs beside what was merged change
-                last = i + 1 >= len(symbols)
-                j = np.minimum(i + 1, len(symbols) - 1)
-                r, made[i] = self._ranked(symbols[i], symbols[j])
-                rank[i] = np.where((segment[i] == segment[j]) & (r >= 0) & ~last, r, none)
-        if not kept_symbols:
+            symbols, segment, open_ = self._rounds(symbols, segment)
+            keep = ~open_[segment]
+            done_symbols.append(symbols[keep])
+            done_segments.append(segment[keep])
+            symbols, segment = symbols[~keep], segment[~keep]
+        if not done_symbols:
             return symbols, segment
-        symbols, segment = np.concatenate(kept_symbols), np.concatenate(kept_segments)
+        symbols, segment = np.concatenate(done_symbols), np.concatenate(done_segments)
         order = np.argsort(segment, kind="stable")
         return symbols[order], segment[order]
 
-    def merge_heap(self, symbols: list[int]) -> list[tuple[int, int]]:
-        """The same for one long segment: (symbol, place of its first character) in order."""
+    def _rounds(self, symbols: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rounds until half of the symbols are merged away or no pair remains: the compacted arrays, and which segments still have pairs."""
+        symbols, n = symbols.copy(), len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        new = np.ones(n, bool)
+        new[1:] = segment[1:] != segment[:-1]
+        rank, made = np.full(n, _NONE), np.zeros(n, np.int64)
+        rank[:-1], made[:-1] = self._ranked(symbols[:-1], symbols[1:])
+        rank[:-1][new[1:]] = _NONE
+        head = np.flatnonzero(new)
+        place = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
+        unit_start = np.flatnonzero(place % UNIT == 0)
+        unit = np.repeat(np.arange(len(unit_start)), np.diff(np.append(unit_start, n)))
+        unit_size = np.diff(np.append(unit_start, n))
+        unit_segment = segment[unit_start]
+        unit_head = np.flatnonzero(np.concatenate(([True], unit_segment[1:] != unit_segment[:-1])))
+        unit_least = np.minimum.reduceat(rank, unit_start)
+        sizes = np.diff(np.append(unit_head, len(unit_start)))
+        live, dead = np.ones(n, bool), 0
+        while True:
+            least = np.minimum.reduceat(unit_least, unit_head)
+            found = np.repeat(least, sizes)
+            units = np.flatnonzero((unit_least == found) & (found < _NONE))
+            if not len(units) or 2 * dead > n:
+                break
+            at = ranges(unit_start[units], unit_size[units])
+            at = at[rank[at] == np.repeat(found[units], unit_size[units])]
+            # of pairs that overlap the leftmost merges: every second one of a run
+            chained = np.zeros(len(at), bool)
+            chained[1:] = after[at[:-1]] == at[1:]
+            index = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(chained, 0, index))
+            at = at[(index - run) % 2 == 0]
+            at = self._unhindered(at, symbols, segment, after, before, rank, made)
+            gone = after[at]
+            symbols[at] = made[at]
+            rank[gone], live[gone] = _NONE, False
+            onward = after[gone]
+            after[at] = onward
+            before[onward[onward < n]] = at[onward < n]
+            beside = before[at]
+            beside = beside[beside >= 0]
+            for i in (at, beside):  # only the pairs beside what was merged change
+                j = np.minimum(after[i], n - 1)
+                r, made[i] = self._ranked(symbols[i], symbols[j])
+                rank[i] = np.where((after[i] < n) & (segment[i] == segment[j]), r, _NONE)
+            dead += len(at)
+            touched = np.unique(unit[np.concatenate((at, beside, gone))])
+            size = unit_size[touched]
+            unit_least[touched] = np.minimum.reduceat(rank[ranges(unit_start[touched], size)], np.cumsum(size) - size)
+        open_ = np.zeros(int(segment[-1]) + 1, bool)
+        open_[unit_segment[unit_head]] = least < _NONE
+        return symbols[live], segment[live], open_
+
+    def _unhindered(self, at: np.ndarray, symbols: np.ndarray, segment: np.ndarray, after: np.ndarray, before: np.ndarray, rank: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """The merges of a round up to and with the first of each segment that makes a pair that is as good or better."""
+        if not self.early[made[at]].any():
+            return at
         n = len(symbols)
-        symbols, after, before, size = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) < n and symbols[i] >= 0 and symbols[j] >= 0 and (pair := self.pairs.get(symbols[i] << 32 | symbols[j])):
-                heapq.heappush(heap, (pair[0], i, size[i], size[j], pair[1]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            if size[i] != a or (j := after[i]) >= n or size[j] != b or not a:
-                continue
-            symbols[i], size[i], size[j], after[i] = made, a + b, 0, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            offer(before[i])
-        return [(symbols[i], i) for i in range(n) if size[i]]
+        left, right = before[at], after[after[at]]
+        merged = np.zeros(len(at), bool)
+        merged[1:] = right[:-1] == at[1:]
+        previous = np.where(merged, made[np.roll(at, 1)], symbols[left])
+        a, _ = self._ranked(previous, made[at])
+        b, _ = self._ranked(made[at], symbols[np.minimum(right, n - 1)])
+        a[(left < 0) | (segment[left] != segment[at])] = _NONE
+        b[(right >= n) | (segment[np.minimum(right, n - 1)] != segment[at])] = _NONE
+        hinders = np.minimum(a, b) <= rank[at]
+        earlier = np.cumsum(hinders) - hinders
+        of = segment[at]
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        return at[earlier == np.repeat(earlier[first], np.diff(np.append(first, len(at))))]
 
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments end to end, and the number of each; segments already have marks for spaces."""
@@ -145,23 +176,14 @@ class PieceModel:
         kinds, back = np.unique(points, return_inverse=True)
         table = np.array([char.get(chr(c), -1 - int(c)) for c in kinds.tolist()], np.int64)
         symbols = table[back] if len(kinds) else np.zeros(0, np.int64)
-        size = np.array([len(s) for s in segments], np.int64)
-        segment = np.repeat(np.arange(len(segments)), size)
-        long = size > LONG
-        ids: list[np.ndarray] = []
-        of: list[np.ndarray] = []
-        if long.any():
-            ends = np.cumsum(size)
-            for k in np.flatnonzero(long).tolist():
-                left = np.array([s for s, _ in self.merge_heap(symbols[ends[k] - size[k] : ends[k]].tolist())], np.int64)
-                ids.append(left)
-                of.append(np.full(len(left), k))
-            short = ~long[segment]
-            symbols, segment = symbols[short], segment[short]
-        left, where = self.merge_rounds(symbols.copy(), segment.copy())
-        left, where = np.concatenate([left, *ids]), np.concatenate([where, *of])
-        order = np.argsort(where, kind="stable")
-        left, where = left[order], where[order]
+        segment = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
+        # no piece goes over two characters that no piece has side by side
+        wide = points.astype(np.int64)
+        pair = wide[:-1] << 32 | wide[1:]
+        cut = np.ones(len(points), bool)
+        cut[1:] = (segment[1:] != segment[:-1]) | (self.beside[np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)] != pair)
+        left, where = self.merge_rounds(symbols, np.cumsum(cut) - 1)
+        where = segment[np.flatnonzero(cut)][where]
         # what isn't a piece goes to bytes
         odd = np.flatnonzero((left < 0) | (left >= len(self.names)))
         if odd.size:
@@ -201,7 +223,7 @@ class PieceModel:
             def fresh(k: np.ndarray, starts=starts, ends=ends, raw=raw) -> tuple[np.ndarray, np.ndarray]:
                 return self.encode_segments([raw[a:b].decode().replace(" ", MARK) for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)])
 
-            ids, n = store.lookup(span_hash(BYTE_HASH[part], starts, ends), fresh)
+            ids, n = store.lookup(span_hash(BYTE_HASH[part], starts, ends), span_check(BYTE_HASH[part], starts, ends), fresh)
             first = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(starts, at)]  # the first id of each row
             out = np.full(len(ids) + (j - i), self.end, np.int32)
             row = np.repeat(np.arange(j - i), np.diff(first))

@@ -1,4 +1,4 @@
-"""A bounded store of what distinct segments of text (found by 64-bit hash) encode to, kept by each Python worker between batches."""
+"""A bounded store of what distinct segments of text (found by a 64-bit hash, and checked by another of 32 bits) encode to, kept by each Python worker between batches."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ class SegmentStore:
     def clear(self) -> None:
         self.slot_hash, self.slot_item = np.zeros(1 << SLOT_BITS, U64), np.zeros(1 << SLOT_BITS, np.int32)
         self.rest_hash, self.rest_item = np.zeros(0, U64), np.zeros(0, np.int32)
-        self.start, self.length, self.values = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1 << 14, np.int32)
+        self.start, self.length, self.check, self.values = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.uint32), np.zeros(1 << 14, np.int32)
         self.items = self.used = 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -34,14 +34,14 @@ class SegmentStore:
             item[left] = np.where(self.rest_hash[at] == h[left], self.rest_item[at], -1)
         return item
 
-    def _add(self, h: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> None:
+    def _add(self, h: np.ndarray, check: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> None:
         n, m = len(h), len(values)
         while self.items + n > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+            self.start, self.length, self.check = (np.resize(x, 2 * len(x)) for x in (self.start, self.length, self.check))
         while self.used + m > len(self.values):
             self.values = np.resize(self.values, 2 * len(self.values))
         item = np.arange(self.items, self.items + n, dtype=np.int32)
-        self.start[item], self.length[item] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.start[item], self.length[item], self.check[item] = self.used + np.cumsum(lengths) - lengths, lengths, check
         self.values[self.used : self.used + m] = values
         self.items, self.used = self.items + n, self.used + m
         slot = (h >> U64(64 - SLOT_BITS)).astype(np.int64)
@@ -52,11 +52,15 @@ class SegmentStore:
             order = np.argsort(joined := np.concatenate((self.rest_hash, h[~kept])))
             self.rest_hash, self.rest_item = joined[order], np.concatenate((self.rest_item, item[~kept]))[order]
 
-    def lookup(self, h: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """The values of the segments with these hashes, end to end, and how many each has."""
+    def lookup(self, h: np.ndarray, check: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the segments with these hashes, end to end, and how many each has. Where two segments share the first hash only, nothing is looked up."""
         item = self._find(h)
+        if ((item >= 0) & (self.check[item] != check)).any():
+            return encode(np.arange(len(h)))
         if (missing := np.flatnonzero(item < 0)).size:
             new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            if (check[missing] != check[missing[first]][back]).any():
+                return encode(np.arange(len(h)))
             values, lengths = encode(missing[first])
             if self.items + len(new) > self.most_segments or self.used + len(values) > self.most_values:
                 had_start, had_length, had_values = self.start, self.length, self.values
@@ -70,10 +74,10 @@ class SegmentStore:
                 out[ranges(at[missing], n[missing])] = values[ranges(own_start[back], n[missing])]
                 self.clear()
                 if len(new) <= self.most_segments and len(values) <= self.most_values:
-                    self._add(new, values, lengths)
+                    self._add(new, check[missing[first]], values, lengths)
                 return out, n
             base = self.items
-            self._add(new, values, lengths)
+            self._add(new, check[missing[first]], values, lengths)
             item[missing] = base + back
         n = self.length[item].astype(np.int64)
         return self.values[ranges(self.start[item], n)], n

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.ordered import key, ranges_of, text_hash
 from tilewright.llm.segments import SegmentStore
-from tilewright.llm.text import BYTE_HASH, sliced, span_hash, utf8
+from tilewright.llm.text import BYTE_HASH, sliced, span_check, span_hash, utf8
 from tilewright.session import text_batches
 
 #: Documents in one file.
@@ -76,7 +76,7 @@ class TokenEncoder:
                 lists = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
                 return np.array([x for ids in lists for x in ids], np.int32), np.array([len(ids) for ids in lists], np.int64)
 
-            ids, n = self.store.lookup(span_hash(BYTE_HASH[part], starts, ends), fresh)
+            ids, n = self.store.lookup(span_hash(BYTE_HASH[part], starts, ends), span_check(BYTE_HASH[part], starts, ends), fresh)
             first = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(starts, at)]
             out = np.full(len(ids) + (j - i), end, np.int32)
             out[np.arange(len(ids)) + np.repeat(np.arange(j - i), np.diff(first))] = ids

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from tilewright.llm.segments import SegmentStore
 from tilewright.llm.shingles import words
-from tilewright.llm.text import BYTE_HASH, sliced, span_hash, utf8
+from tilewright.llm.text import BYTE_HASH, sliced, span_check, span_hash, utf8
 from tilewright.session import text_batches
 
 ROOT, MORE, NONE = 0, 1, -1
@@ -36,6 +36,9 @@ def byte_vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     pieces = [bytes(spelt[c] for c in t) for t in known["model"]["vocab"] if t not in special]
     return [p[1:] for p in pieces if p[0] == 32], [p for p in pieces if p[0] != 32]
 
+#: So many words are walked by themselves.
+FEW = 4
+
 
 class Automaton:
     def __init__(self, first: Iterable[bytes], more: Iterable[bytes], lone_space: bool = False) -> None:
@@ -71,6 +74,7 @@ class Automaton:
         moves = sorted((u << 8 | b, v) for u, own in enumerate(children) for b, v in own.items())
         self.move = np.array([k for k, _ in moves], np.int64)
         self.to = np.array([v for _, v in moves], np.int64)
+        self.moves = dict(moves)
 
     def _follow(self, at: np.ndarray, b: np.ndarray) -> np.ndarray:
         if not len(self.move):
@@ -79,6 +83,16 @@ class Automaton:
         k = np.minimum(np.searchsorted(self.move, key), len(self.move) - 1)
         return np.where(self.move[k] == key, self.to[k], NONE)
 
+    def _walk(self, at: int, n: int, rest: bytes) -> tuple[int, int]:
+        """State and popped pieces after the other bytes of one word."""
+        for b in rest:
+            while (to := self.moves.get(at << 8 | b, NONE)) == NONE:
+                n += int(self.pops[at])
+                if (at := int(self.link[at])) == NONE:
+                    return at, n
+            at = to
+        return at, n
+
     def lengths(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Pieces of each word data[start:end]; -1 for a word that the vocabulary can't spell."""
         size = ends - starts
@@ -88,6 +102,10 @@ class Automaton:
         for k in range(int(size[0]) if len(size) else 0):
             live = np.arange(np.searchsorted(-size, -k, "left"))  # words longer than k
             live = live[at[live] != NONE]
+            if len(live) <= FEW:  # the ends of the longest words are walked one by one
+                for w in live.tolist():
+                    at[w], n[w] = self._walk(int(at[w]), int(n[w]), data[starts[w] + k : starts[w] + size[w]].tobytes())
+                break
             b = data[starts[live] + k].astype(np.int64)
             while len(live):
                 to = self._follow(at[live], b)
@@ -136,7 +154,7 @@ def count_pieces(docs: DataFrame, vocabulary: str, keep: list[str] | None = None
                 def fresh(k: np.ndarray, part=part, starts=starts, ends=ends) -> tuple[np.ndarray, np.ndarray]:
                     return automaton.lengths(part, starts[k], ends[k]).astype(np.int32), np.ones(len(k), np.int64)
 
-                n = store.lookup(span_hash(BYTE_HASH[part], starts, ends), fresh)[0].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+                n = store.lookup(span_hash(BYTE_HASH[part], starts, ends), span_check(BYTE_HASH[part], starts, ends), fresh)[0].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
                 total = np.concatenate(([0], np.cumsum(np.where(n < 0, 1, n))))[first]
                 lost = np.concatenate(([0], np.cumsum(n < 0)))[first]
                 out.append(np.stack([np.diff(first), np.diff(total), np.diff(lost)], axis=1))
