@@ -249,6 +249,46 @@ def test_leaks_against_full_alignment(spark):
     assert got == want and sum(map(bool, want.values())) > 5
 
 
+TEMPLATE = "Read the passage and answer the question with one of the words in it: "
+
+
+def test_leaks_of_items_that_begin_alike(monkeypatch):
+    """A hundred items of one template and four hundred documents that hold it: as full alignment says, in array steps."""
+    import time
+
+    from tilewright.llm import decontaminate as D
+    from tilewright.llm.text import utf8
+
+    rng = random.Random(15)
+    items = [(k, TEMPLATE + prose(rng, 5)) for k in range(100)]
+    texts = [f"{prose(rng, 20)} {TEMPLATE} {prose(rng, 20)}" for _ in range(380)] + [f"{prose(rng, 5)} {edited(rng, items[k][1], k % 14)} {prose(rng, 5)}" for k in range(20)]
+    block = D.make_block(items)
+    data, at = D.normalised(*utf8(pa.array(texts)))
+    began = time.time()
+    got = D.find(block, data, at)
+    assert time.time() - began < 2
+    monkeypatch.setattr(D, "MOST_HITS", 500)
+    monkeypatch.setattr(D, "MOST_CELLS", 3000)
+    assert sorted(D.find(block, data[: at[30]], at[:31])) == sorted(x for x in got if x[0] < 30)
+    plain = lambda t: D.normalised(*utf8(pa.array([t])))[0].tobytes().strip().decode()
+    own = [plain(x) for _, x in items]
+    for r in (0, 7, *range(380, 400)):
+        text = plain(texts[r])
+        for i in range(20) if r >= 380 else (0, 50):
+            edits = edit_distance_in(own[i], text)
+            assert [e for a, b, e in got if (a, b) == (r, i)] == ([edits] if edits <= D.budget(len(own[i])) else [])
+    assert {r for r, _, _ in got} > {380, 381, 382}
+
+
+def test_leaks_of_short_items(spark):
+    from tilewright.llm.decontaminate import find_leaks
+
+    items = [(1, "what is 7 times 8"), (2, "No!"), (3, "..."), (4, "nine byte"), (None, "odd one")]
+    rows = [(1, "So: What is 7 times 8? 56"), (2, "what is 7 times 80"), (3, "I know"), (4, "no"), (5, "Nine  bytes; nine-byte"), (6, "an odd one"), (7, None), (8, "no, nine byte")]
+    got = {r["doc_id"]: (r["items"], r["least_edits"]) for r in find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: ([1], 0), 2: ([], None), 3: ([], None), 4: ([2], 0), 5: ([4], 0), 6: ([None], 0), 7: ([], None), 8: ([2, 4], 0)}
+
+
 def test_leaks_in_several_blocks_and_odd_rows(spark, monkeypatch):
     from tilewright.llm import decontaminate
 

@@ -3,10 +3,12 @@
 Texts are normalised: A-Z and the accented capitals of Latin-1 are lower-cased, runs of ASCII characters other than letters and digits are one space. A passage of n bytes with e edits
 still shares n + 1 - q (e + 1) of its q-grams, and all of them lie on diagonals (place in the document less place in the item) that differ by at most e. So the shared q-grams of a document are
 counted in diagonal bands of width e + 1 that overlap by half, twice as wide as e; a band's region is retained if it reaches that bound, and verified by a banded alignment of the whole item
-within the edit budget. Shorter budgets are used for items so short that the bound would vanish.
+within the edit budget. Shorter budgets are used for items so short that the bound would vanish. Items of under 20 bytes are searched exactly, as whole words.
 
-The items are a query set: they are read in blocks of bounded size, each broadcast to tasks that pass over all documents once. A block's bound is checked, so any number of
-items works, with a pass for each block.
+Shared q-grams are counted in portions of bounded size, and all regions of a portion are aligned at once, so that a phrase that many items begin with costs array steps only.
+
+The items are a query set: they are read in blocks of bounded size, each broadcast to tasks that pass over all documents once. With more than one block, a pass for each finds the leaked
+texts, by two hashes of the text; these rows are then joined to the documents.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.text import U64, mix, ranges, sliced, utf8
+from tilewright.llm.text import BYTE_HASH, U64, mix, ranges, sliced, span_hash, utf8
 from tilewright.session import text_batches, written
 
 #: Length of q-grams (9 to 16 bytes), and edits allowed as a share of an item's length.
 Q, ERRORS = 9, 0.08
 #: Normalised bytes of items in a block.
 BLOCK_BYTES = 4 << 20
-#: Items of fewer normalised bytes say nothing about a document, and are never searched.
+#: Items of fewer normalised bytes must stand as whole words, without an edit.
 SHORTEST = 20
+#: Shared q-grams that are looked at at once, and cells of alignments.
+MOST_HITS, MOST_CELLS = 1 << 21, 1 << 21
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -70,7 +74,7 @@ def budget(n: int) -> int:
 
 @dataclass
 class Block:
-    """Items of a block: ids, normalised bytes, and their q-grams in sorted order with item and place; a bitmap of the hashes' low bits."""
+    """Items of a block: ids, normalised bytes, their q-grams in sorted order with item and place, a bitmap of the hashes' high bits; short items by length as sorted hashes with items."""
 
     ids: list[int]
     texts: list[bytes]
@@ -78,111 +82,191 @@ class Block:
     item: np.ndarray
     place: np.ndarray
     bitmap: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def __post_init__(self) -> None:
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.most = np.array([budget(n) for n in self.lengths.tolist()], np.int64)
+        self.bound = self.lengths + 1 - Q * (self.most + 1)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.texts), np.uint8)
 
 
 _BITS = 22
 
 
 def make_block(items: list[tuple[int, str]]) -> Block:
-    ids, texts, keys, item, place = [], [], [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ids, texts, keys, item, place, short = [], [], [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
     for item_id, text in items:
         data, _ = normalised(*utf8(pa.array([text], pa.string())))
         own = data.tobytes().strip()
-        if len(own) < SHORTEST:
+        if not own:
             continue
-        h = qgrams(np.frombuffer(own, np.uint8))
-        keys.append(h)
-        item.append(np.full(len(h), len(ids)))
-        place.append(np.arange(len(h)))
+        if len(own) < SHORTEST:
+            short.setdefault(len(own), []).append(len(ids))
+        else:
+            h = qgrams(np.frombuffer(own, np.uint8))
+            keys.append(h)
+            item.append(np.full(len(h), len(ids)))
+            place.append(np.arange(len(h)))
         ids.append(item_id)
         texts.append(own)
     keys, item, place = np.concatenate(keys), np.concatenate(item), np.concatenate(place)
     order = np.argsort(keys, kind="stable")
     bitmap = np.zeros(1 << _BITS, bool)
     bitmap[(keys >> U64(64 - _BITS)).astype(np.int64)] = True
-    return Block(ids, texts, keys[order], item[order], place[order], bitmap)
-
-
-def least_edits(item: bytes, region: bytes, most: int, first: int, last: int) -> int | None:
-    """The least edits between the item and any part of the region, if at most `most`; the alignment's diagonals (place in the region less place in the item) go from first to last."""
-    if (at := region.find(item)) >= 0 and first <= at <= last:
-        return 0
-    far = most + 1
-    width = last - first + 1
-    r = np.frombuffer(region, np.uint8).astype(np.int64)
-    # row i holds the cells j = i + first ... i + last; a start anywhere in the region costs nothing
-    j = np.arange(first, last + 1)
-    row = np.where((j >= 0) & (j <= len(r)), 0, far)
-    steps = np.arange(width)
-    for i, c in enumerate(item, 1):
-        j = i + np.arange(first, last + 1)
-        ok = (j >= 1) & (j <= len(r))
-        same = np.zeros(width, bool)
-        same[ok] = r[j[ok] - 1] == c
-        new = np.minimum(np.where(ok, row + ~same, far), np.append(row[1:] + 1, far))  # a match or change; an item's byte left out
-        new = np.where((j >= 0) & (j <= len(r)), new, far)
-        row = np.minimum.accumulate(new - steps) + steps  # a region's byte left out
-        if row.min() > most:
-            return None
-    return int(row.min()) if row.min() <= most else None
+    hashed = {}
+    for n, own in short.items():
+        flat = np.frombuffer(b"".join(texts[k] for k in own), np.uint8)
+        h = span_hash(BYTE_HASH[flat], np.arange(len(own)) * n, np.arange(1, len(own) + 1) * n)
+        by = np.argsort(h, kind="stable")
+        hashed[n] = h[by], np.array(own)[by]
+    return Block(ids, texts, keys[order], item[order], place[order], bitmap, hashed)
+
+
+def find_short(block: Block, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, item, 0) of the short items that stand in normalised rows as whole words."""
+    if not block.short or not len(data):
+        return []
+    outside = np.ones(len(data) + 1, bool)  # what may follow or precede a word: a space, or another row
+    outside[:-1] = data == 0x20
+    begins = ~outside[:-1]
+    begins[1:] &= outside[:-2]
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(begins & ~outside[:-1])
+    row = np.searchsorted(offsets, starts, "right") - 1
+    value, found = BYTE_HASH[data], []
+    for n, (hashes, items) in block.short.items():
+        ends = starts + n
+        fits = ends <= offsets[row + 1]
+        fits[fits] = (ends[fits] == offsets[row[fits] + 1]) | outside[ends[fits]]
+        a, r = starts[fits], row[fits]
+        h = span_hash(value, a, a + n)
+        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        for k in np.flatnonzero(high > low).tolist():
+            words = data[a[k] : a[k] + n].tobytes()
+            found += [(int(r[k]), i, 0) for i in items[low[k] : high[k]].tolist() if block.texts[i] == words]
+    return sorted(set(found))
+
+
+def least_edits(block: Block, data: np.ndarray, item: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least edits between items (all of one budget e) and any part of data[low:high], on alignments whose diagonals (place in data less place in the item) are first to first + 2 e + 1; e + 1 for more than e."""
+    e = int(block.most[item[0]])
+    width, far = 2 * (e + 1), np.int16(e + 1)
+    out = np.full(len(item), far)
+    by_length = np.argsort(block.lengths[item], kind="stable")
+    k = 0
+    while k < len(by_length):
+        # as many as their cells allow, the longest last
+        n = block.lengths[item[by_length[k:]]]
+        take = max(1, int(np.searchsorted(np.arange(1, len(n) + 1) * (n + width), MOST_CELLS, "right")))
+        own = by_length[k : k + take]
+        k += take
+        n = block.lengths[item[own]]
+        # line t holds what stands at data[first + t]; a cell (i, d) of the alignment is at line i + d
+        line = first[own] + np.arange(int(n[-1]) + width + 1)[:, None]
+        outside = (line < low[own]) | (line > high[own])
+        text = data[np.clip(line, 0, len(data) - 1)]
+        letters = block.flat[np.minimum(block.starts[item[own]] + np.arange(int(n[-1]))[:, None], len(block.flat) - 1)]
+        # a start anywhere costs nothing
+        cells = np.where(outside[:width], far, np.int16(0))
+        for i in range(1, int(n[-1]) + 1):
+            new = cells + (text[i - 1 : i - 1 + width] != letters[i - 1])  # a match or change
+            np.minimum(new[:-1], cells[1:] + np.int16(1), out=new[:-1])  # an item's byte left out
+            new[outside[i : i + width]] = far
+            step = 1
+            while step < width:  # bytes of data left out: one, then up to three, then up to seven
+                np.minimum(new[step:], new[:-step] + np.int16(step), out=new[step:])
+                step *= 2
+            new[outside[i : i + width]] = far
+            cells = np.minimum(new, far)
+            if (ended := int(np.searchsorted(n, i, "right"))) or i % 16 == 0:
+                least = cells.min(axis=0)
+                out[own[:ended]] = least[:ended]
+                stays = (np.arange(len(own)) >= ended) & (least < far)
+                if not stays.any():
+                    break
+                if ended or 2 * np.count_nonzero(stays) < len(own):
+                    own, n, cells, outside, text, letters = own[stays], n[stays], cells[:, stays], outside[:, stays], text[:, stays], letters[:, stays]
+    return out
+
+
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows of the columns; as one integer each, where that has enough bits."""
+    low = [int(c.min()) for c in columns]
+    bits = [(int(c.max()) - a).bit_length() for c, a in zip(columns, low, strict=True)]
+    if sum(bits) > 63:
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        return [c[new] for c in columns]
+    packed = np.zeros(len(columns[0]), np.int64)
+    for c, a, n in zip(columns, low, bits, strict=True):
+        packed = packed << n | c - a
+    packed.sort()
+    packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
+    out = []
+    for a, n in zip(low[::-1], bits[::-1], strict=True):
+        out.append((packed & (1 << n) - 1) + a)
+        packed = packed >> n
+    return out[::-1]
+
+
+def _counted(row: np.ndarray, item: np.ndarray, band: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n over equal (row, item, band), in order."""
+    order = np.lexsort((band, item, row))
+    row, item, band, n = row[order], item[order], band[order], n[order]
+    head = np.ones(len(row), bool)
+    head[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+    head = np.flatnonzero(head)
+    return row[head], item[head], band[head], np.add.reduceat(n, head) if len(head) else n
 
 
 def find(block: Block, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, item of the block, edits) of all items found in normalised rows."""
+    out = find_short(block, data, offsets)
     h = qgrams(data)
     hits = np.flatnonzero(block.bitmap[(h >> U64(64 - _BITS)).astype(np.int64)])
     if not len(hits) or not len(block.keys):
-        return []
+        return out
     row = np.searchsorted(offsets, hits, "right") - 1
     inside = hits + Q <= offsets[row + 1]
-    hits, row = hits[inside], row[inside]
+    hits = hits[inside]
     low, high = np.searchsorted(block.keys, h[hits], "left"), np.searchsorted(block.keys, h[hits], "right")
-    n = high - low
-    entry = ranges(low, n)
-    where, row = np.repeat(hits, n), np.repeat(row, n)
-    item, diagonal = block.item[entry], np.repeat(hits, n) - block.place[entry]
-    if not len(item):
-        return []
-    lengths = np.array([len(t) for t in block.texts])
-    most = np.array([budget(x) for x in lengths.tolist()])
-    bound = lengths + 1 - Q * (most + 1)
-    # a q-gram of the document counts once in each band of an item: bands start at every half width
-    step = (most + 1)[item]
-    out = []
-    found: set[tuple[int, int]] = set()
-    for shift in (0, 1):
-        band = diagonal // step - shift
-        order = np.lexsort((where, band, item, row))
-        r, i, b, w = row[order], item[order], band[order], where[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])
-        head = np.flatnonzero(new)
-        fresh = new.copy()
-        fresh[1:] |= w[1:] != w[:-1]
-        if shift == 0:
-            rows = [(r[head], i[head], b[head], np.add.reduceat(fresh, head, dtype=np.int64))]
-        else:
-            rows.append((r[head], i[head], b[head], np.add.reduceat(fresh, head, dtype=np.int64)))
-    r, i, b, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-    # each band of double width is a band of one step and the next
-    order = np.lexsort((b, i, r))
-    r, i, b, n = r[order], i[order], b[order], n[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])
-    head = np.flatnonzero(new)
-    n = np.add.reduceat(n, head)
-    for r0, i0, b0 in zip(r[head][keep := n >= bound[i[head]]].tolist(), i[head][keep].tolist(), b[head][keep].tolist(), strict=True):
-        if (r0, i0) in found:
-            continue
-        e = int(most[i0])
-        first = b0 * (e + 1)
-        last = first + 2 * (e + 1) - 1
-        a, z = max(int(offsets[r0]), first - e), min(int(offsets[r0 + 1]), last + int(lengths[i0]) + e)
-        edits = least_edits(block.texts[i0], data[a:z].tobytes(), e, first - a, last - a)
-        if edits is not None:
-            found.add((r0, i0))
-            out.append((r0, i0, edits))
-    return out
+    shared = high > low
+    hits, low, n = hits[shared], low[shared], (high - low)[shared]
+    total = np.cumsum(n)
+    counts, k = [], 0
+    while k < len(hits):
+        stop = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + MOST_HITS, "right")))
+        entry = ranges(low[k:stop], n[k:stop])
+        where, item = np.repeat(hits[k:stop], n[k:stop]), block.item[entry]
+        band = (where - block.place[entry]) // (block.most[item] + 1)
+        # a q-gram of the document counts once in each band of an item
+        item, band, where = _distinct(item, band, where)
+        counts.append(_counted(np.searchsorted(offsets, where, "right") - 1, item, band, np.ones(len(item), np.int64)))
+        k = stop
+    if not counts:
+        return out
+    r, item, band, n = (np.concatenate(x) for x in zip(*counts, strict=True))
+    # bands of double width start at every half width: each is made of one band and the next
+    r, item, band, n = _counted(np.concatenate((r, r)), np.concatenate((item, item)), np.concatenate((band, band - 1)), np.concatenate((n, n)))
+    keep = n >= block.bound[item]
+    r, item, band = r[keep], item[keep], band[keep]
+    most = block.most[item]
+    first = band * (most + 1)
+    low = np.maximum(offsets[r], first - most)
+    high = np.minimum(offsets[r + 1], first + 2 * (most + 1) + block.lengths[item] + most)
+    edits = np.zeros(len(r), np.int64)
+    for e in np.unique(most).tolist():
+        own = np.flatnonzero(most == e)
+        edits[own] = least_edits(block, data, item[own], first[own], low[own], high[own])
+    found: dict[tuple[int, int], int] = {}
+    for key, e in zip(zip(r.tolist(), item.tolist(), strict=True), edits.tolist(), strict=True):
+        if e <= block.most[key[1]]:
+            found[key] = min(e, found.get(key, e))
+    return out + [(a, b, e) for (a, b), e in found.items()]
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
@@ -199,36 +283,53 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield make_block(held)
 
 
+def _searched(shared, columns: list[str], only_found: bool):
+    """Adds __items (ids, ascending) and __edits to the columns, the last of which is the text, left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            items: list[set] = [set() for _ in range(len(batch))]
+            edits: list[int | None] = [None] * len(batch)
+            data, offsets = utf8(batch.column("__text"))
+            for i, j in sliced(offsets):
+                part, at = normalised(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for r, item, e in find(known, part, at):
+                    items[i + r].add(known.ids[item])
+                    edits[i + r] = e if edits[i + r] is None else min(e, edits[i + r])
+            ids = pa.array([sorted(x, key=lambda v: (v is not None, v)) for x in items], pa.list_(pa.int64()))
+            arrays = [*(batch.column(c) for c in columns), ids, pa.array(edits, pa.int32())]
+            out = pa.RecordBatch.from_arrays(arrays, [*columns, "__items", "__edits"])
+            yield out.filter(pa.array([e is not None for e in edits], pa.bool_())) if only_found else out
+
+    return run
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: the kept columns (doc_id), leaked, n_items, items (array of the item ids found, ascending) and least_edits (null if none).
 
-    Null is the empty text, which has no leak. Items that are null or have under 20 normalised bytes are never found; a null item_id is reported as null. Items of one id are one item.
-    Rows of docs stay as they are, repeated or with a null id. There is no shuffle of documents; for more than one block, documents are read once for each, and the results are carried on.
+    Null is the empty text, which has no leak. Items that are null or have no letter or digit are never found; a null item_id is reported as null. Items of one id are one item.
+    Rows of docs stay as they are, repeated or with a null id. There is no shuffle of documents with one block of items. With more, leaked texts are found block by block and joined by two 64-bit
+    hashes of the text, so only the kept columns are shuffled, if the leaked texts are too many to be broadcast.
     """
     keep = ["doc_id"] if keep is None else keep
     if clash := {"leaked", "n_items", "items", "least_edits"} & set(keep):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
-    rows = text_batches(docs).select(*keep, docs["text"].alias("__text"), F.array().cast("array<long>").alias("__items"), F.lit(None).cast("int").alias("__edits"))
-    first = True
-    for block in blocks(benchmark):
-        if not first:
-            rows = written(rows, "leaks")
-        first = False
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            for batch in batches:
-                items, edits = batch.column("__items").to_pylist(), batch.column("__edits").to_pylist()
-                data, offsets = utf8(batch.column("__text"))
-                for i, j in sliced(offsets):
-                    part, at = normalised(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    for r, item, e in find(known, part, at):
-                        items[i + r] = [*items[i + r], known.ids[item]]
-                        edits[i + r] = e if edits[i + r] is None else min(e, edits[i + r])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "__text")), pa.array(items, pa.list_(pa.int64())), pa.array(edits, pa.int32())], [*keep, "__text", "__items", "__edits"])
-
-        rows = rows.mapInArrow(run, fields + "__text string, __items array<long>, __edits int")
-    items = F.sort_array(F.array_distinct("__items"))
+    text, context = docs["text"].alias("__text"), docs.sparkSession.sparkContext
+    found = blocks(benchmark)
+    block, later = next(found, make_block([])), next(found, None)
+    if later is None:
+        rows = text_batches(docs).select(*keep, text).mapInArrow(_searched(context.broadcast(block), keep, False), fields + "__items array<long>, __edits int")
+    else:
+        keys = [F.xxhash64(docs["text"]).alias("__k1"), F.xxhash64(F.lit(1), docs["text"]).alias("__k2")]
+        leaks = None
+        while block is not None:
+            search = _searched(context.broadcast(block), ["__k1", "__k2"], True)
+            own = written(text_batches(docs).filter("text is not null").select(*keys, text).mapInArrow(search, "__k1 long, __k2 long, __items array<long>, __edits int"), "leaks")
+            leaks = own if leaks is None else leaks.union(own)
+            block, later = later, next(found, None)
+        leaks = leaks.groupBy("__k1", "__k2").agg(F.array_distinct(F.flatten(F.collect_set("__items"))).alias("__items"), F.min("__edits").alias("__edits"))
+        rows = docs.select(*keep, *keys).join(leaks, ["__k1", "__k2"], "left").withColumn("__items", F.coalesce("__items", F.array().cast("array<long>")))
+    items = F.sort_array("__items")
     return rows.select(*keep, (F.size("__items") > 0).alias("leaked"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.col("__edits").alias("least_edits"))
