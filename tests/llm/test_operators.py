@@ -641,6 +641,58 @@ def test_secret_layers_of_every_writing(spark, monkeypatch):
     assert all(rows[k]["redacted"].startswith("see ") and "[SECRET]" in rows[k]["redacted"] and rows[k]["n_spans"] for k in range(len(whole)))
 
 
+def deflated(data):
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return packer.compress(data) + packer.flush()
+
+
+def test_secrets_in_random_nestings():
+    """Whatever layers a secret is put into, and whatever stands beside it in each, it is found inside the outermost run; a brute-force unwrapper undoes the same layers."""
+    import bz2
+    import gzip
+    import lzma
+
+    from tilewright.llm.secrets import all_spans, base_spans
+
+    b64 = lambda data: base64.b64encode(data).decode()
+    unpack = [(gzip.compress, gzip.decompress), (deflated, lambda d: zlib.decompress(d, -15)), (bz2.compress, bz2.decompress), (lzma.compress, lzma.decompress)]
+    unpack += [((lambda d, n=n: zlib.compress(d, n)), zlib.decompress) for n in range(10)]
+    layers = [
+        (lambda t: "".join(f"%{b:02X}" for b in t.encode()), lambda t: bytes.fromhex(t.replace("%", "")).decode()),
+        (lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: "".join(chr(int(x, 16)) for x in t.split("\\u")[1:])),
+        (lambda t: "".join(f"\\u{{{ord(c):x}}}" for c in t), lambda t: "".join(chr(int(x[1:-1], 16)) for x in t.split("\\u")[1:])),
+        (lambda t: "".join(f"&#{ord(c)};" for c in t), lambda t: "".join(chr(int(x)) for x in t.replace("&#", "").split(";")[:-1])),
+        (lambda t: "".join(f"\\x{ord(c):02x}" for c in t), lambda t: "".join(chr(int(x, 16)) for x in t.split("\\x")[1:])),
+        (lambda t: b64(t.encode()), lambda t: base64.b64decode(t).decode()),
+        (lambda t: base64.urlsafe_b64encode(t.encode()).decode(), lambda t: base64.urlsafe_b64decode(t).decode()),
+        (lambda t: base64.encodebytes(t.encode()).decode().rstrip("\n"), lambda t: base64.decodebytes(t.encode()).decode()),
+        (lambda t: b64(b"\xff\x00\xfe" + t.encode() + b"\x00\xff"), lambda t: base64.b64decode(t)[3:-2].decode()),
+        *((lambda t, f=f: b64(f(t.encode())), lambda t, g=g: g(base64.b64decode(t)).decode()) for f, g in unpack),
+    ]
+    rng = random.Random(41)
+    secret = "password=abcdefghij1234"
+    for _ in range(400):
+        steps = [rng.choice(layers) for _ in range(rng.randint(1, 4))]
+        inner, runs = secret, []
+        for wrap, _ in steps:
+            left, right = rng.choice(["", "see ", "x: ", "no\u00a0break "]), rng.choice(["", " end", ". more", "\n"])
+            left, right = (left, right) if inner == secret or runs else ("", "")
+            if any(ord(c) > 255 for c in inner):
+                break
+            runs.append((len(left), inner))
+            inner = wrap(left + inner + right)
+            runs[-1] = (left, right, inner)
+        before, after = rng.choice(["", "Look at ", "path/", "key "]), rng.choice(["", " and so on", ".", ", then"])
+        text = before + inner + after
+        found, _ = all_spans(text, base_spans(text))
+        assert any(k == 0 and len(before) <= s < len(before) + len(inner) and e <= len(before) + len(inner) + (after == ".") for s, k, e in found), text
+        for (left, right, run), (_, undo) in zip(reversed(runs), reversed(steps[: len(runs)]), strict=True):
+            assert inner == run
+            inner = undo(run)
+            inner = inner[len(left) : len(inner) - len(right)]
+        assert inner == secret
+
+
 def test_secret_rows_against_plain_patterns(spark):
     from tilewright.llm.secrets import scan_secrets
 

@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
-Each text is scanned as it is (the base), and so is every layer that decoding it yields: runs of %XX, runs of \\uXXXX and \\xXX, the readable parts of
-base64 runs, and those of the zlib and gzip streams in base64 runs. A base64 run may be of the standard alphabet, the URL-safe one or both, may be wrapped over lines,
+Each text is scanned as it is (the base), and so is every layer that decoding it yields: runs of %XX, runs of character escapes (\\uXXXX, \\u{X}, \\UXXXXXXXX, \\xXX, %uXXXX, &#N;), the readable parts of
+base64 runs, and those of the zlib, gzip, raw deflate, bzip2 and xz streams in base64 runs. A base64 run may be of the standard alphabet, the URL-safe one or both, may be wrapped over lines,
 and is read from each of its first four characters, so that what stands before it doesn't put it out of step. A layer carries, for each of its characters, the span of
 the original text that it came from, so that what is found in it is reported there. Layers are opened depth first until none is new; a layer
 that was seen at the same place ends its branch.
@@ -10,7 +10,9 @@ that was seen at the same place ends its branch.
 from __future__ import annotations
 
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,14 +32,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
-_PERCENT, _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+"), re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_UNIT = re.compile(r"[\\%]u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE = re.compile(f"(?:{re.sub(r'\((?!\?)', '(?:', _UNIT.pattern)})+")
 _BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
 #: A run of both alphabets that may go on over line breaks and indents; 16 characters with these at least.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?=(?:[A-Za-z0-9+/_-]|[\r\n][ \t]*+){16})[A-Za-z0-9+/_-]+(?:(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_MARK = re.compile("[+/]")
 _BREAK, _STANDARD = re.compile(r"[\r\n][\r\n \t]*"), str.maketrans("-_", "+/")
 #: Nothing that is looked for has under 16 characters, so shorter readable parts hold nothing.
 _READABLE, _MAYBE = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]{16,}"), re.compile(rb"[\t\n\r\x20-\x7e\x80-\xff]{16,}")
-_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 #: A stream of up to so many bytes is one layer. A longer one (an archive, or a decompression bomb) is scanned in overlapping pieces; it is reported
 #: in n_unopened too, since a run inside it that is longer than the overlap may be cut.
 MOST_UNPACKED, PIECE, OVERLAP = 1 << 26, 1 << 23, 1 << 20
@@ -101,52 +106,69 @@ def _from_percent(run: str) -> list[tuple[str, int]]:
 
 
 def _from_escape(run: str) -> list[tuple[str, int]]:
-    units = [(int(m[2:], 16), len(m)) for m in re.findall(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}", run)]
+    units = [(int(m[6]) if m[6] else int(m[m.lastindex], 16), len(m[0])) for m in _UNIT.finditer(run)]
     out, k = [], 0
     while k < len(units):
         c, n = units[k]
         if 0xD800 <= c < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1][0] < 0xE000:
             c, n, k = 0x10000 + (c - 0xD800 << 10) + units[k + 1][0] - 0xDC00, n + units[k + 1][1], k + 1
-        out.append(("\ufffd" if 0xD800 <= c < 0xE000 else chr(c), n))
+        out.append(("\ufffd" if 0xD800 <= c < 0xE000 or c > 0x10FFFF else chr(c), n))
         k += 1
     return out
 
 
 def _heads(raw: bytes, k: int = 0) -> bool:
-    """Whether a gzip or zlib stream (of any window and level) may begin at a place."""
-    return raw[k : k + 3] == b"\x1f\x8b\x08" or len(raw) > k + 1 and raw[k] & 15 == 8 and raw[k] < 0x80 and (raw[k] << 8 | raw[k + 1]) % 31 == 0
+    """Whether a compressed stream (gzip, bzip2, xz, or zlib of any window and level) may begin at a place."""
+    zlib_ = len(raw) > k + 1 and raw[k] & 15 == 8 and raw[k] < 0x80 and (raw[k] << 8 | raw[k + 1]) % 31 == 0
+    return zlib_ or raw[k : k + 3] in (b"\x1f\x8b\x08", b"BZh", b"\xfd7z")
+
+
+def _deflates(raw: bytes) -> bool:
+    """Whether bytes may begin a stream of raw deflate."""
+    try:
+        return bool(zlib.decompressobj(-15).decompress(raw, 1024))
+    except zlib.error:
+        return False
 
 
 class _Stream:
-    """A compressed stream: read pieces(), then see end (bytes that it takes), whole (it ended, and was one piece) and size."""
+    """The compressed stream that begins at a place, of raw deflate if bare: read pieces(), then see end (where it ends), whole (it ended, and was one piece) and size."""
 
-    def __init__(self, raw: bytes) -> None:
-        self.raw, self.end, self.whole, self.size = raw, len(raw), False, 0
+    def __init__(self, raw: bytes, start: int, bare: bool = False) -> None:
+        self.raw, self.start, self.end, self.whole, self.size = raw, start, len(raw), False, 0
+        self.mark = raw[start : start + 2]
+        self.make = bz2.BZ2Decompressor if self.mark == b"BZ" else lzma.LZMADecompressor if self.mark == b"\xfd7" else lambda: zlib.decompressobj(-15 if bare else 47)
 
     def _bytes(self) -> Iterator[bytes]:
-        """What it unpacks to, as far as it is valid; of several gzip members, all."""
-        packed, at = zlib.decompressobj(47), 0
+        """What it unpacks to, as far as it is valid; of several gzip, bzip2 or xz members, all."""
+        packed, at = self.make(), self.start
         while at < len(self.raw):
             feed = self.raw[at : at + (1 << 16)]
             at += len(feed)
             while True:
-                before = packed.copy()
+                before = packed.copy() if hasattr(packed, "copy") else None
                 try:
                     got = packed.decompress(feed, _STEP)
-                except zlib.error:
-                    yield from self._valid(before, feed)
+                except (zlib.error, lzma.LZMAError, OSError):
+                    if before is not None:
+                        yield from self._valid(before, feed)
                     return
                 yield got
                 if packed.eof:
                     at = self.end = at - len(packed.unused_data)
-                    if self.raw[at : at + 2] != b"\x1f\x8b":
+                    if self.raw[at : at + 2] != self.mark or self.mark[:1] not in (b"\x1f", b"B", b"\xfd"):
                         self.whole = True
                         return
-                    packed, self.end = zlib.decompressobj(47), len(self.raw)
-                    break
-                feed = packed.unconsumed_tail
-                if not feed and len(got) < _STEP:
+                    packed, self.end = self.make(), len(self.raw)
                     break
+                if before is None:
+                    feed = b""
+                    if packed.needs_input:
+                        break
+                else:
+                    feed = packed.unconsumed_tail
+                    if not feed and len(got) < _STEP:
+                        break
 
     @staticmethod
     def _valid(packed, feed: bytes) -> Iterator[bytes]:
@@ -201,23 +223,29 @@ def _unwrapped(layer: str, unopened: list[int]) -> Iterator[tuple[str, np.ndarra
             yield got
     opened, partly = set(), set()
     for run, places, end, phases, lines in _readings(layer):
+        starts = {*lines, *(m.end() for m in _MARK.finditer(run)), *range(min(4, len(run)))}
         for phase in phases:
             chars = run[phase:]
             chars = chars[: len(chars) - (len(chars) % 4 == 1)]
             raw = binascii.a2b_base64(chars + "=" * (-len(chars) % 4))
             for text, a, b in _parts(raw):
                 yield text, places[phase + a * 4 // 3], places[phase + (b * 4 + 2) // 3 - 1] + 1
-            heads = {(x - phase) // 4 * 3 for x in lines if x >= phase and (x - phase) % 4 == 0}
-            heads = {k for k in heads if _heads(raw, k)}
-            for k in sorted(heads | {m.start() for m in _STREAM.finditer(raw)}):
-                start, stream, any_part = int(places[phase + k * 4 // 3]), _Stream(raw[k:]), False
+            # a stream of any kind may begin where the run or a line does, or behind a character that is no letter or digit
+            heads = {(x - phase) // 4 * 3 for x in starts if x >= phase and (x - phase) % 4 == 0}
+            heads = {k for k in heads if k < len(raw)}
+            bare = {k for k in heads if not _heads(raw, k)}
+            heads, bare = heads - bare, {k for k in bare if _deflates(raw[k : k + 128])}
+            for k in sorted(heads | bare | {m.start() for m in _STREAM.finditer(raw)}):
+                start, stream, any_part = int(places[phase + k * 4 // 3]), _Stream(raw, k, k in bare), False
                 for piece in stream.pieces():
-                    stop = end if k + stream.end >= len(raw) else int(places[phase + ((k + stream.end) * 4 + 2) // 3 - 1]) + 1
+                    stop = end if stream.end >= len(raw) else int(places[phase + (stream.end * 4 + 2) // 3 - 1]) + 1
                     for text, _, _ in _parts(piece):
                         any_part = True
                         yield text, np.broadcast_to(start, len(text)), np.broadcast_to(stop, len(text))
                 if stream.whole:
                     opened.add(start)
+                elif k in bare:
+                    continue  # any bytes may be read as raw deflate up to some place
                 elif any_part or k in heads and stream.size:
                     partly.add(start)
     unopened.extend(partly - opened)
@@ -316,7 +344,7 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, redact: bool =
                     own = raw[a:b]
                     low = own.lower()
                     kinds = (any(w in low for w in _WORDS), b"AKIA" in own, bool(hexes[k]))
-                    wrapped = wraps[k] or b"%" in own or b"\\" in own
+                    wrapped = wraps[k] or b"%" in own or b"\\" in own or b"&#" in own
                     if not (wrapped or any(kinds)):
                         rows.append((0, 0, 0, _NOTHING, "", 0, 0) + (None,) * redact)
                         continue
