@@ -150,19 +150,25 @@ def find_short(block: Block, data: np.ndarray, offsets: np.ndarray) -> list[tupl
 
 
 def least_edits(block: Block, data: np.ndarray, item: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The least edits between items (all of one budget e) and any part of data[low:high], on alignments whose diagonals (place in data less place in the item) are first to first + 2 e + 1; e + 1 for more than e."""
-    e = int(block.most[item[0]])
-    width, far = 2 * (e + 1), np.int16(e + 1)
-    out = np.full(len(item), far)
-    by_length = np.argsort(block.lengths[item], kind="stable")
+    """The least edits between items and any part of data[low:high], on alignments whose diagonals (place in data less place in the item) begin with first and are at least
+    2 (e + 1) for a budget of e; e + 1 stands for more than e."""
+    most = block.most[item]
+    out = most + 1
+    raw = data.tobytes()
+    for c, (i, a, z) in enumerate(zip(item.tolist(), low.tolist(), high.tolist(), strict=True)):
+        if raw.find(block.texts[i], a, z) >= 0:
+            out[c] = 0
+    by_length = np.flatnonzero(out)
+    by_length = by_length[np.argsort(block.lengths[item[by_length]], kind="stable")]
     k = 0
     while k < len(by_length):
         # as many as their cells allow, the longest last
         n = block.lengths[item[by_length[k:]]]
+        width = 2 * (np.maximum.accumulate(most[by_length[k:]]) + 1)
         take = max(1, int(np.searchsorted(np.arange(1, len(n) + 1) * (n + width), MOST_CELLS, "right")))
-        own = by_length[k : k + take]
+        own, width = by_length[k : k + take], int(width[min(take, len(n)) - 1])
         k += take
-        n = block.lengths[item[own]]
+        n, far = block.lengths[item[own]], (most[own] + 1).astype(np.int16)
         # line t holds what stands at data[first + t]; a cell (i, d) of the alignment is at line i + d
         line = first[own] + np.arange(int(n[-1]) + width + 1)[:, None]
         outside = (line < low[own]) | (line > high[own])
@@ -173,12 +179,12 @@ def least_edits(block: Block, data: np.ndarray, item: np.ndarray, first: np.ndar
         for i in range(1, int(n[-1]) + 1):
             new = cells + (text[i - 1 : i - 1 + width] != letters[i - 1])  # a match or change
             np.minimum(new[:-1], cells[1:] + np.int16(1), out=new[:-1])  # an item's byte left out
-            new[outside[i : i + width]] = far
+            np.copyto(new, far, where=outside[i : i + width])
             step = 1
             while step < width:  # bytes of data left out: one, then up to three, then up to seven
                 np.minimum(new[step:], new[:-step] + np.int16(step), out=new[step:])
                 step *= 2
-            new[outside[i : i + width]] = far
+            np.copyto(new, far, where=outside[i : i + width])
             cells = np.minimum(new, far)
             if (ended := int(np.searchsorted(n, i, "right"))) or i % 16 == 0:
                 least = cells.min(axis=0)
@@ -187,7 +193,7 @@ def least_edits(block: Block, data: np.ndarray, item: np.ndarray, first: np.ndar
                 if not stays.any():
                     break
                 if ended or 2 * np.count_nonzero(stays) < len(own):
-                    own, n, cells, outside, text, letters = own[stays], n[stays], cells[:, stays], outside[:, stays], text[:, stays], letters[:, stays]
+                    own, n, far, cells, outside, text, letters = own[stays], n[stays], far[stays], cells[:, stays], outside[:, stays], text[:, stays], letters[:, stays]
     return out
 
 
@@ -213,16 +219,6 @@ def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
     return out[::-1]
 
 
-def _counted(row: np.ndarray, item: np.ndarray, band: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of n over equal (row, item, band), in order."""
-    order = np.lexsort((band, item, row))
-    row, item, band, n = row[order], item[order], band[order], n[order]
-    head = np.ones(len(row), bool)
-    head[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
-    head = np.flatnonzero(head)
-    return row[head], item[head], band[head], np.add.reduceat(n, head) if len(head) else n
-
-
 def find(block: Block, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, item of the block, edits) of all items found in normalised rows."""
     out = find_short(block, data, offsets)
@@ -245,23 +241,37 @@ def find(block: Block, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
         band = (where - block.place[entry]) // (block.most[item] + 1)
         # a q-gram of the document counts once in each band of an item
         item, band, where = _distinct(item, band, where)
-        counts.append(_counted(np.searchsorted(offsets, where, "right") - 1, item, band, np.ones(len(item), np.int64)))
+        r = np.searchsorted(offsets, where, "right") - 1
+        head = np.ones(len(item), bool)
+        head[1:] = (item[1:] != item[:-1]) | (band[1:] != band[:-1]) | (r[1:] != r[:-1])
+        head = np.flatnonzero(head)
+        counts.append((item[head], band[head], r[head], np.diff(np.append(head, len(item)))))
         k = stop
     if not counts:
         return out
-    r, item, band, n = (np.concatenate(x) for x in zip(*counts, strict=True))
-    # bands of double width start at every half width: each is made of one band and the next
-    r, item, band, n = _counted(np.concatenate((r, r)), np.concatenate((item, item)), np.concatenate((band, band - 1)), np.concatenate((n, n)))
-    keep = n >= block.bound[item]
-    r, item, band = r[keep], item[keep], band[keep]
+    item, band, r, n = (np.concatenate(x) for x in zip(*counts, strict=True))
+    # bands of double width start at every half width: each is made of one band and the next, one of which has half of the bound
+    bits, low = int(r.max()).bit_length(), int(band.min()) - 1
+    wide = (int(band.max()) - low + 2).bit_length()
+    cell = (item << wide | band - low) << bits | r
+    if len(counts) > 1:
+        cell, back = np.unique(cell, return_inverse=True)
+        n = np.bincount(back, n).astype(np.int64)
+        item, band, r = cell >> bits + wide, (cell >> bits & (1 << wide) - 1) + low, cell & (1 << bits) - 1
+    heavy = np.flatnonzero(2 * n >= block.bound[item])
+    pairs = []
+    for step in (-1, 1):
+        other = cell[heavy] + (step << bits)
+        at = np.minimum(np.searchsorted(cell, other), len(cell) - 1)
+        enough = n[heavy] + np.where(cell[at] == other, n[at], 0) >= block.bound[item[heavy]]
+        pairs.append(cell[heavy[enough]] + (min(step, 0) << bits))
+    cell = np.unique(np.concatenate(pairs))
+    item, band, r = cell >> bits + wide, (cell >> bits & (1 << wide) - 1) + low, cell & (1 << bits) - 1
     most = block.most[item]
     first = band * (most + 1)
     low = np.maximum(offsets[r], first - most)
     high = np.minimum(offsets[r + 1], first + 2 * (most + 1) + block.lengths[item] + most)
-    edits = np.zeros(len(r), np.int64)
-    for e in np.unique(most).tolist():
-        own = np.flatnonzero(most == e)
-        edits[own] = least_edits(block, data, item[own], first[own], low[own], high[own])
+    edits = least_edits(block, data, item, first, low, high)
     found: dict[tuple[int, int], int] = {}
     for key, e in zip(zip(r.tolist(), item.tolist(), strict=True), edits.tolist(), strict=True):
         if e <= block.most[key[1]]:
