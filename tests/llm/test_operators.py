@@ -159,7 +159,7 @@ def test_every_gram_of_large_alphabets_is_kept(spark):
 
     rng = random.Random(9)
     texts = [("".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(1000)), x) for x in ("ja", "zh") for _ in range(200)]
-    model = train(spark.createDataFrame(texts, "text string, lang string"))
+    model = train(spark.createDataFrame(texts, "text string, lang string"), calibration_rows=0)
     own = np.unique(np.concatenate([grams(letters([t])[0]) for t, _ in texts]))
     assert len(own) > 1 << 18 and len(model.hashes[4]) == len(own)
     assert (model._find(4, fold(own, 4, model.bits)) >= 0).all()
@@ -182,6 +182,67 @@ def test_language_probabilities_sum_to_one(spark):
         assert np.all(total + rest == pytest.approx(1.0, abs=0.02))
 
 
+def brute_kneser_ney(texts):
+    """Interpolated Kneser-Ney by its textbook definition: p(history, character) from plain dictionaries."""
+    import unicodedata
+    from collections import Counter
+
+    framed = ["   " + re.sub(" +", " ", "".join(c.lower() if unicodedata.category(c)[0] in "LM" else " " for c in t) + " ").lstrip(" ") for t in texts]
+    counts = {4: Counter(t[k - 3 : k + 1] for t in framed for k in range(3, len(t)))}
+    for order in (3, 2, 1):
+        counts[order] = Counter(g[1:] for g in counts[order + 1])
+    total, kinds = {}, {}
+    for order in range(1, 5):
+        total[order], kinds[order] = Counter(), Counter()
+        for g, n in counts[order].items():
+            total[order][g[:-1]] += n
+            kinds[order][g[:-1]] += 1
+
+    def p(gram, letters):
+        if not gram:
+            return 1 / (letters + 1)
+        order, head = len(gram), gram[:-1]
+        if not total[order][head]:
+            return p(gram[1:], letters)
+        return max(counts[order][gram] - 0.75, 0) / total[order][head] + 0.75 * kinds[order][head] / total[order][head] * p(gram[1:], letters)
+
+    return p, set(counts[1])
+
+
+def test_language_against_brute_force(spark):
+    import unicodedata
+
+    from tilewright.llm.language import identify, train
+
+    rng = random.Random(51)
+    forms = {"aa": "kalimanu tore", "bb": "shedrift onqua", "cc": "zorbél niçat"}
+    rows = [(k, "  ".join("".join(rng.choice(forms[x]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 25))), x) for k, x in enumerate(rng.choices(list(forms), k=45))]
+    unseen = [(100 + k, "".join(rng.choice("kashol qétzXY12. ") for _ in range(30)) + "e", None) for k in range(20)]
+    docs = spark.createDataFrame(rows + unseen, "doc_id long, text string, lang string")
+    models = {x: brute_kneser_ney([t for _, t, lang in rows if lang == x]) for x in forms}
+    letters = len(set().union(*(m[1] for m in models.values())))
+    got = {r["doc_id"]: r for r in identify(docs, train(docs, calibration_rows=0)).collect()}
+    for i, text, _ in rows + unseen:
+        framed = "   " + re.sub(" +", " ", "".join(c.lower() if unicodedata.category(c)[0] in "LM" else " " for c in text) + " ").lstrip(" ")
+        entropy = {x: -sum(np.log(p(framed[k - 3 : k + 1], letters)) for k in range(3, len(framed))) / (len(framed) - 3) for x, (p, _) in models.items()}
+        best = min(entropy, key=lambda x: (entropy[x], x))
+        assert got[i]["entropy"] == pytest.approx(entropy[best], abs=1e-5) and got[i]["lang_pred"] == best
+
+
+def test_limits_are_of_texts_left_out(spark):
+    """About the stated share of new texts is rejected, and the same rows give the same model however they are dealt out."""
+    from tilewright.llm.language import identify, train
+
+    rng = random.Random(53)
+    rows = [(k, " ".join(rng.choice(WORDS) + rng.choice(("", "s", "ed")) for _ in range(rng.randint(8, 40))), "en") for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, new = docs.filter("doc_id < 3000"), docs.filter("doc_id >= 3000")
+    model = train(seen, accepted=0.98)
+    assert abs(identify(new, model).filter("rejected").count() / 3000 - 0.02) < 0.015
+    again = train(seen.repartition(5), accepted=0.98)
+    assert again.limit[0] == pytest.approx(model.limit[0], abs=1e-6) and again.scale == model.scale
+
+
 def test_language_of_nothing(spark):
     from tilewright.llm.language import identify, train
 

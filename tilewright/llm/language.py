@@ -30,8 +30,9 @@ ORDER = 4
 FOLD_BITS = 62
 #: Languages of one group, and its probabilities of the highest order (distinct grams x languages; one language may have more): they bound what is broadcast at once.
 MOST_LANGUAGES, MOST_CELLS = 32, 1 << 23
-#: Rows of the calibration sample for each language, and the share of them that is accepted.
-CALIBRATION_ROWS, ACCEPTED = 500, 0.995
+#: Rows of the calibration sample for each language, the largest share of its rows that they may be, the fewest rows of a language that spares some, and the share of them that is accepted.
+CALIBRATION_ROWS, MOST_SPARED, FEWEST_ROWS, ACCEPTED = 4000, 0.2, 10, 0.995
+_SCALES = 2.0 ** np.arange(-2, 11)
 DISCOUNT = 0.75
 #: Characters that are worked on at once.
 _SLICE = 1 << 20
@@ -232,7 +233,7 @@ def build(rows: pa.Table, langs: list[str], bits: int, letters_known: int | None
     letters_known: distinct characters, if there are other languages than these.
     """
     model = LanguageModel(langs, bits)
-    lang = np.array([{x: k for k, x in enumerate(langs)}[x] for x in rows.column("lang").to_pylist()], np.int64)
+    lang = pc.index_in(rows.column("lang"), value_set=pa.array(langs, pa.string())).to_numpy().astype(np.int64)
     level, h, n, kinds = (rows.column(c).to_numpy() for c in ("level", "h", "n", "kinds"))
     gram = rows.column("gram").to_numpy().view(U64)
 
@@ -271,44 +272,70 @@ def grouped(langs: list[str], kinds: dict[str, int]) -> list[list[str]]:
 
 
 def train(docs: DataFrame, bits: int = FOLD_BITS, calibration_rows: int = CALIBRATION_ROWS, accepted: float = ACCEPTED) -> LanguageModel | GroupedModel:
-    """Learns from docs (text, lang); rows with a null in either aren't used. Counts cover all rows; only the scale of scores and the limits of
-    rejection are fitted on a sample of about calibration_rows rows a language."""
+    """Learns from docs (text, lang); rows with a null in either aren't used.
+
+    Of each language with FEWEST_ROWS rows or more, texts whose hash is low (about calibration_rows of its rows, a fifth at most) are left out of the counts: the scale of scores and the
+    limits of rejection are fitted on these, each different text once. Counts cover all other rows.
+    """
     docs = text_batches(docs).select("text", "lang").filter("lang is not null and text is not null")
-    level = distinct_grams(docs)
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    kinds = {r["lang"]: r["count"] for r in level.groupBy("lang").count().collect()}
     langs = sorted(sizes)
+    shares = {x: min(MOST_SPARED, calibration_rows / n) if n >= FEWEST_ROWS else 0.0 for x, n in sizes.items()}
+    share = F.create_map(*[F.lit(v) for x in langs for v in (x, shares[x])])[F.col("lang")] if langs else F.lit(0.0)
+    spared = F.pmod(F.xxhash64("text", F.lit(41)), F.lit(1 << 20)) < F.lit(1 << 20) * share
+    level = distinct_grams(docs.filter(~spared))
+    kinds = {r["lang"]: r["count"] for r in level.groupBy("lang").count().collect()}
     groups = grouped(langs, kinds)
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     if len(groups) <= 1:
         model = build(count_grams(level, bits).toArrow(), langs, bits)
     else:
         known = level.select(F.col("gram").bitwiseAND(F.lit(0xFFFF))).distinct().count()
         parts = ((own, level.filter(F.col("lang").isin(own))) for own in groups)
-        model = GroupedModel(langs, [spark.sparkContext.broadcast(build(count_grams(rows, bits).toArrow(), own, bits, known)) for own, rows in parts])
+        model = GroupedModel(langs, [context.broadcast(build(count_grams(rows, bits).toArrow(), own, bits, known)) for own, rows in parts])
     if not langs:
         return model
-    shares = {x: min(1.0, calibration_rows / n) for x, n in sizes.items()}
-    sample = docs.sampleBy("lang", shares, seed=17)
+    sample = docs.filter(spared).distinct()
     if isinstance(model, GroupedModel):
         number = F.array_position(F.lit(langs), F.col("lang")) - 1
-        valued = with_entropies(sample.select(number.cast("int").alias("truth"), F.col("text").alias("__text")), model, ["truth"])
-        sample = valued.filter("__has").select("truth", F.col("__values").alias("values")).toArrow()
+        valued = with_entropies(sample.select(number.cast("int").alias("truth"), F.col("text").alias("__text")), model, ["truth"]).filter("__has").select("truth", F.col("__values").alias("values"))
     else:
-        sample = sample.mapInArrow(_calibrate(spark.sparkContext.broadcast(model)), "truth int, values array<double>").toArrow()
-    truth = sample.column("truth").to_numpy()
-    values = np.array(sample.column("values").to_pylist(), np.float64).reshape(-1, len(langs))
+        valued = sample.mapInArrow(_calibrate(context.broadcast(model)), "truth int, values array<double>")
+    got = valued.mapInArrow(_judged, "truth int, own double, best boolean, losses array<double>").toArrow()
+    truth, own, best = (got.column(c).to_numpy() for c in ("truth", "own", "best"))
     if len(truth):
-        # the scale under which the true languages are likeliest
-        margins = values - values.min(axis=1, keepdims=True)
-        scales = 2.0 ** np.arange(-2, 11)
-        loss = [np.mean(c * margins[np.arange(len(truth)), truth] + np.log(np.exp(-c * margins).sum(axis=1))) for c in scales]
-        model.scale = float(scales[int(np.flatnonzero(np.array(loss) <= min(loss) + 1e-3)[0])])  # the mildest of those that do as well
-    best = values.argmin(axis=1) if len(truth) else truth
-    model.limit = np.array([np.quantile(own, accepted) if len(own := values[(truth == k) & (best == k), k]) else np.inf for k in range(len(langs))])
+        loss = got.column("losses").combine_chunks().flatten().to_numpy().reshape(-1, len(_SCALES)).mean(axis=0)
+        model.scale = float(_SCALES[int(np.flatnonzero(loss <= loss.min() + 1e-3)[0])])  # the mildest of those that do as well
+    model.limit = _limits(own[best], truth[best], len(langs), accepted)
     return model
 
 
+def _limits(entropies: np.ndarray, truth: np.ndarray, langs: int, accepted: float) -> np.ndarray:
+    """Of each language the entropy up to which a text is accepted: so many of its deviations over its mean that a new text of all languages exceeds it with the chance that isn't
+    accepted (the sample's highest, if it is too small for that). Languages without a sample accept all."""
+    n = np.bincount(truth, minlength=langs)
+    mean = np.bincount(truth, entropies, langs) / np.maximum(n, 1)
+    square = np.bincount(truth, (entropies - mean[truth]) ** 2, langs)
+    common = square.sum() / max(1, len(truth)) + 1e-6
+    deviation = np.sqrt((square + 2 * common) / (n + 2))  # of few rows mostly the common one
+    z = np.sort((entropies - mean[truth]) / deviation[truth])
+    rank = min(len(z), int(np.ceil(accepted * (len(z) + 1))))
+    return np.where(n > 0, mean + (z[rank - 1] if len(z) else 0.0) * deviation, np.inf)
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row of entropies: that of the true language, whether it is the lowest, and for each scale the true language's surprise."""
+    for batch in batches:
+        truth, rows = batch.column("truth").to_numpy(), batch.column("values")
+        values = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+        margins = values - values.min(axis=1, keepdims=True) if len(batch) else values
+        own = margins[np.arange(len(batch)), truth] if len(batch) else np.zeros(0)
+        losses = [c * own + np.log(np.exp(-c * margins).sum(axis=1)) for c in _SCALES]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("truth"), pa.array(values[np.arange(len(batch)), truth] if len(batch) else own), pa.array(own == 0), pa.array(list(np.stack(losses, axis=1)), pa.list_(pa.float64()))], ["truth", "own", "best", "losses"]
+        )
+
+
 def _calibrate(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
