@@ -803,4 +803,54 @@ def test_levels_of_random_graphs(spark):
         want[k] = None if k >= 200 else max([want[n] + 1 for n in needs[k]], default=0)
     calls = spark.createDataFrame([(1, str(k)) for k in needs], "conv_id long, call_id string")
     edges = spark.createDataFrame([(1, str(k), str(n)) for k, own in needs.items() for n in own], "conv_id long, call_id string, needs string")
-    assert {int(r["call_id"]): r["level"] for r in levels(calls, edges).collect()} == want
+    got = levels(calls, edges).collect()
+    assert {int(r["call_id"]): r["level"] for r in got} == want
+    place = lambda k: (want[k] is None, want[k] or 0, str(k))
+    assert [int(r["call_id"]) for r in sorted(got, key=lambda r: r["position"])] == sorted(needs, key=place)
+    # the same by all tasks in rounds, with turns and a short conversation beside
+    more = calls.selectExpr("conv_id", "call_id", "cast(call_id as long) * 777 % 20000 as turn").union(spark.createDataFrame([(2, "1", 0), (2, "1", 5), (2, "2", None)], "conv_id long, call_id string, turn long"))
+    one = {(r["conv_id"], r["call_id"]): (r["level"], r["position"]) for r in levels(more, edges).collect()}
+    assert {(r["conv_id"], r["call_id"]): (r["level"], r["position"]) for r in levels(more, edges, most_rows=50).collect()} == one and len(one) == len(needs) + 2
+
+
+def test_arguments_of_every_kind():
+    from tilewright.llm.tool_calls import canonical, checked, parsed
+
+    f = {"f": {"properties": {"b": {"type": "integer"}, "c": {"enum": [1, "x"]}, "d": {"const": 2.5}, "e": {"pattern": "^a+$"}}}}
+    assert checked("f", '{"b":"\\ud800"}', f) == (None, "lone surrogate")
+    assert checked("f", '{"b":' + "9" * 400 + "}", f)[1] == "" and checked("f", '{"b":' + "9" * 5000 + ".5}", f)[1] == "$.b: not integer"
+    assert checked("f", '{"b":1e400}', f) == ('{"b":1e+400}', "") and checked("f", '{"b":NaN}', f)[1] == "not JSON"
+    assert checked("f", "[" * 100_000, f)[1] == "nested too deeply" and checked("f", None, f)[1] == "not JSON"
+    assert checked("f", '{"b":1e99999999999999999999}', f)[1] == "number out of range"
+    assert checked("f", '{"c":true}', f)[1] == "$.c: not in enum" and checked("f", '{"c":1.0,"d":2.50,"e":"aa"}', f) == ('{"c":1,"d":2.5,"e":"aa"}', "")
+    assert checked("f", '{"d":2,"e":"b"}', f)[1] == "$.d: not the constant; $.e: pattern"
+    same = [["1", "1.0", "1e0", "10e-1", "0.1e1"], ["-0", "0.0", "0e5"], ["1e21", "1" + "0" * 21], ["0.0000001", "1e-7"], ["123.4500", "12345e-2"], ["1e20", "1" + "0" * 20]]
+    assert [{canonical(parsed(x)) for x in own} for own in same] == [{"1"}, {"0"}, {"1e+21"}, {"1e-7"}, {"123.45"}, {"1" + "0" * 20}]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(st.characters(exclude_categories=["Cs"])), lambda x: st.lists(x) | st.dictionaries(st.text(st.characters(exclude_categories=["Cs"])), x), max_leaves=8))
+def test_canonical_json_is_the_value_again(value):
+    from tilewright.llm.tool_calls import canonical, parsed
+
+    text = canonical(value)
+    again = parsed(json.dumps(value))
+    assert parsed(text) == again and canonical(again) == text
+
+
+def test_tool_calls_of_odd_rows(spark):
+    from tilewright.llm.tool_calls import link_calls, unlinked_results
+
+    shape = "conv_id long, call_id string, turn long, name string, arguments string, level int, first string"
+    long = json.dumps({"b": 1, "t": "x" * 200_000})
+    calls = spark.createDataFrame([(1, "a", None, None, None, 9, "z"), (1, "b", 3, "f", long, 9, "z"), (1, "b", 3, "f", long, 9, "z"), (None, None, 1, "f", "{}", 9, "z")], shape)
+    results = spark.createDataFrame([(1, "b", 5, "two"), (1, "b", 4, "one"), (1, "b", 4, "one"), (1, "b", 4, None), (1, "zz", 1, "lost"), (None, "b", 0, "x"), (1, "a", None, None)], "conv_id long, call_id string, turn long, content string")
+    needs = spark.createDataFrame([(1, "a", "b"), (None, "a", "b")], "conv_id long, call_id string, needs string")
+    got = {r["call_id"]: r for r in link_calls(calls, results, needs, {"f": {}}).collect()}
+    assert got["b"]["call_message"] == json.dumps({"role": "assistant", "tool_calls": [{"function": {"arguments": json.dumps(json.loads(long), separators=(",", ":")), "name": "f"}, "id": "b", "type": "function"}]}, separators=(",", ":"))
+    assert got["b"]["result_message"] == '{"content":"one","role":"tool","tool_call_id":"b"}' and (got["b"]["result_turn"], got["b"]["n_results"], got["b"]["position"]) == (4, 4, 0)
+    assert got["a"]["call_message"] is None and got["a"]["result_message"] == '{"content":null,"role":"tool","tool_call_id":"a"}' and (got["a"]["level"], got["a"]["position"]) == (1, 1)
+    rest = sorted(((r["call_id"], r["turn"], r["content"], r["status"], r["copies"]) for r in unlinked_results(calls, results).collect()), key=str)
+    assert rest == [("b", 4, None, "further result", 1), ("b", 4, "one", "further result", 1), ("b", 5, "two", "further result", 1), ("zz", 1, "lost", "no call", 1)]
+    none = [df.limit(0) for df in (calls, results, needs)]
+    assert link_calls(*none, {}).count() == 0 and link_calls(calls, none[1], none[2], {}).filter("linked").count() == 0

@@ -24,10 +24,10 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     asked = F.struct(F.col("turn").alias("turn"), F.regexp_extract(text, "[A-Za-z]+", 0).alias("first"), F.length(text).alias("chars"))
     calls = talk.filter("role = 'user'").select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.when(text.contains("?"), "ask").otherwise("tell").alias("name"), F.to_json(asked).alias("arguments"))
-    results = talk.filter("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn")
+    results = talk.filter("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", text.alias("content"))
     needs = calls.filter("turn >= 2").select("conv_id", "call_id", call_id(F.col("turn") - 2).alias("needs"))
     tell = {"type": "object", "required": ["turn", "first", "chars"], "additionalProperties": False, "properties": {"turn": {"type": "integer", "minimum": 0}, "first": {"type": "string", "minLength": 2}, "chars": {"type": "integer", "maximum": 300}}}
-    return link_calls(calls, results, needs, {"tell": tell})
+    return link_calls(calls, results, needs, {"tell": tell, "ask": tell})
 
 
 def op2_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,15 +122,18 @@ with recursive talk as (
       name := case when contains(text, '?') then 'ask' else 'tell' end, first := regexp_extract(text, '[A-Za-z]+'), chars := length(text))) as s
     from talk where role = 'user' group by all)
 ), answers as (
-  select conv_id, turn - 1 as turn, min(turn) as result_turn, count(*) as n_results from talk where role = 'assistant' group by conv_id, turn
+  select conv_id, turn - 1 as turn, min(turn) as result_turn, count(*) as n_results, min(text) as content from talk where role = 'assistant' group by conv_id, turn
 ), depth as (
   select c.conv_id, c.turn, 0 as level from calls c where not exists (select 1 from calls p where p.conv_id = c.conv_id and p.turn = c.turn - 2)
   union all select c.conv_id, c.turn, d.level + 1 from depth d join calls c on c.conv_id = d.conv_id and c.turn = d.turn + 2
 ), judged as (
-  select *, case when name <> 'tell' then 'unknown tool' else concat_ws('; ', case when chars > 300 then '$.chars: range' end, case when length(first) < 2 then '$.first: length' end, case when turn < 0 then '$.turn: range' end) end as problems from calls
+  select *, concat_ws('; ', case when chars > 300 then '$.chars: range' end, case when length(first) < 2 then '$.first: length' end, case when turn < 0 then '$.turn: range' end) as problems,
+    '{"chars":' || chars || ',"first":"' || first || '","turn":' || turn || '}' as arguments from calls
 )
-select conv_id, call_id, j.turn, name, level, n_results is not null as linked, result_turn, coalesce(n_results, 0) as n_results,
-  '{"chars":' || chars || ',"first":"' || first || '","turn":' || j.turn || '}' as arguments, problems = '' as valid, problems
+select conv_id, call_id, j.turn, name, level, row_number() over (partition by conv_id order by level, j.turn, call_id) - 1 as position, n_results is not null as linked, result_turn, coalesce(n_results, 0) as n_results,
+  arguments, problems = '' as valid, problems,
+  '{"role":"assistant","tool_calls":[{"function":{"arguments":' || to_json(arguments) || ',"name":"' || name || '"},"id":"' || call_id || '","type":"function"}]}' as call_message,
+  '{"content":' || to_json(content) || ',"role":"tool","tool_call_id":"' || call_id || '"}' as result_message
 from judged j join depth using (conv_id, turn) left join answers using (conv_id, turn)
 """,
     "op5_minhash_near_duplicates": r"""
