@@ -125,7 +125,9 @@ def _confirm(size: int, percent: int):
 def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (member x, hub y) that are links, written."""
     chunks = pairs.groupBy("y").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    members = pairs.join(chunks, "y").select("x", "y", F.pmod(F.hash("x"), "chunks").alias("chunk"), F.lit(True).alias("member"), F.col("x").alias("doc_id"))
+    # only hubs of several chunks are joined to their members: so few that adaptive execution mostly broadcasts them, and a large hub's members stay where they are
+    several = pairs.join(chunks.filter("chunks > 1"), "y", "left")
+    members = several.select("x", "y", F.coalesce(F.pmod(F.hash("x"), "chunks"), F.lit(0)).alias("chunk"), F.lit(True).alias("member"), F.col("x").alias("doc_id"))
     hubs = chunks.select(F.col("y").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("member"), F.col("y").alias("doc_id"))
     rows = members.union(hubs).join(texts.select("doc_id", "text").hint("merge"), "doc_id").drop("doc_id")
     rows = rows.repartition("y", "chunk").sortWithinPartitions("y", "chunk", "member")
