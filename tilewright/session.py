@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,23 +23,38 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folders of the tables that written() made and discard() hasn't deleted, by the table's number.
+_FOLDERS: dict[int, str] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again: recovery from a lost executor restarts here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[id(out)] = path
+    weakref.finalize(out, _FOLDERS.pop, id(out), None)
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that written() made and nothing needs any more."""
-    spark = df.sparkSession
-    top = shared_dir(spark).removeprefix("file://")
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        if top in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder := _FOLDERS.pop(id(df), None):
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def at_most_tasks(spark: SparkSession, tasks: int) -> Iterator[None]:
+    """What is written in the block shuffles to no more tasks than these; the session's setting holds again after it. For tables that are known to be small, whose tasks would be nearly empty."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, min(int(before), tasks))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 #: Rows of whole texts in one batch between Spark and Python: a few megabytes, of which either side holds several copies.
