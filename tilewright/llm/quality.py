@@ -1,8 +1,8 @@
 """A quality classifier by Bradley-Terry pairwise ranking.
 
 A document's strength is a weighted sum of features of its whole text. The weights are learned from preference pairs (a document of label 1 over one of
-label 0) by logistic loss on the difference of their features. A document is accepted if its strength is at least a quantile of the strengths of the labelled sample: the share
-of label 0 in it. The score is a logistic curve of the strength, with its slope fitted to the labels, that passes 0.7 at that threshold.
+label 0) by logistic loss on the difference of their features. A document is accepted if its strength is at least a quantile of the strengths of the labelled sample (each third of it by weights
+learned from the others): the share of label 0 in it. The score is a logistic curve of the strength, with its slope fitted to the labels, that passes 0.7 at that threshold.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.shingles import words
-from tilewright.llm.text import BYTE_HASH, sliced, span_hash, utf8
+from tilewright.llm.text import BYTE_HASH, U64, sliced, span_hash, utf8
 from tilewright.session import text_batches
 
 #: Labelled documents that are learned from (a sample of the labelled rows by a hash of their id; about so many, and all if there are fewer).
 TRAIN_ROWS = 12_000
 #: Preference pairs in which each document of the rarer label is, and the strength of the penalty.
-PAIRS_EACH, RIDGE = 6, 1e-3
+PAIRS_EACH, RIDGE = 6, 1e-2
+#: Rows of each label from which on the threshold is that of rows left out of the fit.
+FEWEST_FOLDED = 60
 #: The score at the threshold.
 AT_THRESHOLD = 0.7
 
@@ -31,8 +33,10 @@ _KINDS = len(_CLASSES) + 1
 _CLASS = np.full(256, _KINDS - 1, np.int64)
 for _k, _chars in enumerate(_CLASSES):
     _CLASS[list(_chars.encode())] = _k
-#: Shares of byte classes and of pairs of classes, and six more.
-FEATURES = _KINDS + _KINDS * _KINDS + 6
+#: Bits of a word's hash that tell its share apart from others'.
+WORD_BITS = 8
+#: Shares of byte classes, of pairs of classes and of hashed words, and six more.
+FEATURES = _KINDS + _KINDS * _KINDS + (1 << WORD_BITS) + 6
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -50,6 +54,7 @@ def features(column: pa.Array) -> np.ndarray:
         pair = np.bincount((row[1:] * _KINDS * _KINDS + kind[:-1] * _KINDS + kind[1:])[inside], minlength=rows * _KINDS * _KINDS).reshape(rows, -1)
         starts, ends, first = words(part, at)
         h, n = span_hash(BYTE_HASH[part], starts, ends), np.diff(first)
+        word = np.bincount(np.repeat(np.arange(rows), n) << WORD_BITS | (h >> U64(64 - WORD_BITS)).astype(np.int64), minlength=rows << WORD_BITS).reshape(rows, -1) / np.maximum(n, 1)[:, None]
         long = np.bincount(row, minlength=rows)
         distinct = np.array([len(np.unique(h[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
         # lines that stand more than once
@@ -65,7 +70,7 @@ def features(column: pa.Array) -> np.ndarray:
         squares = np.concatenate(([0.0], np.cumsum(letters**2)))[first]
         mean = np.diff(total) / np.maximum(n, 1)
         extra = [np.log1p(long), mean, np.sqrt(np.maximum(np.diff(squares) / np.maximum(n, 1) - mean**2, 0)), distinct / np.maximum(n, 1), different / np.maximum(m, 1), np.log1p(n)]
-        out[i:j] = np.where(long[:, None] > 0, np.concatenate([single / size, pair / size, np.stack(extra, axis=1)], axis=1), 0.0)
+        out[i:j] = np.where(long[:, None] > 0, np.concatenate([single / size, pair / size, word, np.stack(extra, axis=1)], axis=1), 0.0)
     return out
 
 
@@ -85,6 +90,14 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * (strengths - self.threshold) + shift, -30, 30)))
 
 
+def preferences(label: np.ndarray, pairs_each: int = PAIRS_EACH) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of label 1 and label 0, in which each row of either label stands about equally often."""
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    n = max(len(good), len(bad), pairs_each * min(len(good), len(bad)))
+    rng = np.random.default_rng(29)
+    return np.resize(rng.permutation(good), n), np.resize(rng.permutation(bad), n)
+
+
 def fit(x: np.ndarray, label: np.ndarray, pairs_each: int = PAIRS_EACH, ridge: float = RIDGE) -> QualityModel:
     """Weights by Newton's method on the pairs' logistic loss. With one label only, or no rows, all strengths are equal and everything is accepted."""
     if not len(x):
@@ -94,21 +107,9 @@ def fit(x: np.ndarray, label: np.ndarray, pairs_each: int = PAIRS_EACH, ridge: f
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
         return model
-    z = np.clip((x - mean) / scale, -8, 8)
-    n = max(len(good), len(bad), pairs_each * min(len(good), len(bad)))
-    rng = np.random.default_rng(29)
-    diff = z[np.resize(rng.permutation(good), n)] - z[np.resize(rng.permutation(bad), n)]
-    w = np.zeros(z.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))  # the chance that the pair is the other way
-        slope = -(diff.T @ p) / n + ridge * w
-        curve = (diff * (p * (1 - p))[:, None]).T @ diff / n + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, slope)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    model.weights = w
-    s = model.strengths(x)
+    z = np.clip((x - mean) / scale, -8, 8).astype(np.float32)
+    model.weights = _weights(z, label, pairs_each, ridge)
+    s = _left_out(z, label, pairs_each, ridge, model.strengths(x))
     ordered, k = np.sort(s), len(bad)
     model.threshold = float((ordered[k - 1] + ordered[k]) / 2)  # the quantile of the share of label 0
     best = np.inf
@@ -122,6 +123,37 @@ def fit(x: np.ndarray, label: np.ndarray, pairs_each: int = PAIRS_EACH, ridge: f
     return model
 
 
+def _weights(z: np.ndarray, label: np.ndarray, pairs_each: int, ridge: float) -> np.ndarray:
+    """The weights of least logistic loss on the pairs' differences, by Newton's method."""
+    better, worse = preferences(label, pairs_each)
+    diff, n = z[better] - z[worse], len(better)
+    w = np.zeros(z.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))  # the chance that the pair is the other way
+        slope = -(diff.T @ p) / n + ridge * w
+        curve = (diff * (p * (1 - p)).astype(np.float32)[:, None]).T @ diff / n + ridge * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def _left_out(z: np.ndarray, label: np.ndarray, pairs_each: int, ridge: float, own: np.ndarray) -> np.ndarray:
+    """Strengths of the sample by weights that were learned without the row's third of it, as new documents have them; the own ones where a label has too few rows for that."""
+    fold = np.empty(len(label), np.int64)
+    for k in (0, 1):
+        rows = np.flatnonzero(label == k)
+        if len(rows) < FEWEST_FOLDED:
+            return own
+        fold[rows] = np.random.default_rng(31).permutation(len(rows)) % 3
+    out = np.zeros(len(label))
+    for f in range(3):
+        seen = fold != f
+        out[~seen] = z[~seen] @ _weights(z[seen], label[seen], pairs_each, ridge)
+    return out
+
+
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = features(batch.column("text"))
