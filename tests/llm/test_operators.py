@@ -270,6 +270,32 @@ def test_quality_ranks_held_out_pairs(spark):
     assert score(frame(spark, []), train(frame(spark, []), labels.limit(0))).count() == 0
 
 
+def test_ranking_against_plain_gradient_descent():
+    """The weights are those at which the pairs' logistic loss is least; found by small steps here."""
+    from tilewright.llm.quality import RIDGE, fit, preferences
+
+    rng = np.random.default_rng(61)
+    label = rng.integers(0, 2, 80)
+    x = rng.normal(size=(80, 4)) + label[:, None] * np.array([1.0, 0.3, 0.0, -0.5])
+    model = fit(x, label)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+    better, worse = preferences(label)
+    assert set(better) == set(np.flatnonzero(label == 1)) and set(worse) == set(np.flatnonzero(label == 0))
+    w = np.zeros(4)
+    for _ in range(60_000):
+        step = np.zeros(4)
+        diff = z[better] - z[worse]
+        step = -(diff / (1 + np.exp(diff @ w))[:, None]).mean(axis=0) + RIDGE * w
+        w -= 0.3 * step
+        if np.abs(step).max() < 1e-7:
+            break
+    assert model.weights == pytest.approx(w, abs=1e-3)
+    strengths = z @ w
+    accepted = strengths >= model.threshold
+    assert (~accepted).sum() == (label == 0).sum()
+    assert ((model.scores(model.strengths(x)) >= 0.7) == accepted).all()
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 

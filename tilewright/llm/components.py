@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.session import discard, written
+from tilewright.session import at_most_tasks, discard, written
+
+#: Links in one task of a round, where there are few.
+TASK_LINKS = 50_000
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -31,14 +34,16 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     links: integer columns a and b; nulls, loops and repeats count for nothing. Nodes without a link to another node don't appear.
     """
     now = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct(), "links")
-    mark = None
+    mark, spark = None, now.sparkSession
+    n = now.count()
     for _ in range(most_rounds):
-        new = written(_small_star(_large_star(now)), "links")
+        with at_most_tasks(spark, -(-n // TASK_LINKS)):
+            new = written(_small_star(_large_star(now)), "links")
         discard(now)
         now = new
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             node = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return node.union(node.select(F.col("component").alias("node"), "component")).distinct()
-        mark = seen
+        mark, n = seen, seen[0]
     raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
