@@ -15,7 +15,7 @@ from tilewright.llm.minhash import near_duplicates
 from tilewright.llm.piece_bpe import encode_decode
 from tilewright.llm.quality import score, train
 from tilewright.llm.secrets import scan_secrets
-from tilewright.session import written
+from tilewright.session import discard, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,8 +59,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, "stage")
+            if before is not None:  # what a stage was made from isn't needed once it is written
+                discard(before)
+            before = docs
     return docs
