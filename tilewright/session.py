@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,18 +43,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextmanager
-def at_most_tasks(spark: SparkSession, tasks: int) -> Iterator[None]:
-    """What is written in the block shuffles to no more tasks than these; the session's setting holds again after it. For tables that are known to be small, whose tasks would be nearly empty."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(max(1, min(int(before), tasks))))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 #: Rows of whole texts in one batch between Spark and Python: a few megabytes, of which either side holds several copies.
 BATCH_ROWS = 1000
 
