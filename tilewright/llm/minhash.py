@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.components import components
 from tilewright.llm.shingles import WORDS, shingle_sets
 from tilewright.llm.text import U64, mix, stream
-from tilewright.session import at_most_tasks, discard, text_batches, written
+from tilewright.session import discard, text_batches, written
 
 BANDS, ROWS = 32, 4
 #: Places of a long signature, and how far they may fall below the similarity before a pair is given up.
@@ -36,8 +36,6 @@ PLACES, SLACK = 1024, 0.06
 TARGETS = 512
 #: Members of a hub in one chunk of the confirmation.
 CHUNK = 256
-#: Texts in one task of a shuffle, where there are few.
-TASK_TEXTS = 4096
 
 #: Factors and addends of the universal hashes: those of the bands, then those of long signatures.
 _A, _B = ((stream(seed, BANDS * ROWS + PLACES) >> U64(32)).astype(np.uint32) for seed in (101, 202))
@@ -214,34 +212,33 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, size: int = WORDS
     # the key has the id in it, so the copies of a large group don't meet
     alone = full.join(firsts.withColumnRenamed("copy_of", "doc_id"), ["k1", "k2", "doc_id"]).select("doc_id", "k1", "bands")
     alone = written(alone.groupBy("doc_id").agg(F.min(F.struct("k1", "bands")).alias("s")).select("doc_id", "s.bands"), "alone")
-    n = sketches.agg(F.sum(F.size("docs"))).first()[0] or 0
     discard(sketches)
 
-    with at_most_tasks(docs.sparkSession, max(8, -(-n // TASK_TEXTS))):
-        bands = alone.select(F.col("doc_id").alias("x"), F.posexplode("bands").alias("place", "band"))
-        hubs = bands.groupBy("band").agg(F.min("x").alias("y"), F.max("x").alias("last")).filter("y != last").select("band", "y")
-        bands = written(bands.join(hubs, "band"), "bands")  # of buckets with two members or more
-        pairs = written(bands.select("x", "y").filter("x != y").distinct(), "pairs")
-        wanted = bands.select(F.col("x").alias("doc_id")).distinct()
-        members = docs.join(wanted.hint("merge"), "doc_id")
-        if not of.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-            members = members.groupBy("doc_id").agg(F.min("text").alias("text"))
-        texts = written(members.mapInArrow(_long(size), "doc_id long, text string, sig binary"), "texts")
-        same_id = of.filter("copy_of is not null and copy_of != doc_id").groupBy("doc_id").agg(F.min("copy_of").alias("a"), F.max("copy_of").alias("b")).filter("a != b").select(F.col("a").alias("x"), F.col("b").alias("y"))
-        close = _alike(pairs, texts, similarity - SLACK)
-        found = _links(close, texts, percent, size)
-        links, scratch = same_id.union(found), [alone, bands, pairs, texts, close, found]
-        named = written(components(links, "x", "y"), "named")
-        for least, likest in ((similarity, True), (similarity - SLACK, False)):
-            more = _between(bands, alone, texts, named, least, likest).join(close, ["x", "y"], "left_anti")
-            found = _links(more, texts, percent, size)
-            links = links.union(found)
-            scratch += [found, named]
-            named = written(components(links, "x", "y"), "named")
-        out = copies.join(named.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("copy_of", "component", "n_shingles", F.explode("docs").alias("doc_id"))
-        component = F.coalesce("component", "copy_of", "doc_id")
-        out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNotNull() & (component == F.col("doc_id"))).alias("kept"), "copy_of")
-        out = written(out, "near")
+    bands = alone.select(F.col("doc_id").alias("x"), F.posexplode("bands").alias("place", "band"))
+    hubs = bands.groupBy("band").agg(F.min("x").alias("y"), F.max("x").alias("last")).filter("y != last").select("band", "y")
+    bands = written(bands.join(hubs, "band"), "bands")  # of buckets with two members or more
+    pairs = written(bands.select("x", "y").filter("x != y").distinct(), "pairs")
+    wanted = bands.select(F.col("x").alias("doc_id")).distinct()
+    members = docs.join(wanted.hint("merge"), "doc_id")
+    if not of.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        members = members.groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = written(members.mapInArrow(_long(size), "doc_id long, text string, sig binary"), "texts")
+    same_id = of.filter("copy_of is not null and copy_of != doc_id").groupBy("doc_id").agg(F.min("copy_of").alias("a"), F.max("copy_of").alias("b")).filter("a != b").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    close = _alike(pairs, texts, similarity - SLACK)
+    found = _links(close, texts, percent, size)
+    links, scratch = same_id.union(found), [alone, bands, pairs, texts, close, found]
+    named = written(components(links, "x", "y"), "named")
+    for least, likest in ((similarity, True), (similarity - SLACK, False)):
+        more = _between(bands, alone, texts, named, least, likest).join(close, ["x", "y"], "left_anti")
+        found = _links(more, texts, percent, size)
+        scratch.append(found)
+        if not found.isEmpty():  # what is known already stands as one link of each node to its component
+            scratch.append(named)
+            named = written(components(named.select(F.col("node").alias("x"), F.col("component").alias("y")).union(found), "x", "y"), "named")
+    out = copies.join(named.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("copy_of", "component", "n_shingles", F.explode("docs").alias("doc_id"))
+    component = F.coalesce("component", "copy_of", "doc_id")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNotNull() & (component == F.col("doc_id"))).alias("kept"), "copy_of")
+    out = written(out, "near")
     for df in (copies, named, *scratch):
         discard(df)
     return out
