@@ -20,3 +20,29 @@ def merged(file_options: DataFrame, registered: DataFrame) -> DataFrame:
     """section, key, value: those of the registered options (section, key, value) where there is one, else those of the file; options of either side stay."""
     both = file_options.select("section", "key", F.col("value").alias("old")).join(registered.select("section", "key", F.col("value").alias("new")), ["section", "key"], "full")
     return both.select("section", "key", F.coalesce("new", "old").alias("value"))
+
+
+def rewritten(lines: DataFrame, registered: DataFrame) -> DataFrame:
+    """Lines of files (section, place, line) with the values of registered options (section, key, value) put in: comments, order and other options stay as they are; registered options that no line has come at the end (place is null)."""
+    keyed = lines.withColumn("key", F.regexp_extract("line", r"^\s*([^=;\[]+?)\s*=", 1))
+    new = registered.select("section", "key", F.col("value").alias("new"))
+    kept = keyed.join(new, ["section", "key"], "left").select("section", "place", F.coalesce(F.concat("key", F.lit("="), "new"), "line").alias("line"))
+    missing = new.join(keyed.select("section", "key"), ["section", "key"], "left_anti")
+    return kept.unionByName(missing.select("section", F.lit(None).cast("long").alias("place"), F.concat("key", F.lit("="), "new").alias("line")))
+
+
+def write_options(lines: DataFrame, path: str) -> None:
+    """A folder and file for each section of lines (section, place, line): its head, then the lines in order, those without a place at the end. A section is as small as an option file is."""
+    heads = lines.select("section").distinct().select("section", F.lit(-1).cast("long").alias("place"), F.concat(F.lit("["), "section", F.lit("]")).alias("line"))
+    rows = heads.unionByName(lines.select("section", F.col("place").cast("long").alias("place"), "line"))
+    rows = rows.repartition("section").sortWithinPartitions("section", F.asc_nulls_last("place"), "line")
+    rows.select("section", F.col("line").alias("value")).write.partitionBy("section").text(path)
+
+
+def read_with_comments(spark: SparkSession, path: str) -> DataFrame:
+    """section, key, value, comment (the comment line right before it, or null) of the files that write_options() wrote."""
+    whole = spark.read.text(path, wholetext=True).select("section", F.split("value", r"\r\n|\r|\n").alias("lines"))
+    rows = whole.select(F.col("section").cast("string").alias("section"), "lines", F.posexplode("lines").alias("k", "line"))
+    before = F.when(F.col("k") > 0, F.get("lines", F.col("k") - 1))
+    pair = F.regexp_extract("line", r"^\s*([^=;\[]+?)\s*=", 1)
+    return rows.filter(pair != "").select("section", pair.alias("key"), F.regexp_extract("line", r"=\s*(.*)$", 1).alias("value"), F.when(before.startswith(";"), before).alias("comment"))
