@@ -120,3 +120,27 @@ def instances(rows: DataFrame) -> DataFrame:
     number = lambda tag: F.max(F.when(F.col("tag") == tag, F.element_at("numbers", 1))).cast("long")
     kind = F.split(text("00080008"), r"\\")
     return top.groupBy("path").agg(F.try_element_at(kind, F.lit(3)).alias("flavor"), number("00480006").alias("columns"), number("00480007").alias("rows"), number("00280011").alias("tile_width"), number("00280010").alias("tile_height"), text("00280008").try_cast("int").alias("n_frames"))
+
+
+def packed(tag: int, vr: str, value: bytes) -> bytes:
+    """An element in explicit little-endian order, with an even length."""
+    value += (b"\0" if vr in ("UI", "OB") else b" ") * (len(value) % 2)
+    head = struct.pack("<HH", tag >> 16, tag & 0xFFFF) + vr.encode()
+    return head + (struct.pack("<HI", 0, len(value)) if vr in LONG_VR else struct.pack("<H", len(value))) + value
+
+
+def series_files(instances_: DataFrame) -> DataFrame:
+    """name, content: a small file for each instance (name, flavor, columns, rows, tile, frames, codes), whose codes are items of a sequence of undefined length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                items = b"".join(struct.pack("<HHI", 0xFFFE, 0xE000, UNDEFINED) + packed(0x00080100, "SH", c.encode()) + struct.pack("<HHI", 0xFFFE, 0xE00D, 0) for c in r["codes"])
+                sequence = struct.pack("<HH", 0x0040, 0x0555) + b"SQ" + struct.pack("<HI", 0, UNDEFINED) + items + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+                body = packed(0x00080008, "CS", f"ORIGINAL\\PRIMARY\\{r['flavor']}\\NONE".encode()) + packed(0x00280008, "IS", str(r["frames"]).encode()) + packed(0x00280010, "US", struct.pack("<H", r["tile"])) + packed(0x00280011, "US", struct.pack("<H", r["tile"]))
+                body += sequence + packed(0x00480006, "UL", struct.pack("<I", r["columns"])) + packed(0x00480007, "UL", struct.pack("<I", r["rows"]))
+                out.append(bytes(128) + b"DICM" + packed(0x00020010, "UI", b"1.2.840.10008.1.2.1") + body)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], ["name", "content"])
+
+    return instances_.select("name", "flavor", "columns", "rows", "tile", "frames", "codes").mapInArrow(run, "name string, content binary")

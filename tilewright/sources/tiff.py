@@ -1,19 +1,21 @@
-"""A data source for TIFF and BigTIFF files: one row for each directory, and tiles read by byte range.
+"""TIFF and BigTIFF files: one row for each directory, and tiles read by byte range.
 
-Registered with spark.dataSource.register(TiffSource); spark.read.format("tiff_directories").load(path) gives the directories of all files of a path pattern. Pixel data isn't
-read: each row has the offsets and byte counts of its tiles, so that tiles can be pruned before any is read with read_tiles().
+Tasks open the files and read at places, so that files of any size cost what their directories take. Pixel data isn't read with them: each row has the offsets and byte counts of its tiles, so that
+tiles can be pruned before any is read with read_tiles().
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.sources import files
+
 # Tag numbers, and the struct codes and sizes of field types.
 TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 270: "description", 277: "samples", 282: "x_resolution", 283: "y_resolution", 296: "resolution_unit", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "offsets", 325: "byte_counts"}
 TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8), 17: ("q", 8)}
@@ -21,40 +23,44 @@ TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("
 DIRECTORIES = "path string, directory int, width long, height long, tile_width int, tile_height int, width_tiles int, height_tiles int, samples int, compression int, mpp_x double, mpp_y double, description string, offsets array<long>, byte_counts array<long>"
 
 
-def directories(data: bytes) -> Iterator[dict]:
-    """The directories of a file's bytes as dictionaries of tag names to values; stops at a loop."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+def directories(read: Callable[[int, int], bytes]) -> Iterator[dict]:
+    """The directories of a file (read gives so many bytes at a place) as dictionaries of tag names to values; stops at a loop."""
+    order = {b"II": "<", b"MM": ">"}.get(read(0, 2))
     if order is None:
         raise ValueError("not a TIFF file")
-    magic = struct.unpack_from(order + "H", data, 2)[0]
+
+    def unpacked(code: str, at: int) -> tuple:
+        return struct.unpack(order + code, read(at, struct.calcsize(order + code)))
+
+    magic = unpacked("H", 2)[0]
     if magic not in (42, 43):
         raise ValueError("not a TIFF file")
     big = magic == 43
     word, size, entry = ("Q", 8, 20) if big else ("I", 4, 12)
-    at = struct.unpack_from(order + word, data, 8 if big else 4)[0]
+    at = unpacked(word, 8 if big else 4)[0]
     seen = set()
     while at and at not in seen:
         seen.add(at)
-        count = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
+        count = unpacked("Q" if big else "H", at)[0]
         at += 8 if big else 2
         found = {}
         for k in range(count):
-            tag, kind, n = struct.unpack_from(order + "HH" + word, data, at + k * entry)
+            tag, kind, n = unpacked("HH" + word, at + k * entry)
             if tag not in TAGS or kind not in TYPES:
                 continue
             code, width = TYPES[kind]
             place = at + k * entry + (12 if big else 8)
             if n * width > size:
-                place = struct.unpack_from(order + word, data, place)[0]
+                place = unpacked(word, place)[0]
             if kind == 2:
-                found[TAGS[tag]] = data[place : place + n].split(b"\0")[0].decode("latin-1")
+                found[TAGS[tag]] = read(place, n).split(b"\0")[0].decode("latin-1")
             elif len(code) == 2:
-                pairs = struct.unpack_from(order + code * n, data, place)
+                pairs = unpacked(code * n, place)
                 found[TAGS[tag]] = [a / b if b else 0.0 for a, b in zip(pairs[::2], pairs[1::2], strict=True)]
             else:
-                found[TAGS[tag]] = list(struct.unpack_from(f"{order}{n}{code}", data, place))
+                found[TAGS[tag]] = list(unpacked(f"{n}{code}", place))
         yield found
-        at = struct.unpack_from(order + word, data, at + count * entry)[0]
+        at = unpacked(word, at + count * entry)[0]
 
 
 def resolution(per_unit: float, unit: int) -> float:
@@ -84,26 +90,28 @@ def read_directories(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for name in batch.column("path").to_pylist():
                 try:
-                    rows = [_row(name, k, d) for k, d in enumerate(directories(content.as_py()))]
-                except (ValueError, struct.error):
+                    with files.opened(name) as f:
+                        rows = [_row(name, k, d) for k, d in enumerate(directories(files.Blocks(f)))]
+                except (OSError, ValueError, struct.error):
                     rows = [dict.fromkeys(names) | {"path": name}]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, StructType.fromDDL(DIRECTORIES))
+    return files.listing(spark, path).select("path").mapInArrow(run, StructType.fromDDL(DIRECTORIES))
 
 
 def read_tiles(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """wanted (path, directory, tile_index): with data, the tile's bytes; null for tiles that are empty (offset or count of 0) or aren't there."""
     known = read_directories(spark, path).select("path", "directory", F.posexplode(F.arrays_zip("offsets", "byte_counts")).alias("tile_index", "t"))
-    rows = wanted.join(known, ["path", "directory", "tile_index"], "left").join(spark.read.format("binaryFile").load(path).select("path", "content"), "path", "left")
-    part = F.when((F.col("t.offsets") > 0) & (F.col("t.byte_counts") > 0), F.substring(F.col("content"), (F.col("t.offsets") + 1).cast("int"), F.col("t.byte_counts").cast("int")))
-    return rows.select("path", "directory", "tile_index", part.alias("data"))
+    rows = wanted.join(known, ["path", "directory", "tile_index"], "left")
+    there = (F.col("t.offsets") > 0) & (F.col("t.byte_counts") > 0)
+    rows = rows.select("path", "directory", "tile_index", F.when(there, F.col("t.offsets")).alias("at"), F.when(there, F.col("t.byte_counts")).alias("n"))
+    return files.read_at(rows, F.col("at"), F.col("n")).select("path", "directory", "tile_index", F.col("bytes").alias("data"))
 
 
 def bigtiff(levels: list[tuple[np.ndarray, int]], mpp: float) -> bytes:
-    """A BigTIFF of uncompressed grey 8-bit tiles: one directory for each (pixels, tile side)."""
+    """A small BigTIFF of uncompressed grey 8-bit tiles: one directory for each (pixels, tile side)."""
     body, heads = bytearray(b"II" + struct.pack("<HHHQ", 43, 8, 0, 0)), []
     for pixels, side in levels:
         h, w = pixels.shape
@@ -131,3 +139,18 @@ def bigtiff(levels: list[tuple[np.ndarray, int]], mpp: float) -> bytes:
         previous = len(body)
         body += struct.pack("<Q", 0)
     return bytes(body)
+
+
+def bigtiffs(images: DataFrame, width: int, side: int, mpp: float) -> DataFrame:
+    """name, content: a small BigTIFF for each row (name, px: bytes of a square image, row by row), with tiles of the side and a second level of half the size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for px in batch.column("px").to_pylist():
+                whole = np.array(px, np.int64).reshape(width, width)
+                half = (whole[::2, ::2] + whole[::2, 1::2] + whole[1::2, ::2] + whole[1::2, 1::2] + 2) >> 2
+                out.append(bigtiff([(whole.astype(np.uint8), side), (half.astype(np.uint8), side)], mpp))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], ["name", "content"])
+
+    return images.select("name", "px").mapInArrow(run, "name string, content binary")
