@@ -9,7 +9,7 @@ import random
 import duckdb
 import pytest
 
-from tilewright.plans import conversions, formats, outlines, raster, registry, signals, texts, tiling  # noqa: F401
+from tilewright.plans import conversions, edits, formats, kernels, names, outlines, raster, registry, signals, slides, texts, tiling  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -67,19 +67,22 @@ def test_searches_of_all_outlines(spark):
     got = {r["event_id"]: (r["ann_id"], round(r["dist"], 6)) for r in nearest_segment(spark.createDataFrame(points, "event_id long, px double, py double"), edges).collect()}
     assert got == {p: min((round(far(px, py, *s[2:]), 6), s[0]) for s in segments[:-1])[::-1] for p, px, py in points[:-2]}
     n = V.requests(spark, DATA).filter("event_id % 50 = 0").count()
-    near = outlines.nearest_annotation_whole(spark, DATA).join(V.vertices(spark, DATA).select("ann_id", "n").distinct(), "ann_id").collect()
+    near = outlines.nearest_annotation(spark, DATA).join(V.vertices(spark, DATA).select("ann_id", "n").distinct(), "ann_id").collect()
     assert len(near) == n and any(r["n"] > 3 for r in near)
-    few, whole = ({r["event_id"]: r["n_hit"] for r in q(spark, DATA).collect()} for q in (outlines.point_in_bounds, outlines.point_in_bounds_whole))
-    assert few.keys() == whole.keys() and all(few[k] <= whole[k] for k in few) and sum(few.values()) < sum(whole.values())
+    hits = {r["event_id"]: r["n_hit"] for r in outlines.point_in_bounds(spark, DATA).collect()}
+    boxes = [tuple(r) for r in outlines.rings.bounds(V.vertices(spark, DATA), "ann_id").select("x0", "y0", "x1", "y1").collect()]
+    for r in V.requests(spark, DATA).filter("event_id % 50 = 0").collect():
+        x, y = r["cam_x"], r["cam_y"]
+        assert hits[r["event_id"]] == sum(a - 0.5 <= x < c + 0.5 and b - 0.5 <= y < d + 0.5 for a, b, c, d in boxes)
 
 
 def test_every_row_of_plain_arithmetic(spark):
     from tilewright.plans import views as V
 
     n = {t: V.table(spark, DATA, t).count() for t in ("orders", "events")}
-    assert signals.ellipse_points_whole(spark, DATA).count() == 48 * n["orders"]
-    assert tiling.region_cover_whole(spark, DATA).select("event_id").distinct().count() == n["events"]
-    assert tiling.prerequisite_closure_whole(spark, DATA).filter("level = 0").count() == V.tiles(spark, DATA).filter("level = 0").count()
+    assert signals.ellipse_points(spark, DATA).count() == 48 * n["orders"]
+    assert tiling.region_cover(spark, DATA).select("event_id").distinct().count() == n["events"]
+    assert tiling.prerequisite_closure(spark, DATA).filter("level = 0").count() == V.tiles(spark, DATA).filter("level = 0").count()
 
 
 def test_entry_without_the_pipeline(monkeypatch):

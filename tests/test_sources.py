@@ -74,3 +74,67 @@ def test_dicom_elements(spark, tmp_path):
     assert got["", "00020010"] == "1.2.840.10008.1.2.1" and got["00400555[0]", "00080100"] == "A1" and got["", "00280010"] == [256.0]
     one = dicom.instances(rows).collect()
     assert [(r["flavor"], r["columns"], r["tile_width"], r["tile_height"]) for r in one] == [("VOLUME", 5000, 512, 256)]
+
+
+def test_whole_collections(spark, tmp_path):
+    import json
+
+    point, line = {"type": "Point", "coordinates": [1, 2]}, {"type": "LineString", "coordinates": [[0, 0], [3, None], ["x", 1], [2, 2, 9]]}
+    ring = [[0, 0], [4, 0], [4, 3], [0, 0]]
+    features = [
+        {"type": "Feature", "id": 1, "geometry": {"type": "GeometryCollection", "geometries": [point, {"type": "GeometryCollection", "geometries": [line, {"type": "MultiPolygon", "coordinates": [[ring], [ring[:3]]]}]}]}, "properties": {"name": "é", "classification": {"name": "g", "color": [255, 300, -1]}}},
+        {"type": "Feature", "id": 2, "geometry": {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 1]], [[5, 5]]]}, "properties": {"classification": "h"}},
+        {"type": "Feature", "id": 3, "geometry": {"type": "Polygon", "coordinates": [ring[:2] + ring[:1]]}},
+        {"type": "Feature", "id": 4, "geometry": {"type": "Point", "coordinates": [7, 8]}, "properties": {"classification": {"name": "p", "color": 66051}}},
+        5, {"type": "Other"}, {"type": "Feature", "id": 6, "geometry": None},
+    ]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=2, ensure_ascii=False))
+    (tmp_path / "b.json").write_text('{"type": "Topology", "features": []}')
+    got = sorted((r["ann_id"], r["part"], r["type"], len(r["ring"]), r["grp"], r["colour"]) for r in annotations.read_geojson(spark, str(tmp_path)).collect())
+    g = ("g", "#ffff00")
+    assert got == [(1, 0, "Point", 1, *g), (1, 1, "LineString", 2, *g), (1, 2, "Polygon", 3, *g), (1, 3, "Polygon", 3, *g), (2, 0, "LineString", 2, "h", None), (4, 0, "Point", 1, "p", "#010203")]
+    counts = {r["file"].rpartition("/")[2]: (r["imported"], r["skipped"], r["success"]) for r in annotations.import_counts(annotations.read_features(spark, str(tmp_path))).collect()}
+    assert counts == {"a.geojson": (3, 4, True)}
+    rows = annotations.read_geojson(spark, str(tmp_path)).filter("ann_id = 1")
+    annotations.write_geojson(rows, str(tmp_path / "out"))
+    for file in (tmp_path / "out").glob("part-*"):
+        assert json.loads(file.read_text())["type"] == "FeatureCollection"
+    for by_line in (False, True):
+        back = sorted((r["type"], len(r["ring"])) for r in annotations.read_geojson(spark, str(tmp_path / "out"), by_line=by_line).collect())
+        assert back == [("LineString", 2), ("Point", 1), ("Polygon", 3), ("Polygon", 3)]
+
+
+def test_xml_in_one_file(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        '<?xml version="1.0"?><ASAP_Annotations><AnnotationGroups><Group Name="g" Color="#ff0000" PartOfGroup="None"/></AnnotationGroups><AnnotationFeatures><Feature Name="f" RestrictToGroup="g"/><Feature Name="e"/></AnnotationFeatures>'
+        '<Annotations><Annotation Name="n" Type="Dot" PartOfGroup="other"><Coordinates><Coordinate Order="0" X="1" Y="2"/></Coordinates><Features><Feature Name="f" Value="1"/><Feature Name="f" Value="2.5"/></Features></Annotation></Annotations></ASAP_Annotations>'
+    )
+    rows = annotations.read_xml(spark, str(tmp_path))
+    assert [(r["name"], r["grp"], r["features"]) for r in rows.collect()] == [("n", "other", {"f": 2.5})]
+    groups = annotations.read_xml_groups(spark, str(tmp_path))
+    assert sorted((r["name"], r["colour"]) for r in annotations.known_groups(groups, rows).collect()) == [("g", "#ff0000"), ("other", "#000000")]
+    assert sorted((r["name"], r["restrict_to_group"]) for r in annotations.read_xml_features(spark, str(tmp_path)).collect()) == [("e", None), ("f", "g")]
+
+
+def test_files_by_their_first_bytes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tilewright.sources import files
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a").write_bytes(bytes(128) + b"DICM" + bytes(1000))
+    (tmp_path / "in" / "b.tif").write_bytes(b"II")
+    (tmp_path / "in" / "deep" / "c.xyz").write_bytes(b"x")
+    listed = files.listing(spark, str(tmp_path / "in"))
+    read = files.read_at(listed, F.lit(0), F.lit(files.HEADER))
+    got = {r["name"]: (r["kind"], r["length"], len(r["bytes"])) for r in read.withColumn("kind", files.kind(F.col("path"), F.col("bytes"))).collect()}
+    assert got == {"a": ("dicom", 1132, 256), "b.tif": ("tiff", 2, 2), "c.xyz": ("openslide compatible", 1, 1)}
+    assert {r["name"]: r["bytes"] for r in files.read_at(listed, F.lit(130), F.lit(2)).collect()} == {"a": b"CM", "b.tif": b"", "c.xyz": b""}
+    gone = spark.createDataFrame([(f"file:{tmp_path}/none",)], "path string")
+    assert files.read_at(gone, F.lit(0), F.lit(2)).first()["bytes"] is None
+    with files.opened(f"file:{tmp_path}/in/a") as f:
+        small = files.Blocks(f)
+        small.SIZE = 100
+        assert small(95, 60) == bytes(33) + b"DICM" + bytes(23) and small(1130, 10) == bytes(2) and small(120, 13) == bytes(8) + b"DICM" + bytes(1)
+    flags = files.directory_flags(read.withColumn("kind", files.kind(F.col("path"), F.col("bytes"))))
+    assert sorted((r["folder"].rpartition("/")[2], r["n_files"], r["contains_dicom"], r["contains_other"]) for r in flags.collect()) == [("deep", 1, False, True), ("in", 2, True, True)]

@@ -141,45 +141,20 @@ def rotated_bounds(spark, d):
     return b.select("ann_id", R6(rx).alias("rx"), R6(ry).alias("ry"), R6(F.expr("abs(cos(0.3D)) * (x1 - x0) + abs(sin(0.3D)) * (y1 - y0)")).alias("width"))
 
 
-@query(V.sql("vtx", "box", "req", then="select event_id, count(ann_id) as n_hit, min(ann_id) as first_hit from (select event_id, cam_x, cam_y from req where event_id % 50 = 0) left join box on cam_x >= x0 - 0.5 and cam_x < x1 + 0.5 and cam_y >= y0 - 0.5 and cam_y < y1 + 0.5 and n <= 2 group by event_id"))
-def point_in_bounds(spark, d):
-    """How many small annotations' bounds, widened by half a unit, hold each point of a query set; counted in grid cells."""
-    return _in_bounds(spark, d, "n <= 2")
-
-
 @query(V.sql("vtx", "box", "req", then="select event_id, count(ann_id) as n_hit, min(ann_id) as first_hit from (select event_id, cam_x, cam_y from req where event_id % 50 = 0) left join box on cam_x >= x0 - 0.5 and cam_x < x1 + 0.5 and cam_y >= y0 - 0.5 and cam_y < y1 + 0.5 group by event_id"))
-def point_in_bounds_whole(spark, d):
-    """How many of all annotations' bounds, widened by half a unit, hold each point of a query set."""
-    return _in_bounds(spark, d, "true")
-
-
-def _in_bounds(spark, d, which):
+def point_in_bounds(spark, d):
+    """How many annotations' bounds, widened by half a unit, hold each point of a query set; counted in grid cells."""
     points = V.requests(spark, d).filter("event_id % 50 = 0").select("event_id", "cam_x", "cam_y")
     at = points.select("event_id", F.col("cam_x").alias("x0"), F.col("cam_y").alias("y0"), F.col("cam_x").alias("x1"), F.col("cam_y").alias("y1"))
-    b = rings.bounds(V.vertices(spark, d), "ann_id").filter(which).select("ann_id", (F.col("x0") - 0.5).alias("x0"), (F.col("y0") - 0.5).alias("y0"), (F.col("x1") + 0.5).alias("x1"), (F.col("y1") + 0.5).alias("y1"))
+    b = rings.bounds(V.vertices(spark, d), "ann_id").select("ann_id", (F.col("x0") - 0.5).alias("x0"), (F.col("y0") - 0.5).alias("y0"), (F.col("x1") + 0.5).alias("x1"), (F.col("y1") + 0.5).alias("y1"))
     hits = grid.overlap_join(at, b, 8.0, 16.0).filter(G.inside(F.col("x0"), F.col("y0"), F.col("b_x0"), F.col("b_y0"), F.col("b_x1"), F.col("b_y1")))
     return points.select("event_id").join(hits.groupBy("event_id").agg(F.count("*").alias("n_hit"), F.min("ann_id").alias("first_hit")), "event_id", "left").select("event_id", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), "first_hit")
 
 
-@query(V.sql("vtx", "edge", "req", then=""", seg as (select ann_id, ord, x, y, nx, ny from edge where n <= 3), pt as (select event_id, cam_x as px, cam_y as py from req where event_id % 50 = 0),
-near as (select event_id, ann_id, ord, sqrt(power(x + t * (nx - x) - px, 2) + power(y + t * (ny - y) - py, 2)) as dist from (select *, case when (nx - x) * (nx - x) + (ny - y) * (ny - y) = 0 then 0.0 else greatest(0.0, least(1.0, ((px - x) * (nx - x) + (py - y) * (ny - y)) / ((nx - x) * (nx - x) + (ny - y) * (ny - y)))) end as t from pt, seg where px between least(x, nx) - 2 and greatest(x, nx) + 2 and py between least(y, ny) - 2 and greatest(y, ny) + 2))
-select event_id, ann_id, ord, round(dist, 6) as distance from (select *, row_number() over (partition by event_id order by round(dist, 9), ann_id, ord) as r from near where dist <= 2) where r = 1"""))
-def nearest_annotation(spark, d):
-    """The nearest segment of a small outline within two units of each point of a query set; of equals the first."""
-    points = V.requests(spark, d).filter("event_id % 50 = 0").select("event_id", F.col("cam_x").alias("px"), F.col("cam_y").alias("py"))
-    at = points.select("*", (F.col("px") - 2).alias("x0"), (F.col("py") - 2).alias("y0"), (F.col("px") + 2).alias("x1"), (F.col("py") + 2).alias("y1"))
-    e = rings.edges(V.vertices(spark, d)).filter("n <= 3")
-    e = e.select("ann_id", "ord", "x", "y", "nx", "ny", F.least("x", "nx").alias("x0"), F.least("y", "ny").alias("y0"), F.greatest("x", "nx").alias("x1"), F.greatest("y", "ny").alias("y1"))
-    pair = grid.overlap_join(at, e, 8.0, 16.0).withColumn("t", G.segment_share(F.col("px"), F.col("py"), F.col("x"), F.col("y"), F.col("nx"), F.col("ny")))
-    pair = pair.withColumn("dist", F.expr("sqrt(power(x + t * (nx - x) - px, 2) + power(y + t * (ny - y) - py, 2))")).filter("dist <= 2")
-    best = pair.groupBy("event_id").agg(F.min(F.struct(F.round("dist", 9).alias("r"), "ann_id", "ord", "dist")).alias("b"))
-    return best.select("event_id", "b.ann_id", "b.ord", R6("b.dist").alias("distance"))
-
-
 @query(V.sql("vtx", "edge", "req", then=""", pt as (select event_id, cam_x as px, cam_y as py from req where event_id % 50 = 0),
 near as (select event_id, ann_id, ord, sqrt(power(x + t * (nx - x) - px, 2) + power(y + t * (ny - y) - py, 2)) as dist from (select *, case when (nx - x) * (nx - x) + (ny - y) * (ny - y) = 0 then 0.0 else greatest(0.0, least(1.0, ((px - x) * (nx - x) + (py - y) * (ny - y)) / ((nx - x) * (nx - x) + (ny - y) * (ny - y)))) end as t from pt, edge))
 select event_id, ann_id, ord, round(dist, 6) as distance from (select *, row_number() over (partition by event_id order by round(dist, 9), ann_id, ord) as r from near) where r = 1"""))
-def nearest_annotation_whole(spark, d):
+def nearest_annotation(spark, d):
     """The nearest segment of all outlines, however far, to each point of a query set; of equals the first."""
     points = V.requests(spark, d).filter("event_id % 50 = 0").select("event_id", F.col("cam_x").alias("px"), F.col("cam_y").alias("py"))
     return grid.nearest_segment(points, rings.edges(V.vertices(spark, d))).select("event_id", "ann_id", "ord", R6("dist").alias("distance"))

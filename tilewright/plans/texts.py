@@ -60,11 +60,11 @@ def tile_paths(spark, d):
     return e.select(F.format_string("/i/%d/raw/%d/%d_%d/%d_%d", "viewer", "z", "x", "y", F.least(F.lit(512), 7000 - F.col("x")), F.least(F.lit(512), 4200 - F.col("y"))).alias("path")).distinct()
 
 
-@query("select page_id, url as decoded, cast(strlen(url) as bigint) as n from pages where regexp_matches(url, '^[\\x00-\\x7F]*$') and url not like '%\\%%' escape '\\'")
+@query("select page_id, url as decoded, cast(strlen(url) as bigint) as n, url_decode(replace(url, '+', '%2B')) as plain from pages")
 def percent_round_trip(spark, d):
-    """URLs, encoded byte by byte and decoded again."""
-    p = V.table(spark, d, "pages").filter(F.col("url").rlike("^[\\x00-\\x7F]*$") & ~F.col("url").contains("%"))
-    return p.select("page_id", T.percent_decoded(T.percent_encoded(F.col("url"))).alias("decoded"), F.length("url").cast("long").alias("n"))
+    """URLs, encoded byte by byte and decoded again; and decoded as they are."""
+    u = F.col("url")
+    return V.table(spark, d, "pages").select("page_id", T.percent_decoded(T.percent_encoded(u)).alias("decoded"), F.octet_length(u).cast("long").alias("n"), T.percent_decoded(u).alias("plain"))
 
 
 @query("select s.doc_id, s.choice from (select doc_id, case when doc_id % 2 = 0 then 'xml' when doc_id % 3 = 0 then 'geojson' when doc_id % 5 = 0 then 'json' end as choice from documents) s where s.choice is not null")
@@ -75,7 +75,7 @@ def sidecar_choice(spark, d):
     return files.groupBy("doc_id").agg(F.min("f").alias("f")).select("doc_id", "f.choice")
 
 
-@query("with recursive h as (select doc_id, source, lang from documents) select coalesce(a.source, b.source) as key, a.n as in_file, b.n as registered from (select source, count(*) as n from h where lang = 'en' group by 1) a full join (select source, count(*) as n from h where lang = 'fr' group by 1) b on a.source = b.source")
+@query("with h as (select doc_id, source, lang from documents) select coalesce(a.source, b.source) as key, a.n as in_file, b.n as registered from (select source, count(*) as n from h where lang = 'en' group by 1) a full join (select source, count(*) as n from h where lang = 'fr' group by 1) b on a.source = b.source")
 def option_merge(spark, d):
     """Options of a file and registered ones, matched by key; either side may lack one."""
     docs = V.table(spark, d, "documents")

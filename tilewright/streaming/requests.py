@@ -17,13 +17,12 @@ STATE = "generation long, cam_x double, cam_y double, zoom int"
 def _follow(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     generation, *last = state.get if state.exists else (0, None, None, None)
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    out = []
-    for x, y, z in rows[["cam_x", "cam_y", "zoom"]].itertuples(index=False):
-        if [x, y, z] != last:
-            generation, last = generation + 1, [x, y, z]
-        out.append(generation)
-    state.update((int(generation), float(last[0]), float(last[1]), int(last[2])))
-    yield pd.DataFrame({"viewer": key[0], "event_id": rows["event_id"].to_numpy(), "generation": out})
+    now = rows[["cam_x", "cam_y", "zoom"]]
+    before = now.shift()
+    before.iloc[0] = last
+    counts = generation + (now != before).any(axis=1).cumsum()
+    state.update((int(counts.iloc[-1]), float(now["cam_x"].iloc[-1]), float(now["cam_y"].iloc[-1]), int(now["zoom"].iloc[-1])))
+    yield pd.DataFrame({"viewer": key[0], "event_id": rows["event_id"].to_numpy(), "generation": counts.to_numpy()})
 
 
 def generations(requests: DataFrame) -> DataFrame:
