@@ -877,6 +877,6 @@ def test_tool_calls_of_odd_rows(spark):
     assert got["b"]["result_message"] == '{"content":"one","role":"tool","tool_call_id":"b"}' and (got["b"]["result_turn"], got["b"]["n_results"], got["b"]["position"]) == (4, 4, 0)
     assert got["a"]["call_message"] is None and got["a"]["result_message"] == '{"content":null,"role":"tool","tool_call_id":"a"}' and (got["a"]["level"], got["a"]["position"]) == (1, 1)
     rest = sorted(((r["call_id"], r["turn"], r["content"], r["status"], r["copies"]) for r in unlinked_results(calls, results).collect()), key=str)
-    assert rest == [("b", 4, None, "further result", 1), ("b", 4, "one", "further result", 1), ("b", 5, "two", "further result", 1), ("zz", 1, "lost", "no call", 1)]
+    assert rest == [("b", 4, "one", "further result", 1), ("b", 4, None, "further result", 1), ("b", 5, "two", "further result", 1), ("zz", 1, "lost", "no call", 1)]
     none = [df.limit(0) for df in (calls, results, needs)]
     assert link_calls(*none, {}).count() == 0 and link_calls(calls, none[1], none[2], {}).filter("linked").count() == 0
