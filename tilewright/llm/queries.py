@@ -99,6 +99,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.quality_rules import apply_rules, train
+
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tool_calls": op1_tool_calls,
     "op2_kneser_ney_language": op2_kneser_ney_language,
@@ -110,6 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_orc_token_files": op8_orc_token_files,
     "op9_piece_encode_decode": op9_piece_encode_decode,
     "op10_secret_scan": op10_secret_scan,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -153,5 +175,28 @@ with recursive word as (
 )
 select doc_id, n as n_shingles, m as component_id, m = doc_id as kept
 from size join (select x as doc_id, min(y) as m from reach group by x) using (doc_id)
+""",
+    "op13_collocations": r"""
+with piece as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents
+), word as (
+  select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from piece
+), total as (
+  select lang, sum(len(w)) as n from word group by lang
+), phrase as (
+  select lang, w[i:i+k-1] as p, count(*) as f from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from word, (select unnest([1, 2, 3, 4, 5]) as k)) group by all having count(*) >= 100
+), cut as (
+  select c.lang, c.p, c.f as a, k, l.f as l, r.f as r, n, (1000::hugeint * c.f * n) // (l.f::hugeint * r.f) as score
+  from (select *, unnest(range(1, len(p))) as k from phrase where len(p) > 1) c join total using (lang)
+  join phrase l on l.lang = c.lang and l.p = c.p[1:k] join phrase r on r.lang = c.lang and r.p = c.p[k+1:len(c.p)]
+), lowest as (
+  select *, row_number() over (partition by lang, p order by score, k) as o from cut
+), covered as (
+  select lang, p[i:i+k-1] as p, max(f) as around from (select lang, p, f, k, unnest(range(1, len(p) - k + 2)) as i from (select *, unnest(range(2, len(p))) as k from phrase where len(p) > 2)) group by all
+), ranked as (
+  select lang, array_to_string(p, ' ') as phrase, a, l, r, n, score, row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank
+  from lowest left join covered using (lang, p) where o = 1 and (around is null or 100 * around < 100 * a)
+)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from ranked where rank <= 2000
 """,
 }

@@ -46,7 +46,7 @@ def parts(text: bytes, most: int = PART_BYTES) -> Iterator[list[bytes]]:
             if end < 0:
                 break
         yield clean[at:end].split()
-        at = end
+        at = end + 1
     yield (clean[at:] if at else clean).split()
 
 

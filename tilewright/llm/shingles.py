@@ -20,9 +20,9 @@ _LOWER[0x41:0x5B] = BYTE_HASH[0x61:0x7B]
 _PLACE = stream(23, 64) | U64(1)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of the rows in data, and each row's first word (n + 1 indexes)."""
-    solid = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of the rows in data, and each row's first word (n + 1 indexes); gaps tells which bytes are between words."""
+    solid = ~gaps[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
