@@ -1,6 +1,6 @@
 """Secret scans with a recursive decoding worklist.
 
-Each text is scanned as it is (the base), and so is every layer that decoding it yields: runs of %XX, runs of character escapes (\\uXXXX, \\u{X}, \\UXXXXXXXX, \\xXX, %uXXXX, &#N;), the readable parts of
+Each text is scanned as it is (the base), and so is every layer that decoding it yields: runs of %XX, runs of character escapes (\\uXXXX, \\u{X}, \\UXXXXXXXX, \\xXX, %uXXXX, &#N;), the readable parts (UTF-8 or UTF-16) of
 base64 runs, and those of the zlib, gzip, raw deflate, bzip2 and xz streams in base64 runs. A base64 run may be of the standard alphabet, the URL-safe one or both, may be wrapped over lines,
 and is read from each of its first four characters, so that what stands before it doesn't put it out of step. A layer carries, for each of its characters, the span of
 the original text that it came from, so that what is found in it is reported there. Layers are opened depth first until none is new; a layer
@@ -32,8 +32,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNIT = re.compile(r"[\\%]u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: A unit of percent or character escapes. Chains (%252541, \u0041, &#38;#38;#65;) are one unit, of what is left when all of the chain is undone: what its
+#: steps have that the text and the end haven't can't match, as no pattern has a character that begins a unit.
+_BYTE = re.compile(r"%(?:25|u0025)*([0-9A-Fa-f]{2})")
+_PERCENT = re.compile(r"(?:%(?:25|u0025)*[0-9A-Fa-f]{2})+")
+_UNIT = re.compile(
+    r"%(?:25|u0025)*u([0-9A-Fa-f]{4})|\\(?:u005[cC]|x5[cC]|U0000005[cC]|u\{0{0,4}5[cC]\})*(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))"
+    r"|&(?:#0{0,5}38;|#[xX]0{0,4}26;)*#(?:[xX]([0-9A-Fa-f]{1,6});|([0-9]{1,7});)"
+)
+_DECIMAL = 7
 _ESCAPE = re.compile(f"(?:{re.sub(r'\((?!\?)', '(?:', _UNIT.pattern)})+")
 _BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
 #: A run of both alphabets that may go on over line breaks and indents; 16 characters with these at least.
@@ -42,6 +49,8 @@ _MARK = re.compile("[+/]")
 _BREAK, _STANDARD = re.compile(r"[\r\n][\r\n \t]*"), str.maketrans("-_", "+/")
 #: Nothing that is looked for has under 16 characters, so shorter readable parts hold nothing.
 _READABLE, _MAYBE = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]{16,}"), re.compile(rb"[\t\n\r\x20-\x7e\x80-\xff]{16,}")
+#: The same of UTF-16 in either byte order, as far as it is ASCII.
+_WIDE = (re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){16,}"), re.compile(rb"(?<![\t\n\r\x20-\x7e])(?:\x00[\t\n\r\x20-\x7e]){16,}"))
 _STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 #: A stream of up to so many bytes is one layer. A longer one (an archive, or a decompression bomb) is scanned in overlapping pieces; it is reported
 #: in n_unopened too, since a run inside it that is longer than the overlap may be cut.
@@ -64,7 +73,11 @@ def base_spans(text: str, kinds: tuple[bool, bool, bool] = (True, True, True)) -
 
 
 def _parts(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """The readable parts of bytes, with each character's first byte and the byte after its last."""
+    """The readable parts of bytes, in UTF-8 or UTF-16, with each character's first byte and the byte after its last."""
+    for pattern in _WIDE if b"\x00" in raw else ():
+        for m in pattern.finditer(raw):
+            starts = np.arange(m.start(), m.end(), 2)
+            yield m[0].replace(b"\x00", b"").decode(), starts, starts + 2
     if not _MAYBE.search(raw):
         return
     text = raw.decode("utf-8", "surrogateescape")
@@ -101,12 +114,18 @@ def _replaced(layer: str, pattern: re.Pattern, decode) -> tuple[str, np.ndarray,
 
 
 def _from_percent(run: str) -> list[tuple[str, int]]:
-    text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
-    return [("\ufffd", 3) if "\udc80" <= c <= "\udcff" else (c, 3 * len(c.encode())) for c in text]
+    units = [(m[1], len(m[0])) for m in _BYTE.finditer(run)]
+    out, k = [], 0
+    for c in bytes.fromhex("".join(x for x, _ in units)).decode("utf-8", "surrogateescape"):
+        broken = "\udc80" <= c <= "\udcff"
+        n = 1 if broken else len(c.encode())
+        out.append(("\ufffd" if broken else c, sum(size for _, size in units[k : k + n])))
+        k += n
+    return out
 
 
 def _from_escape(run: str) -> list[tuple[str, int]]:
-    units = [(int(m[6]) if m[6] else int(m[m.lastindex], 16), len(m[0])) for m in _UNIT.finditer(run)]
+    units = [(int(m[_DECIMAL]) if m[_DECIMAL] else int(m[m.lastindex], 16), len(m[0])) for m in _UNIT.finditer(run)]
     out, k = [], 0
     while k < len(units):
         c, n = units[k]
