@@ -238,3 +238,42 @@ def test_collocations_against_sql(spark):
     columns = "lang rank phrase a l r n score".split()
     want = db.execute(f"select {', '.join(columns)} from ({ORACLE_SQL['op13_collocations']}) order by lang, rank").fetchall()
     assert [tuple(r) for r in op13_collocations(spark, DATA).select(*columns).orderBy("lang", "rank").collect()] == want and want
+
+
+# --- secrets and decontamination: chains, UTF-16, long items --------------------------------------------------------
+
+
+@pytest.mark.parametrize("chain", ["%" + "25" * 100_000 + "41", "\\" + "u005cx5c" * 20_000 + "u0041", "&" + "#38;#x26;" * 20_000 + "#65;", "%u0025" + "25" * 50_000 + "u0041", "%41", "\\x41"])
+def test_chains_of_escapes_are_one_layer(chain):
+    from tilewright.llm.secrets import all_spans, base_spans
+
+    text = f"a password=abcd{chain}bcdefghijkl z"
+    spans, unopened = all_spans(text, base_spans(text))
+    assert (2, 0, len(text) - 2) in spans and unopened == 0 and len(spans) < 5
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16-le", "utf-16-be", "utf-16"])
+def test_encoded_utf16_is_read(encoding):
+    import base64
+
+    from tilewright.llm.secrets import all_spans, base_spans
+
+    text = "run " + base64.b64encode("password=abcdefghij1234".encode(encoding)).decode() + " now"
+    spans, _ = all_spans(text, base_spans(text))
+    assert any(k == 0 and 4 <= s <= 8 and e > len(text) - 10 for s, k, e in spans)
+
+
+def test_wide_cells_find_the_same(monkeypatch):
+    from tilewright.llm import decontaminate as d
+
+    rng = random.Random(12)
+    items = [prose(rng, n) for n in (10, 30, 80)]
+    docs = [prose(rng, 20) + " " + t[:40] + "x" + t[41:] + " " + prose(rng, 20) for t in items] + [prose(rng, 60)]
+
+    def rows():
+        column = pa.array(docs, pa.string())
+        return d.find(d.make_block(list(enumerate(items))), *d.normalised(*d.utf8(column)))
+
+    narrow = rows()
+    monkeypatch.setattr(d, "SHORT_CELLS", 0)
+    assert rows() == narrow and {(r, i) for r, i, _ in narrow} >= {(0, 0), (1, 1), (2, 2)}

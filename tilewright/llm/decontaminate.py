@@ -32,6 +32,8 @@ BLOCK_BYTES = 4 << 20
 SHORTEST = 20
 #: Shared q-grams that are looked at at once, and cells of alignments.
 MOST_HITS, MOST_CELLS = 1 << 21, 1 << 21
+#: Budgets from which on cells have 32 bits.
+SHORT_CELLS = 10_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -168,21 +170,23 @@ def least_edits(block: Block, data: np.ndarray, item: np.ndarray, first: np.ndar
         take = max(1, int(np.searchsorted(np.arange(1, len(n) + 1) * (n + width), MOST_CELLS, "right")))
         own, width = by_length[k : k + take], int(width[min(take, len(n)) - 1])
         k += take
-        n, far = block.lengths[item[own]], (most[own] + 1).astype(np.int16)
+        # cells hold at most three budgets and a bit
+        kind = np.int16 if int(most[own].max()) < SHORT_CELLS else np.int32
+        n, far = block.lengths[item[own]], (most[own] + 1).astype(kind)
         # line t holds what stands at data[first + t]; a cell (i, d) of the alignment is at line i + d
         line = first[own] + np.arange(int(n[-1]) + width + 1)[:, None]
         outside = (line < low[own]) | (line > high[own])
         text = data[np.clip(line, 0, len(data) - 1)]
         letters = block.flat[np.minimum(block.starts[item[own]] + np.arange(int(n[-1]))[:, None], len(block.flat) - 1)]
         # a start anywhere costs nothing
-        cells = np.where(outside[:width], far, np.int16(0))
+        cells = np.where(outside[:width], far, kind(0))
         for i in range(1, int(n[-1]) + 1):
             new = cells + (text[i - 1 : i - 1 + width] != letters[i - 1])  # a match or change
-            np.minimum(new[:-1], cells[1:] + np.int16(1), out=new[:-1])  # an item's byte left out
+            np.minimum(new[:-1], cells[1:] + kind(1), out=new[:-1])  # an item's byte left out
             np.copyto(new, far, where=outside[i : i + width])
             step = 1
             while step < width:  # bytes of data left out: one, then up to three, then up to seven
-                np.minimum(new[step:], new[:-step] + np.int16(step), out=new[step:])
+                np.minimum(new[step:], new[:-step] + kind(step), out=new[step:])
                 step *= 2
             np.copyto(new, far, where=outside[i : i + width])
             cells = np.minimum(new, far)
