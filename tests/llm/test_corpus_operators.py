@@ -277,3 +277,27 @@ def test_wide_cells_find_the_same(monkeypatch):
     narrow = rows()
     monkeypatch.setattr(d, "SHORT_CELLS", 0)
     assert rows() == narrow and {(r, i) for r, i, _ in narrow} >= {(0, 0), (1, 1), (2, 2)}
+
+
+# --- near-duplicates of repeated ids ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_are_linked_by_all_their_texts(spark, seed):
+    from tilewright.llm.minhash import near_duplicates
+
+    rng = random.Random(seed)
+
+    def near(text):
+        w = text.split()
+        w[rng.randrange(len(w))] = "other"
+        return " ".join(w)
+
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, c), (4, c), (-5, d), (6, near(d)), (6, None), (7, ""), (7, " "), (None, a), (None, None), (8, c + " and more words here")]
+    got = near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = {1: 1, 2: 1, 3: 1, 4: 4, -5: -5, 6: -5, 7: 7, 8: 4, None: None}
+    assert {(r["doc_id"], r["component_id"]) for r in got} == set(want.items())
+    assert all(r["kept"] == (r["doc_id"] is not None and want[r["doc_id"]] == r["doc_id"]) for r in got)
+    assert {r["copy_of"] for r in got if r["doc_id"] == 1} == {1} and {r["copy_of"] for r in got if r["doc_id"] == 7} == {None}

@@ -199,19 +199,40 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, size: int = WORDS
 
     component_id is the smallest doc_id reachable by links of the given Jaccard similarity or more (in whole hundredths); equal
     word sequences are linked. Texts without words (null and empty texts too) are linked with nothing. copy_of is the smallest id with the same
-    word sequence. Rows with a null doc_id keep null in component_id and aren't kept. Rows that repeat a doc_id count as one document, which is linked as the first of its
-    texts is; its other texts are linked with their equals only. Other columns of docs aren't read.
+    word sequence. Rows with a null doc_id keep null in component_id and aren't kept. Rows that repeat a doc_id are one document, which is linked with everything that any of its
+    texts is linked with. Other columns of docs aren't read.
     """
-    docs, percent = text_batches(docs).select("doc_id", "text"), round(100 * similarity)
+    docs = text_batches(docs).select("doc_id", "text")
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _of_single_ids(docs, similarity, size)
+    # each row is a document of its own at first; the components of the rows of one id are joined
+    rows = written(docs.select(F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("row"), F.col("doc_id").alias("own"), "text"), "rows")
+    near = _of_single_ids(rows.select(F.col("row").alias("doc_id"), "text"), similarity, size)
+    of = near.withColumnRenamed("doc_id", "row").join(rows.select("row", "own"), "row", "left")
+    parts = of.filter("own is not null").select("own", "component_id").distinct()
+    links = parts.join(parts.groupBy("own").agg(F.min("component_id").alias("x")), "own").filter("component_id != x").select("x", F.col("component_id").alias("y"))
+    named = components(links, "x", "y").withColumnRenamed("node", "component_id")
+    of = written(of.join(named, "component_id", "left").withColumn("root", F.coalesce("component", "component_id")), "roots")
+    smallest = of.groupBy("root").agg(F.min("own").alias("component_id"))
+    first = of.filter("n_shingles > 0").groupBy("copy_of").agg(F.min("own").alias("first"))
+    out = of.drop("component_id").join(smallest, "root", "left").join(first, "copy_of", "left")
+    out = written(out.select(F.col("own").alias("doc_id"), "n_shingles", F.when(F.col("own").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("own") == F.col("component_id"), F.lit(False)).alias("kept"), F.col("first").alias("copy_of")), "near")
+    for df in (rows, near, of):
+        discard(df)
+    return out
+
+
+def _of_single_ids(docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """near_duplicates() where no id is repeated."""
+    percent = round(100 * similarity)
     sketches = written(docs.mapInArrow(_sketches(size), _SKETCH), "sketches")
     full = sketches.filter("n_shingles > 0").withColumn("doc_id", F.array_min("docs")).filter("doc_id is not null")
     firsts = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"))
     of = sketches.select("docs", "k1", "k2", "n_shingles").join(firsts, ["k1", "k2"], "left")
     copies = written(of.select("docs", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("copy_of")).alias("copy_of")), "copies")
-    of = copies.select(F.explode("docs").alias("doc_id"), "n_shingles", "copy_of")
     # the key has the id in it, so the copies of a large group don't meet
-    alone = full.join(firsts.withColumnRenamed("copy_of", "doc_id"), ["k1", "k2", "doc_id"]).select("doc_id", "k1", "bands")
-    alone = written(alone.groupBy("doc_id").agg(F.min(F.struct("k1", "bands")).alias("s")).select("doc_id", "s.bands"), "alone")
+    alone = full.join(firsts.withColumnRenamed("copy_of", "doc_id"), ["k1", "k2", "doc_id"]).select("doc_id", "bands")
+    alone = written(alone, "alone")
     discard(sketches)
 
     bands = alone.select(F.col("doc_id").alias("x"), F.posexplode("bands").alias("place", "band"))
@@ -219,15 +240,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, size: int = WORDS
     bands = written(bands.join(hubs, "band"), "bands")  # of buckets with two members or more
     pairs = written(bands.select("x", "y").filter("x != y").distinct(), "pairs")
     wanted = bands.select(F.col("x").alias("doc_id")).distinct()
-    members = docs.join(wanted.hint("merge"), "doc_id")
-    if not of.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        members = members.groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = written(members.mapInArrow(_long(size), "doc_id long, text string, sig binary"), "texts")
-    same_id = of.filter("copy_of is not null and copy_of != doc_id").groupBy("doc_id").agg(F.min("copy_of").alias("a"), F.max("copy_of").alias("b")).filter("a != b").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    texts = written(docs.join(wanted.hint("merge"), "doc_id").mapInArrow(_long(size), "doc_id long, text string, sig binary"), "texts")
     close = _alike(pairs, texts, similarity - SLACK)
     found = _links(close, texts, percent, size)
-    links, scratch = same_id.union(found), [alone, bands, pairs, texts, close, found]
-    named = written(components(links, "x", "y"), "named")
+    scratch = [alone, bands, pairs, texts, close, found]
+    named = written(components(found, "x", "y"), "named")
     for least, likest in ((similarity, True), (similarity - SLACK, False)):
         more = _between(bands, alone, texts, named, least, likest).join(close, ["x", "y"], "left_anti")
         found = _links(more, texts, percent, size)
