@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import geometry as G
 from tilewright.operators import edits as E
 from tilewright.operators import rings
+from tilewright.operators.ranks import numbered
 from tilewright.plans import views as V
 from tilewright.plans.registry import query
 
@@ -227,8 +228,8 @@ def placed_images(spark, d):
 def tile_load_order(spark, d):
     """Tiles in the order in which they are loaded: coarse levels before the fine ones that need them, and the nearest to the camera first. Two pyramids are told apart."""
     far = F.pow(F.col("tile_x") - 3, F.lit(2)) + F.pow(F.col("tile_y") - 4, F.lit(2))
-    w = W.partitionBy(F.col("level") % 2).orderBy(F.desc("level"), far, "tile_y", "tile_x")
-    return V.tiles(spark, d).select("level", "tile_x", "tile_y", "n_points", (F.row_number().over(w) - 1).cast("long").alias("place"))
+    placed = numbered(V.tiles(spark, d), F.desc("level"), far, F.asc("tile_y"), F.asc("tile_x"), within=F.col("level") % 2)
+    return placed.select("level", "tile_x", "tile_y", "n_points", "place")
 
 
 @query(V.sql("vtx", "tile", then="select level, arg_min({'x': tile_x, 'y': tile_y}, {'d': power(tile_x - 3, 2) + power(tile_y - 4, 2), 'y': tile_y, 'x': tile_x}).x as tile_x, min(power(tile_x - 3, 2) + power(tile_y - 4, 2)) as distance, least(count(*), 8)::bigint as n_to_send from tile where n_points % 2 = 0 group by level"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
 from tilewright.operators import grid, rings
+from tilewright.operators.ranks import numbered
 from tilewright.plans import views as V
 from tilewright.plans.registry import query
 
@@ -191,9 +192,9 @@ def delete_group(spark, d):
 
 @query("with names as (select o_orderpriority as name, min(o_orderkey) as first_seen from orders group by 1) select name, row_number() over (order by first_seen) - 1 as group_id from names")
 def upsert_groups(spark, d):
-    """Group names get numbers in the order in which they are first seen; there are few of them."""
+    """Group names get numbers in the order in which they are first seen."""
     names = V.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(F.min("o_orderkey").alias("first_seen"))
-    return names.select("name", (F.row_number().over(W.orderBy("first_seen")) - 1).cast("long").alias("group_id"))
+    return numbered(names, F.asc("first_seen"), name="group_id").select("name", "group_id")
 
 
 @query(V.sql("ann", "grp", then="select grp, hidden, count(*) as n, round(sum(f0), 2) as total from ann join grp using (grp) group by all"))
