@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.operators import pyramid as P
-from tilewright.operators import regions, rings
+from tilewright.operators import grid, regions, rings
 from tilewright.plans import views as V
 from tilewright.plans.registry import query
 
@@ -194,3 +194,19 @@ def region_mosaic(spark, d):
     """The point counts of each region's tiles, row by row, with 0 where no tile is stored."""
     cam = V.requests(spark, d).filter("event_id % 50 = 0").selectExpr("event_id as region_id", "cam_x - 6 as x0", "cam_x + 6 as x1", "cam_y - 9 as y0", "cam_y + 9 as y1")
     return regions.mosaic(cam, V.tiles(spark, d), "n_points", 4.0, 8.0, 3, 0)
+
+
+@query(V.sql("vtx", "tile", "box", then=""", part as (select ann_id, i, j, x0 + (x1 - x0) / 3 * i as x0, y0 + (y1 - y0) / 2 * j as y0, x0 + (x1 - x0) / 3 * (i + 1) as x1, y0 + (y1 - y0) / 2 * (j + 1) as y1 from box, range(3) a(i), range(2) b(j)
+), own as (select ann_id, i, j, tile_x, tile_y, greatest(x0, tile_x * 4.0::double) as l, greatest(y0, tile_y * 8.0::double) as t, least(x1, (tile_x + 1) * 4.0::double) as r, least(y1, (tile_y + 1) * 8.0::double) as b, x0, y0
+  from part join tile on level = 0 and x0 < (tile_x + 1) * 4 and x1 > tile_x * 4 and y0 < (tile_y + 1) * 8 and y1 > tile_y * 8)
+select tile_x, tile_y, count(*) as n_fragments, count(distinct ann_id) as n_cameras, max(ann_id) as uppermost, cast(sum(floor((r - l) * (b - t) * 1000)) as bigint) as area, cast(sum(floor(((l - tile_x * 4.0::double) + (t - tile_y * 8.0::double)) * 1000)) as bigint) as at_sum, cast(sum(floor(((l - x0) + (t - y0)) * 1000)) as bigint) as from_sum
+from own where l < r and t < b group by tile_x, tile_y"""))
+def fragment_overlap(spark, d):
+    """What each stored tile is put together from, with outlines' bounds as the places of camera images of 3 x 2 fragments: how many fragments, of how many cameras, the uppermost (last) one, the area that they cover, and sums of their offsets in the tile and in the fragments (in thousandths, each rounded down)."""
+    box = V.vertices(spark, d).groupBy("ann_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    seen = grid.fragment_overlap(box.withColumnRenamed("ann_id", "camera"), V.tiles(spark, d).filter("level = 0"), 3, 2, 4.0, 8.0)
+    total = lambda c: F.sum(F.floor(c * 1000))
+    return seen.groupBy("tile_x", "tile_y").agg(
+        F.count("*").alias("n_fragments"), F.countDistinct("camera").alias("n_cameras"), F.max("camera").alias("uppermost"), total(F.col("span_x") * F.col("span_y")).alias("area"),
+        total(F.col("at_x") + F.col("at_y")).alias("at_sum"), total(F.col("from_x") + F.col("from_y")).alias("from_sum"),
+    )
