@@ -44,11 +44,25 @@ def xml_round_trip(spark, d):
     return back.select(F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("ann_id"), "name", "grp", F.size("ring").cast("long").alias("n"), F.round(rings.ring_area(F.col("ring")), 6).alias("area"))
 
 
-@query(V.sql("vtx", "edge", then=""", a as (select ann_id, any_value(n) as n, sum(x * ny - y * nx) / 2 as area from edge group by ann_id), k as (select *, unnest(range(case ann_id % 8 when 1 then n when 3 then 2 when 5 then 2 when 6 then 3 else 1 end)) as part from a),
+_COLLECTIONS = V.sql("vtx", "edge", then=""", a as (select ann_id, any_value(n) as n, sum(x * ny - y * nx) / 2 as area from edge group by ann_id), k as (select *, unnest(range(case ann_id % 8 when 1 then n when 3 then 2 when 5 then 2 when 6 then 3 else 1 end)) as part from a),
 t as (select *, case when ann_id % 8 in (0, 1) or ann_id % 8 = 6 and part = 0 then 'Point' when ann_id % 8 in (2, 3) or ann_id % 8 = 6 then case when n >= 2 then 'LineString' end when ann_id % 8 in (4, 5) then case when n >= 3 then 'Polygon' end end as type from k)
-select ann_id, type, count(*) as parts, sum(case when type = 'Point' then 1 else n end)::bigint as points, round(sum(case when type = 'Point' then 0 else area end), 6) as area, case when ann_id % 2 = 0 then 'named' else 'text' end as grp, case when ann_id % 2 = 0 then '#ff0a10' end as colour from t where type is not null group by ann_id, type"""))
+select ann_id, type, count(*) as parts, sum(case when type = 'Point' then 1 else n end)::bigint as points, round(sum(case when type = 'Point' then 0 else area end), 6) as area, case when ann_id % 2 = 0 then 'named' else 'text' end as grp, case when ann_id % 2 = 0 then '#ff0a10' end as colour from t where type is not null group by ann_id, type""")
+
+
+@query(_COLLECTIONS)
 def geojson_collections(spark, d):
     """Whole collections of features of all seven kinds of geometry, with members that are none, written and read again."""
+    return _summed(A.read_geojson(spark, _collections(spark, d), 0.25, 0.5))
+
+
+@query(_COLLECTIONS)
+def geojson_ranges(spark, d):
+    """The same collections by ranges of 64 KB: members that begin in one range and end in another, and ranges that begin inside strings and members."""
+    return _summed(A.read_geojson(spark, _collections(spark, d), 0.25, 0.5, range_bytes=1 << 16))
+
+
+def _collections(spark, d):
+    """A folder of collections."""
     path = _folder(spark, "collections")
     r = rings.rings(V.vertices(spark, d))
     xy = F.transform("ring", lambda p: F.array(p["x"] / 0.25, p["y"] / 0.5))
@@ -61,7 +75,10 @@ def geojson_collections(spark, d):
     named = F.when(F.col("ann_id") % 2 == 0, '{"name":"named","color":[300,10.7,16,9]}').otherwise('"text"')
     feature = F.concat(F.lit('\n { "type" : "Feature", "id": '), F.col("ann_id").cast("string"), F.lit(', "geometry": '), shape, F.lit(', "properties": {"classification": '), named, F.lit("}}, 17"))
     r.select(feature.alias("value")).mapInArrow(A._collections, "value string").write.text(path)
-    back = A.read_geojson(spark, path, 0.25, 0.5)
+    return path
+
+
+def _summed(back):
     flat = back.filter("type = 'Point'").select("ann_id", "type", "grp", "colour", F.lit(1).alias("n"), F.lit(0.0).alias("a")).union(back.filter("type <> 'Point'").select("ann_id", "type", "grp", "colour", F.size("ring"), rings.ring_area(F.col("ring"))))
     return flat.groupBy("ann_id", "type", "grp", "colour").agg(F.count("*").alias("parts"), F.sum("n").alias("points"), F.round(F.sum("a"), 6).alias("area"))
 

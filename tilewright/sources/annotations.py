@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.sources import files, ranges
+
 RING = "array<struct<x: double, y: double>>"
 #: Levels of collections within collections that are read, and features in one written file.
 NESTED, FILE_FEATURES = 4, 20_000
@@ -58,14 +60,18 @@ def _colour(value: Column) -> Column:
     return F.lower(F.concat(F.lit("#"), F.when(F.size(listed) >= 3, F.array_join(F.slice(listed, 1, 3), "")).otherwise(number)))
 
 
-def read_features(spark: SparkSession, path: str, mpp_x: float = 1.0, mpp_y: float = 1.0, by_line: bool = False) -> DataFrame:
+def read_features(spark: SparkSession, path: str, mpp_x: float = 1.0, mpp_y: float = 1.0, by_line: bool = False, range_bytes: int | None = None) -> DataFrame:
     """file, place, ann_id, name, grp, colour, parts (array of type and ring) of each member of the collections; a member that is no feature, or of whose geometry nothing can be read, has no parts (such count as skipped).
 
     A file is one FeatureCollection, in any layout, or has a feature on each line (what else is there is left out), and is read by one task. With by_line a file of any size is read by many tasks: each line is a feature, as write_geojson()
-    writes them, and lines that are none are left out. The group is the name of the classification, or the classification itself if it is a text. Collections in collections are read to NESTED levels.
+    writes them, and lines that are none are left out. With range_bytes (ranges.RANGE suits large files) a collection of any size and layout is read by many tasks, a range of so many bytes each; place is then the member's place in bytes, and
+    files that are no whole collection give no rows. The group is the name of the classification, or the classification itself if it is a text. Collections in collections are read to NESTED levels.
     """
     file = F.input_file_name().alias("file")
-    if by_line:
+    if range_bytes:
+        found = ranges.elements(files.listing(spark, path), "features", "FeatureCollection", range_bytes)
+        members = found.select(F.col("path").alias("file"), "place", F.try_parse_json("text").alias("f"))
+    elif by_line:
         line = F.try_parse_json(F.rtrim(F.col("value"), F.lit(",\r")))
         members = spark.read.text(path).select(file, F.lit(None).cast("int").alias("place"), line.alias("f")).filter(_get(F.col("f"), "$.type", "string") == "Feature")
     else:
@@ -84,9 +90,9 @@ def read_features(spark: SparkSession, path: str, mpp_x: float = 1.0, mpp_y: flo
     return rows.select("file", "place", "ann_id", "name", "grp", "colour", parts.alias("parts"))
 
 
-def read_geojson(spark: SparkSession, path: str, mpp_x: float = 1.0, mpp_y: float = 1.0, by_line: bool = False) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, mpp_x: float = 1.0, mpp_y: float = 1.0, by_line: bool = False, range_bytes: int | None = None) -> DataFrame:
     """ann_id, name, grp, colour, type, part, ring of each part of each feature's geometry (see read_features)."""
-    rows = read_features(spark, path, mpp_x, mpp_y, by_line).select("ann_id", "name", "grp", "colour", F.posexplode("parts").alias("part", "p"))
+    rows = read_features(spark, path, mpp_x, mpp_y, by_line, range_bytes).select("ann_id", "name", "grp", "colour", F.posexplode("parts").alias("part", "p"))
     return rows.select("ann_id", "name", "grp", "colour", "p.type", "part", "p.ring")
 
 
@@ -119,8 +125,8 @@ def write_geojson(annotations: DataFrame, path: str, mpp_x: float = 1.0, mpp_y:
     colour = F.transform(F.array(*[F.conv(F.substring("colour", k, 2), 16, 10) for k in (2, 4, 6)]), lambda c: c.cast("int")) if "colour" in annotations.columns else F.lit(None).cast("array<int>")
     properties = F.to_json(F.struct(F.lit("annotation").alias("objectType"), "name", F.struct(F.col("grp").alias("name"), colour.alias("color")).alias("classification")))
     feature = F.concat(F.lit('{"type":"Feature","id":'), F.col("ann_id").cast("string"), F.lit(',"geometry":'), F.col("geometry"), F.lit(',"properties":'), properties, F.lit("}"))
-    files = -(-annotations.count() // FILE_FEATURES)
-    annotations.select(feature.alias("value")).repartition(max(1, files)).mapInArrow(_collections, "value string").write.text(path)
+    parts = -(-annotations.count() // FILE_FEATURES)
+    annotations.select(feature.alias("value")).repartition(max(1, parts)).mapInArrow(_collections, "value string").write.text(path)
 
 
 _XML = "_Name string, _PartOfGroup string, _Type string, _Color string, Coordinates struct<Coordinate: array<struct<_Order: int, _X: double, _Y: double>>>, Features struct<Feature: array<struct<_Name: string, _Value: double>>>"
