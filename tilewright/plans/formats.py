@@ -211,3 +211,23 @@ def dicom_nested_elements(spark, d):
     """Elements within the items of a sequence of undefined length."""
     rows = dicom.read_elements(spark, _series(spark, d)).filter("parent <> ''")
     return rows.select(_number().alias("k"), "parent", "tag", "vr", "value")
+
+
+@query("""with f as (select l_orderkey // 64 as k, repeat((l_partkey % 10)::varchar, l_quantity::int) as text, row_number() over (partition by l_orderkey // 64 order by l_orderkey, l_linenumber, l_partkey % 10, l_quantity) - 1 as frame from lineitem)
+select k::bigint as k, frame::bigint as frame, case when k % 3 < 2 and frame % 2 = 1 and len(text) >= 4 then 2 else 1 end::bigint as n_parts, text from f""")
+def dicom_frames(spark, d):
+    """Frames of files of fragments, found by basic and extended tables of offsets or by their number, read at their places and put together."""
+    line = V.table(spark, d, "lineitem").selectExpr("l_orderkey div 64 as k", "struct(l_orderkey, l_linenumber, l_partkey % 10 as digit, l_quantity) as f")
+    frames = line.groupBy("k").agg(F.array_sort(F.collect_list("f")).alias("f"))  # at most 64 orders
+
+    def parts(f, i):
+        text = F.repeat(f["digit"].cast("string"), f["l_quantity"].cast("int"))
+        cut = (F.floor(F.length(text) / 4) * 2).cast("int")
+        two = F.array(F.substring(text, F.lit(1), cut).cast("binary"), F.substring(text, cut + 1, F.length(text)).cast("binary"))
+        return F.when((F.col("k") % 3 < 2) & (i % 2 == 1) & (F.length(text) >= 4), two).otherwise(F.array(text.cast("binary")))
+
+    path = _folder(spark, "frames")
+    tables = F.element_at(F.array(F.lit("basic"), F.lit("extended"), F.lit("none")), (F.col("k") % 3 + 1).cast("int"))
+    files.write_all(dicom.framed_files(frames.select(F.concat(F.lit("f"), F.col("k").cast("string"), F.lit(".dcm")).alias("name"), tables.alias("tables"), F.transform("f", parts).alias("frames"))), path)
+    found = dicom.read_frames(dicom.read_fragments(spark, path))
+    return found.select(_number().alias("k"), "frame", "n_parts", F.rtrim(F.col("data").cast("string"), F.lit("\0")).alias("text"))

@@ -1,14 +1,20 @@
-"""Elements of DICOM files as rows: one for each element, with its path of enclosing sequence items."""
+"""Elements of DICOM files as rows: one for each element, with its path of enclosing sequence items; and the places of frames.
+
+Files are read at places: values that no row holds (pixels, other bytes) are stepped over, so files may have any size.
+"""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.sources import files
+
 # Value representations with a four-byte length, texts, transfer syntaxes, and the tags of items and delimiters.
 LONG_VR = {"OB", "OD", "OF", "OL", "OV", "OW", "SQ", "SV", "UC", "UN", "UR", "UT", "UV"}
 TEXT_VR = {"AE", "AS", "CS", "DA", "DS", "DT", "IS", "LO", "LT", "PN", "SH", "ST", "TM", "UC", "UI", "UR", "UT"}
@@ -20,14 +26,32 @@ UNDEFINED = 0xFFFFFFFF
 SCHEMA = "path string, parent string, tag string, vr string, value string, numbers array<double>, offset long, length long"
 
 
-def elements(data: bytes, at: int, end: int, parent: str, implicit: bool, order: str) -> Iterator[tuple]:
+class Places:
+    """An open file with slices and a length, of which small blocks are read where they are asked for."""
+
+    def __init__(self, file) -> None:
+        self.blocks = files.Blocks(file)
+        self.blocks.SIZE = 1 << 12  # headers of fragments stand far apart
+
+    def __len__(self) -> int:
+        return self.blocks.size
+
+    def __getitem__(self, s: slice) -> bytes:
+        return self.blocks(s.start, s.stop - s.start)
+
+
+def _unpack(form: str, data: bytes | Places, at: int) -> tuple:
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])
+
+
+def elements(data: bytes | Places, at: int, end: int, parent: str, implicit: bool, order: str) -> Iterator[tuple]:
     """(parent, tag, vr, value, numbers, offset, length) of the elements from at to end, those of sequence items after their sequence."""
     items = 0
     while at + 8 <= end:
-        group, element = struct.unpack_from(order + "HH", data, at)
+        group, element = _unpack(order + "HH", data, at)
         tag = group << 16 | element
         if tag in (ITEM, ITEM_END, SEQUENCE_END):
-            length = struct.unpack_from(order + "I", data, at + 4)[0]
+            length = _unpack(order + "I", data, at + 4)[0]
             at += 8
             if tag != ITEM:
                 return
@@ -39,18 +63,18 @@ def elements(data: bytes, at: int, end: int, parent: str, implicit: bool, order:
             at = stop if length != UNDEFINED else _item_end(data, at, end, implicit, order)
             continue
         if implicit:
-            vr, length, head = "UN", struct.unpack_from(order + "I", data, at + 4)[0], 8
+            vr, length, head = "UN", _unpack(order + "I", data, at + 4)[0], 8
         else:
             vr = data[at + 4 : at + 6].decode("latin-1")
             long = vr in LONG_VR
-            length, head = (struct.unpack_from(order + "I", data, at + 8)[0], 12) if long else (struct.unpack_from(order + "H", data, at + 6)[0], 8)
+            length, head = (_unpack(order + "I", data, at + 8)[0], 12) if long else (_unpack(order + "H", data, at + 6)[0], 8)
         start = at + head
         name = f"{group:04X}{element:04X}"
         nested = vr == "SQ" or length == UNDEFINED and tag != PIXELS
         stop = (_sequence_end(data, start, end, implicit, order) if nested or tag == PIXELS else end) if length == UNDEFINED else min(end, start + length)
-        raw = data[start:stop]
-        value = raw.rstrip(b"\0 ").decode("latin-1") if vr in TEXT_VR else None
         code = NUMBER_VR.get(vr)
+        raw = data[start:stop] if code or vr in TEXT_VR else b""
+        value = raw.rstrip(b"\0 ").decode("latin-1") if vr in TEXT_VR else None
         numbers = [float(x) for x in struct.unpack(f"{order}{len(raw) // struct.calcsize(code)}{code}", raw[: len(raw) // struct.calcsize(code) * struct.calcsize(code)])] if code else None
         yield parent, name, vr, value, numbers, start, stop - start
         if nested:
@@ -58,25 +82,25 @@ def elements(data: bytes, at: int, end: int, parent: str, implicit: bool, order:
         at = stop
 
 
-def _skip(data: bytes, at: int, end: int, implicit: bool, order: str) -> int:
+def _skip(data: bytes | Places, at: int, end: int, implicit: bool, order: str) -> int:
     """The place after the element at a place."""
     vr = "UN" if implicit else data[at + 4 : at + 6].decode("latin-1")
-    length, head = (struct.unpack_from(order + "I", data, at + (4 if implicit else 8))[0], 8 if implicit else 12) if implicit or vr in LONG_VR else (struct.unpack_from(order + "H", data, at + 6)[0], 8)
+    length, head = (_unpack(order + "I", data, at + (4 if implicit else 8))[0], 8 if implicit else 12) if implicit or vr in LONG_VR else (_unpack(order + "H", data, at + 6)[0], 8)
     return _sequence_end(data, at + head, end, implicit, order) if length == UNDEFINED else at + head + length
 
 
-def _item_end(data: bytes, at: int, end: int, implicit: bool, order: str) -> int:
+def _item_end(data: bytes | Places, at: int, end: int, implicit: bool, order: str) -> int:
     while at + 8 <= end:
-        group, element = struct.unpack_from(order + "HH", data, at)
+        group, element = _unpack(order + "HH", data, at)
         if group << 16 | element == ITEM_END:
             return at + 8
         at = _skip(data, at, end, implicit, order)
     return end
 
 
-def _sequence_end(data: bytes, at: int, end: int, implicit: bool, order: str) -> int:
+def _sequence_end(data: bytes | Places, at: int, end: int, implicit: bool, order: str) -> int:
     while at + 8 <= end:
-        group, element, length = struct.unpack_from(order + "HHI", data, at)
+        group, element, length = _unpack(order + "HHI", data, at)
         tag = group << 16 | element
         if tag == SEQUENCE_END:
             return at + 8
@@ -84,33 +108,92 @@ def _sequence_end(data: bytes, at: int, end: int, implicit: bool, order: str) ->
     return end
 
 
-def file_elements(data: bytes) -> list[tuple]:
+def file_elements(data: bytes | Places) -> list[tuple]:
     """The elements of a file: the meta group in explicit little-endian order, the rest as its transfer syntax says."""
     if data[128:132] != b"DICM":
         raise ValueError("not a DICOM file")
     at = 132
-    while at + 8 <= len(data) and struct.unpack_from("<H", data, at)[0] == 2:
+    while at + 8 <= len(data) and _unpack("<H", data, at)[0] == 2:
         at = _skip(data, at, len(data), False, "<")
     meta = list(elements(data, 132, at, "", False, "<"))
     syntax = next((e[3] for e in meta if e[1] == "00020010"), "")
     return meta + list(elements(data, at, len(data), "", syntax == IMPLICIT, ">" if syntax == BIG else "<"))
 
 
+def file_fragments(data: bytes | Places) -> Iterator[tuple]:
+    """(frame, part, offset, length) of the pieces of a file's pixels, in order; none without pixels.
+
+    Pixels of a stated length are frames of one size. In pixels of fragments a frame begins where the table of offsets says (the extended one before the basic one, which is the first item); without a table each fragment is a frame, if there
+    are as many, or all are one frame, if there is one; otherwise frames are null, as only the pixels themselves could tell.
+    """
+    top = {tag: row for parent, tag, *row in file_elements(data) if parent == ""}
+    if f"{PIXELS:08X}" not in top:
+        return
+    _, _, _, start, length = top[f"{PIXELS:08X}"]
+    frames = top.get("00280008", ("", "1"))[1].strip()
+    frames = max(1, int(frames)) if frames.isdigit() else 1
+    if _unpack("<I", data, start - 4)[0] != UNDEFINED:
+        yield from ((i, 0, start + i * (length // frames), length // frames) for i in range(frames))
+        return
+    items, at, end = [], start, start + length
+    while at + 8 <= end and (head := _unpack("<HHI", data, at))[1] == ITEM & 0xFFFF:
+        if at + 8 + head[2] > len(data):
+            raise ValueError("a fragment breaks off")
+        items.append((at + 8, head[2]))
+        at += 8 + head[2]
+    if not items:
+        return
+    (table, size), parts = items[0], np.array(items[1:], np.int64).reshape(-1, 2)
+    if "7FE00001" in top:
+        offsets = np.frombuffer(data[top["7FE00001"][3] : sum(top["7FE00001"][3:5])], "<u8").astype(np.int64)
+    else:
+        offsets = np.frombuffer(data[table : table + size // 4 * 4], "<u4").astype(np.int64)
+    if len(offsets):
+        of = np.searchsorted(offsets, parts[:, 0] - 8 - (table + size), side="right") - 1
+    else:
+        of = np.arange(len(parts)) if len(parts) == frames else np.zeros(len(parts), np.int64) if frames == 1 else None
+    part = 0
+    for k, (place, n) in enumerate(parts.tolist()):
+        part = part + 1 if k and (of is None or of[k] == of[k - 1]) else 0
+        yield (None if of is None else int(of[k])), part, place, n
+
+
+def _by_file(spark: SparkSession, path: str, schema: pa.Schema, sql: str, rows_of) -> DataFrame:
+    """Rows of each file, by a function of its places; a file that can't be read as it says has one row of nulls."""
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with files.opened(name) as f:
+                    try:
+                        rows = [dict(zip(names, (name, *e), strict=True)) for e in rows_of(Places(f))]
+                    except (ValueError, struct.error):
+                        rows = [dict.fromkeys(names) | {"path": name}]
+                for k in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], schema)
+
+    return files.listing(spark, path).select("path").mapInArrow(run, sql)
+
+
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """SCHEMA of all files of a path; a file that isn't DICOM, or breaks off, has one row with a null tag."""
+    """SCHEMA of all files below a path; a file that isn't DICOM, or breaks off, has one row with a null tag."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     schema = pa.schema([*[(n, pa.string()) for n in names[:5]], ("numbers", pa.list_(pa.float64())), ("offset", pa.int64()), ("length", pa.int64())])
+    return _by_file(spark, path, schema, SCHEMA, file_elements)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                try:
-                    rows = [dict(zip(names, (name, *e), strict=True)) for e in file_elements(content.as_py())]
-                except (ValueError, struct.error):
-                    rows = [dict.fromkeys(names) | {"path": name}]
-                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+def read_fragments(spark: SparkSession, path: str) -> DataFrame:
+    """path, frame, part, offset, length of the pieces of all files' pixels (see file_fragments); a file that isn't DICOM, or of which a fragment breaks off, has one row of nulls; one without pixels has none."""
+    schema = pa.schema([("path", pa.string()), *[(n, pa.int64()) for n in ("frame", "part", "offset", "length")]])
+    return _by_file(spark, path, schema, "path string, frame long, part long, offset long, length long", file_fragments)
+
+
+def read_frames(fragments: DataFrame) -> DataFrame:
+    """path, frame, n_parts, data of fragments (path, frame, part, offset, length), each read at its place and put together; a frame must fit into a task's memory."""
+    parts = files.read_at(fragments.filter("frame is not null"), F.col("offset"), F.col("length"))
+    whole = parts.groupBy("path", "frame").agg(F.array_sort(F.collect_list(F.struct("part", "bytes"))).alias("p"))
+    return whole.select("path", "frame", F.size("p").cast("long").alias("n_parts"), F.aggregate("p", F.lit(b""), lambda a, p: F.concat(a, p["bytes"])).alias("data"))
 
 
 def instances(rows: DataFrame) -> DataFrame:
@@ -144,3 +227,24 @@ def series_files(instances_: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], ["name", "content"])
 
     return instances_.select("name", "flavor", "columns", "rows", "tile", "frames", "codes").mapInArrow(run, "name string, content binary")
+
+
+def framed_files(instances_: DataFrame) -> DataFrame:
+    """name, content: a small file for each instance (name, tables, frames: an array of arrays of binary), whose frames are fragments behind a table of offsets that is basic, extended, or (anything else in tables) empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item = lambda b: struct.pack("<HHI", 0xFFFE, 0xE000, len(b)) + b
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                frames = [b"".join(item(part + bytes(len(part) % 2)) for part in frame) for frame in r["frames"]]
+                starts = [sum(map(len, frames[:i])) for i in range(len(frames))]
+                body = packed(0x00280008, "IS", str(len(frames)).encode())
+                if r["tables"] == "extended":
+                    body += packed(0x7FE00001, "OV", struct.pack(f"<{len(starts)}Q", *starts))
+                table = struct.pack(f"<{len(starts)}I", *starts) if r["tables"] == "basic" else b""
+                pixels = struct.pack("<HH", 0x7FE0, 0x0010) + b"OB" + struct.pack("<HI", 0, UNDEFINED) + item(table) + b"".join(frames) + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+                out.append(bytes(128) + b"DICM" + packed(0x00020010, "UI", b"1.2.840.10008.1.2.4.50") + body + pixels)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], ["name", "content"])
+
+    return instances_.select("name", "tables", "frames").mapInArrow(run, "name string, content binary")
