@@ -31,11 +31,11 @@ def moved(ring: Column, type_: Column, at: Column, point: Column) -> Column:
     return F.when((type_ == "rectangle") & (F.size(ring) == 4), F.transform(ring, lambda p, i: corner(i))).otherwise(rings.replaced(ring, at, point))
 
 
-def as_polygon(ring: Column, type_: Column) -> tuple[Column, Column]:
-    """Type and ring of a line of three points or more as a polygon, without a last point of over three that lies on the first; others stay."""
+def as_polygon(ring: Column, type_: Column, closing: float = 0.01) -> tuple[Column, Column]:
+    """Type and ring of a line of three points or more as a polygon, without a last point of over three that is nearer than closing to the first (0: all points stay); others stay."""
     first, last, n = F.try_element_at(ring, F.lit(1)), F.try_element_at(ring, F.lit(-1)), F.size(ring)
     can = (type_ == "line") & (n >= 3)
-    closed = can & (n > 3) & (F.hypot(first["x"] - last["x"], first["y"] - last["y"]) < 0.01)
+    closed = can & (n > 3) & (F.hypot(first["x"] - last["x"], first["y"] - last["y"]) < closing)
     return F.when(can, "polygon").otherwise(type_), F.when(closed, F.slice(ring, F.lit(1), n - 1)).otherwise(ring)
 
 
