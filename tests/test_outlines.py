@@ -26,3 +26,14 @@ def test_lines_that_end_where_they_begin(spark, tmp_path):
     ring = spark.createDataFrame([([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.001)],)], "ring array<struct<x: double, y: double>>")
     sizes = [F.size(edits.as_polygon(F.col("ring"), F.lit("line"), **more)[1]) for more in ({}, {"closing": 0.0})]
     assert tuple(ring.select(*sizes).first()) == (3, 4)
+
+
+def test_outlines_with_repeated_points_and_on_one_line(spark, tmp_path):
+    outlines = {
+        1: [(9.0, 26042.9), (6.0, 90792.46), (4.0, 54411.07), (10.0, 3221.7), (19.0, 60947.09), (38.0, 16815.57), (38.0, 16815.57)],
+        2: [(36.0, 11017.76), (36.0, 29073.37), (36.0, 59115.86), (36.0, 85445.13)],
+        3: [(7.0, 13339.65), (46.0, 1007.81), (46.0, 1007.81), (4.0, 24895.27)],
+        4: [(5.0, 5.0)] * 5,
+    }
+    want = _query(spark, tmp_path, "star_triangulation", [(a, k, 1, k, x, y) for a, ring in outlines.items() for k, (x, y) in enumerate(ring)])
+    assert {r[0]: r[1] for r in want} == {1: 5, 2: 2, 3: 2, 4: 3}

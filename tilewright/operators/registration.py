@@ -117,24 +117,32 @@ def resample(patches: DataFrame, width: int, height: int, new_width: int, new_he
 
 
 def triangles(ring: list[tuple[float, float]]) -> list[tuple[int, int, int]] | None:
-    """Corner numbers of the triangles of a simple ring, cut ear by ear; null for fewer than three points or a ring without ears."""
+    """Corner numbers of the triangles of a simple ring, cut ear by ear; null for fewer than three points or a ring without ears. Where no ear is free of other points, a point on the line of its neighbours (a repeated
+    one, too) goes first, as a triangle without area, then an ear that others only touch; so there are always two triangles less than points, of the ring's area in all."""
     n = len(ring)
     if n < 3:
         return None
     cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
     left = list(range(n)) if sum(ring[i][0] * ring[(i + 1) % n][1] - ring[i][1] * ring[(i + 1) % n][0] for i in range(n)) >= 0 else list(range(n))[::-1]
+    # products of coordinates are right to about this much
+    flat = 1e-14 * (1 + max(abs(p[0]) for p in ring)) * (1 + max(abs(p[1]) for p in ring))
+
+    def within(i: int, j: int, m: int) -> float:
+        """How far inside of a triangle another point is: negative if none is inside or on it, about 0 if one is on it."""
+        a, b, c = ring[i], ring[j], ring[m]
+        return max(min(cross(a, b, ring[p]), cross(b, c, ring[p]), cross(c, a, ring[p])) for p in left if p not in (i, j, m))
+
+    ear = lambda i, j, m: cross(ring[i], ring[j], ring[m]) > 0 and within(i, j, m) < 0
+    on_line = lambda i, j, m: abs(cross(ring[i], ring[j], ring[m])) <= flat
+    touched = lambda i, j, m: cross(ring[i], ring[j], ring[m]) > 0 and within(i, j, m) <= flat
     out = []
     while len(left) > 3:
-        for k in range(len(left)):
-            i, j, m = left[k - 1], left[k], left[(k + 1) % len(left)]
-            a, b, c = ring[i], ring[j], ring[m]
-            if cross(a, b, c) <= 0 or any(min(cross(a, b, ring[p]), cross(b, c, ring[p]), cross(c, a, ring[p])) >= 0 for p in left if p not in (i, j, m)):
-                continue
-            out.append((i, j, m))
-            del left[k]
-            break
-        else:
+        corners = [(left[k - 1], left[k], left[(k + 1) % len(left)]) for k in range(len(left))]
+        k = next((k for test in (ear, on_line, touched) for k, c in enumerate(corners) if test(*c)), None)
+        if k is None:
             return None
+        out.append(corners[k])
+        del left[k]
     return [*out, (left[0], left[1], left[2])]
 
 
