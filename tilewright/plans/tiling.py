@@ -204,9 +204,12 @@ from own where l < r and t < b group by tile_x, tile_y"""))
 def fragment_overlap(spark, d):
     """What each stored tile is put together from, with outlines' bounds as the places of camera images of 3 x 2 fragments: how many fragments, of how many cameras, the uppermost (last) one, the area that they cover, and sums of their offsets in the tile and in the fragments (in thousandths, each rounded down)."""
     box = V.vertices(spark, d).groupBy("ann_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    seen = grid.fragment_overlap(box.withColumnRenamed("ann_id", "camera"), V.tiles(spark, d).filter("level = 0"), 3, 2, 4.0, 8.0)
+    seen = grid.fragment_overlap(box.withColumnRenamed("ann_id", "camera"), None, 3, 2, 4.0, 8.0)
     total = lambda c: F.sum(F.floor(c * 1000))
-    return seen.groupBy("tile_x", "tile_y").agg(
-        F.count("*").alias("n_fragments"), F.countDistinct("camera").alias("n_cameras"), F.max("camera").alias("uppermost"), total(F.col("span_x") * F.col("span_y")).alias("area"),
+    # a camera counts with the first of its fragments on a tile: the one before it, if there is one, ends where the tile begins or earlier
+    first = lambda axis: (F.col(f"fragment_{axis}") == 0) | (F.col(f"at_{axis}") == 0)
+    sums = seen.groupBy("tile_x", "tile_y").agg(
+        F.count("*").alias("n_fragments"), F.count_if(first("x") & first("y")).alias("n_cameras"), F.max("camera").alias("uppermost"), total(F.col("span_x") * F.col("span_y")).alias("area"),
         total(F.col("at_x") + F.col("at_y")).alias("at_sum"), total(F.col("from_x") + F.col("from_y")).alias("from_sum"),
     )
+    return sums.join(V.tiles(spark, d).filter("level = 0").select("tile_x", "tile_y"), ["tile_x", "tile_y"])
