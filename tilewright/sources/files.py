@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,13 +46,27 @@ def directory_flags(files: DataFrame) -> DataFrame:
     return files.groupBy("folder").agg(F.count("*").alias("n_files"), F.bool_or(F.col("kind") == "dicom").alias("contains_dicom"), F.bool_or(F.col("kind") != "dicom").alias("contains_other"))
 
 
+#: A folder's address and the name within it; file systems and places of folders that a task has read from.
+_HEAD = re.compile(r"^(.*/)([^/]+)$", re.DOTALL)
+_SYSTEMS: dict = {}
+
+
 def opened(path: str):
     """A file of any file system that the tasks can reach, open for reads at a place."""
     from pyarrow.fs import FileSystem
 
     local = path.startswith("file:/") and not path.startswith("file://")
-    system, place = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if local else path)
-    return system.open_input_file(place)
+    head = _HEAD.match(path.replace("file:/", "file:///", 1) if local else path)
+    if head is None or "%" in path or "?" in path or "#" in path:
+        system, place = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if local else path)
+        return system.open_input_file(place)
+    folder, name = head.groups()
+    if folder not in _SYSTEMS:
+        if len(_SYSTEMS) >= 100:
+            _SYSTEMS.clear()
+        _SYSTEMS[folder] = FileSystem.from_uri(folder)
+    system, place = _SYSTEMS[folder]
+    return system.open_input_file(f"{place.rstrip('/')}/{name}")
 
 
 class Blocks:
@@ -84,14 +99,20 @@ def read_at(files: DataFrame, offset: Column, size: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, at, n in zip(*(batch.column(c).to_pylist() for c in ("path", "__at", "__n")), strict=True):
+            paths, ats, sizes = (batch.column(c).to_pylist() for c in ("path", "__at", "__n"))
+            out: list[bytes | None] = [None] * len(paths)
+            by_path: dict = {}
+            for i, path in enumerate(paths):
+                if None not in (path, ats[i], sizes[i]):
+                    by_path.setdefault(path, []).append(i)
+            for path, rows in by_path.items():  # a file is opened once for all of its places in a batch
                 try:
                     with opened(path) as f:
-                        left = max(0, min(n, f.size() - at))
-                        out.append(f.read_at(left, at) if left else b"")
-                except (OSError, TypeError):
-                    out.append(None)
+                        for i in rows:
+                            left = max(0, min(sizes[i], f.size() - ats[i]))
+                            out[i] = f.read_at(left, ats[i]) if left else b""
+                except OSError:
+                    continue
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "bytes"])
 
     return files.select(*columns, offset.cast("long").alias("__at"), size.cast("long").alias("__n")).mapInArrow(run, fields + "bytes binary")
