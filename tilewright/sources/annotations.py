@@ -5,7 +5,7 @@ A written data set is a folder of files, each of which is a whole document (a Fe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,11 @@ def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """A column of another that it uses several times: within lambdas Spark would work that one out each time."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _points(line: Column, mpp_x: float, mpp_y: float) -> Column:
     """The positions of a line in world units; those without two numbers are skipped."""
     xy = F.transform(_get(line, "$", "array<variant>"), lambda p: F.struct((_get(p, "$[0]", "double") * mpp_x).alias("x"), (_get(p, "$[1]", "double") * mpp_y).alias("y")))
@@ -30,18 +35,18 @@ def _points(line: Column, mpp_x: float, mpp_y: float) -> Column:
 
 def _parts(geometry: Column, mpp_x: float, mpp_y: float) -> Column:
     """Parts (type, ring) of a geometry that is no collection; of polygons only the outer ring counts. A last point that is the first is left out of it, and parts with too few points are."""
-    kind, many = _get(geometry, "$.type", "string"), _get(geometry, "$.coordinates", "array<variant>")
+    many = _get(geometry, "$.coordinates", "array<variant>")
     own = _get(geometry, "$.coordinates", "variant")
     lone = F.to_variant_object(F.array(own))  # a position as a line of one
     line = lambda v: _points(v, mpp_x, mpp_y)
     part = lambda name, ring: F.struct(F.lit(name).alias("type"), ring.alias("ring"))
 
-    def outline(v: Column) -> Column:
-        ring = line(_get(v, "$[0]", "variant"))
+    def opened(ring: Column) -> Column:
         n = F.size(ring)
-        return part("Polygon", F.when((n >= 2) & (F.try_element_at(ring, F.lit(1)) == F.try_element_at(ring, F.lit(-1))), F.slice(ring, F.lit(1), n - 1)).otherwise(ring))
+        return F.when((n >= 2) & (F.try_element_at(ring, F.lit(1)) == F.try_element_at(ring, F.lit(-1))), F.slice(ring, F.lit(1), n - 1)).otherwise(ring)
 
-    found = (
+    outline = lambda v: part("Polygon", _once(line(_get(v, "$[0]", "variant")), opened))
+    found = lambda kind: (
         F.when(kind == "Point", F.array(part("Point", line(lone))))
         .when(kind == "MultiPoint", F.transform(many, lambda p: part("Point", line(F.to_variant_object(F.array(p))))))
         .when(kind == "LineString", F.array(part("LineString", line(own))))
@@ -50,7 +55,7 @@ def _parts(geometry: Column, mpp_x: float, mpp_y: float) -> Column:
         .when(kind == "MultiPolygon", F.transform(many, outline))
     )
     least = lambda p: F.when(p["type"] == "Polygon", 3).when(p["type"] == "LineString", 2).otherwise(1)
-    return F.filter(F.coalesce(found, F.array().cast(f"array<struct<type: string, ring: {RING}>>")), lambda p: F.size(p["ring"]) >= least(p))
+    return F.filter(F.coalesce(_once(_get(geometry, "$.type", "string"), found), F.array().cast(f"array<struct<type: string, ring: {RING}>>")), lambda p: F.size(p["ring"]) >= least(p))
 
 
 def _colour(value: Column) -> Column:
