@@ -11,7 +11,7 @@ from tilewright.functions import text as T
 from tilewright.operators import slides as S
 from tilewright.plans import views as V
 from tilewright.plans.registry import query
-from tilewright.session import shared_dir
+from tilewright.session import shared_dir, spread
 
 _IFD = """ifd as (select ann_id as slide, (ord - 1)::int as ifd, n, case when ann_id % 2 = 0 then (ceil(w0 / pow(2, ord - 1) / 512) * 512)::bigint else ceil(w0 / pow(2, ord - 1))::bigint end as width,
 case when ann_id % 2 = 0 then (ceil(h0 / pow(2, ord - 1) / 512) * 512)::bigint else ceil(h0 / pow(2, ord - 1))::bigint end as height, case when n >= 3 and ord = n then 0 else 512 end as tile,
@@ -148,10 +148,12 @@ def xml_headers(spark, d):
     attribute = lambda name, value: F.concat(F.lit(f'<Attribute Name="{name}" Group="0x0028">'), value, F.lit("</Attribute>"))
     array = F.concat(*[F.concat(F.lit("<Array>"), F.repeat(F.lit("<DataObject/>"), (F.col("p_size") % 7).cast("int")), F.lit("</Array>"))])
     xml = F.concat(F.lit('<DataObject ObjectType="Import">'), attribute("PIXEL_SPACING", F.concat(F.lit("&quot;"), spacing, F.lit("&quot; &quot;"), spacing, F.lit("&quot;"))), attribute("TITLE", title), attribute("LEVELS", array), F.lit("</DataObject>"))
-    get = lambda name: F.xpath_string(F.col("xml"), F.lit(f'/DataObject/Attribute[@Name="{name}"]'))
-    x = V.table(spark, d, "part").select("p_partkey", xml.alias("xml"))
-    mpp = F.regexp_extract(get("PIXEL_SPACING"), '"([^"]+)"', 1).cast("double") * 1000
-    return x.select("p_partkey", mpp.alias("mpp"), get("TITLE").alias("title"), F.xpath_int("xml", F.lit('count(/DataObject/Attribute[@Name="LEVELS"]/Array/DataObject)')).alias("levels"))
+    # the document is parsed once for all three; the character between them can't stand in XML
+    attribute_at = lambda name: f'/DataObject/Attribute[@Name="{name}"]'
+    found = F.xpath_string("xml", F.lit(f"concat({attribute_at('PIXEL_SPACING')}, '\x01', {attribute_at('TITLE')}, '\x01', count({attribute_at('LEVELS')}/Array/DataObject))"))
+    x = spread(V.table(spark, d, "part")).select("p_partkey", xml.alias("xml")).select("p_partkey", F.split(found, "\x01").alias("a"))
+    mpp = F.regexp_extract(F.col("a")[0], '"([^"]+)"', 1).cast("double") * 1000
+    return x.select("p_partkey", mpp.alias("mpp"), F.col("a")[1].alias("title"), F.col("a")[2].cast("int").alias("levels"))
 
 
 @query("select (p_partkey // 65536) % 65536 as grp, p_partkey % 65536 as element, p_name as name, replace(p_name, ' ', '') as keyword, ['US', 'LO', 'SQ'][p_size % 3 + 1] as vr from part")
@@ -163,7 +165,7 @@ def dictionary_table(spark, d):
     tag = F.format_string("(%04X,%04X)", F.floor(F.col("p_partkey") / 65536) % 65536, F.col("p_partkey") % 65536)
     vr = F.element_at(F.array(F.lit("US"), F.lit("LO"), F.lit("SQ")), (F.col("p_size") % 3 + 1).cast("int"))
     cells = F.array(tag, F.col("p_name"), F.regexp_replace("p_name", " ", ""), vr)
-    V.table(spark, d, "part").select(F.transform(cells, lambda c: F.struct(c.alias("para"))).alias("td")).write.format("xml").option("rootTag", "tbody").option("rowTag", "tr").save(path)
+    spread(V.table(spark, d, "part")).select(F.transform(cells, lambda c: F.struct(c.alias("para"))).alias("td")).write.format("xml").option("rootTag", "tbody").option("rowTag", "tr").save(path)
     rows = spark.read.format("xml").option("rowTag", "tr").schema("td array<struct<para: string>>").load(path)
     cell = lambda k: F.col("td")[k]["para"]
     part = lambda k: F.conv(F.regexp_extract(cell(0), r"^\(([0-9A-Fa-f]{4}),([0-9A-Fa-f]{4})\)$", k), 16, 10).cast("long")
