@@ -1,25 +1,26 @@
 """A quality classifier by Bradley-Terry pairwise ranking.
 
 A document's strength is a weighted sum of features of its whole text. The weights are learned from preference pairs (a document of label 1 over one of
-label 0) by logistic loss on the difference of their features. A document is accepted if its strength is at least a quantile of the strengths of the labelled sample (each third of it by weights
+label 0) by logistic loss on the difference of their features. A document is accepted if its strength is at least a quantile of the strengths of the labelled rows (each third of them by weights
 learned from the others): the share of label 0 in it. The score is a logistic curve of the strength, with its slope fitted to the labels, that passes 0.7 at that threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm import labelled
 from tilewright.llm.shingles import words
 from tilewright.llm.text import BYTE_HASH, U64, sliced, span_hash, utf8
-from tilewright.session import text_batches
+from tilewright.session import discard, text_batches
 
-#: Labelled documents that are learned from (a sample of the labelled rows by a hash of their id; about so many, and all if there are fewer).
+#: Labelled documents up to which the fit is made on the driver; with more, about so many give the weights that the fit over all of them starts from.
 TRAIN_ROWS = 12_000
 #: Preference pairs in which each document of the rarer label is, and the strength of the penalty.
 PAIRS_EACH, RIDGE = 6, 1e-2
@@ -140,7 +141,7 @@ def _weights(z: np.ndarray, label: np.ndarray, pairs_each: int, ridge: float) ->
 
 
 def _left_out(z: np.ndarray, label: np.ndarray, pairs_each: int, ridge: float, own: np.ndarray) -> np.ndarray:
-    """Strengths of the sample by weights that were learned without the row's third of it, as new documents have them; the own ones where a label has too few rows for that."""
+    """Strengths of the rows by weights that were learned without the row's third of them, as new documents have them; the own ones where a label has too few rows for that."""
     fold = np.empty(len(label), np.int64)
     for k in (0, 1):
         rows = np.flatnonzero(label == k)
@@ -161,20 +162,94 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
-    """Learns from labels (doc_id, quality) and docs (doc_id, text). Labels other than 0 and 1, null ids, and ids of both labels aren't used; repeated rows count once.
+    """Learns from all labels (doc_id, quality) and docs (doc_id, text). Labels other than 0 and 1, null ids, and ids of both labels aren't used; repeated rows count once.
 
-    The sample is bounded by train_rows (in the mean), so it is broadcast to find its texts, and the features of one text for each id come to the driver.
+    Up to train_rows labelled rows are broadcast to find their texts, and the features of one text for each id come to the driver; with more, see fit_blocks().
     """
-    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most")
-    n = known.count()
-    if n > train_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 20)) < int((1 << 20) * train_rows / n))
+    known = labelled.known_labels(labels)
+    sizes = dict(map(tuple, known.groupBy("quality").count().collect()))
+    if sum(sizes.values()) > train_rows:
+        if len(sizes) < 2:
+            return fit(np.zeros((0, FEATURES)), np.zeros(0))
+        table = labelled.blocks(docs, known, sizes, features)
+        model = fit_blocks(table, train_rows)
+        discard(table)
+        return model
     rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_sample_features, "doc_id long, quality int, x array<double>")
     table = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("s")).select("doc_id", "s.quality", "s.x").orderBy("doc_id").toArrow()
     x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     return fit(x, table.column("quality").to_numpy())
 
 
+def fit_blocks(table: DataFrame, start_rows: int, pairs_each: int = PAIRS_EACH, ridge: float = RIDGE) -> QualityModel:
+    """What fit() does, over rows of any number in blocks (labelled.blocks): pairs are made within blocks, each row is in some, and losses are summed over all blocks.
+
+    The first blocks give the weights to start from. The threshold is the exact quantile of all rows' strengths.
+    """
+    x, label, _ = labelled.first_rows(table, start_rows)
+    n_rows, *sizes = (int(v) for v in labelled.over_blocks(table, lambda x, label, fold, own: np.array([own.sum(), *np.bincount(label[own], minlength=2)])))
+    if not min(sizes):  # a label whose texts aren't there
+        return fit(np.zeros((0, FEATURES)), np.zeros(0))
+    mean, scale = labelled.moments(table, x.mean(axis=0))
+    scale = np.maximum(scale, 1e-6)
+    model = QualityModel(mean, scale, np.zeros(len(mean)), 0.0, 1.0)
+    folds = labelled.FOLDS if min(sizes) >= FEWEST_FOLDED else 0
+
+    def value(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def work(x: np.ndarray, label: np.ndarray, fold: np.ndarray, own: np.ndarray) -> np.ndarray:
+            z = np.clip((x - mean) / scale, -8, 8)
+            s, out, pull = z @ points.T, np.zeros((len(points), 2 + z.shape[1])), np.zeros((len(z), len(points)))
+            for k in range(len(points)):  # the first with all rows, the others without a fold
+                seen = np.flatnonzero(fold != k - 1)
+                if len(np.unique(label[seen])) < 2:
+                    continue
+                better, worse = (seen[rows] for rows in preferences(label[seen], pairs_each))
+                d = s[better, k] - s[worse, k]
+                p = 1 / (1 + np.exp(np.clip(d, -30, 30)))
+                pull[:, k] = np.bincount(worse, p, len(z)) - np.bincount(better, p, len(z))
+                out[k, :2] = len(d), np.logaddexp(0, -d).sum()
+            out[:, 2:] = pull.T @ z
+            return out
+
+        total = labelled.over_blocks(table, work).reshape(len(points), -1)
+        n = np.maximum(total[:, :1], 1)
+        return total[:, 1] / n[:, 0] + ridge / 2 * (points**2).sum(axis=1), total[:, 2:] / n + ridge * points
+
+    z = np.clip((x - mean) / scale, -8, 8).astype(np.float32)
+    w, curve = np.zeros(len(mean)), np.eye(len(mean))
+    if len(np.unique(label)) == 2:
+        w = _weights(z, label, pairs_each, ridge)
+        better, worse = preferences(label, pairs_each)
+        diff = (z[better] - z[worse]).astype(np.float64)
+        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
+        curve = (diff * (p * (1 - p))[:, None]).T @ diff / len(p) + ridge * np.eye(len(w))
+    weights = labelled.minimise(value, np.tile(w, (1 + folds, 1)), curve)
+    model.weights = weights[0]
+
+    def left_out(x: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        return (np.clip((x - mean) / scale, -8, 8) * (weights[1 + fold] if folds else weights[:1])).sum(axis=1)
+
+    found = labelled.margins(table, left_out)
+    model.threshold = sum(labelled.at_ranks(found, [sizes[0] - 1, sizes[0]])) / 2  # the quantile of the share of label 0
+    slopes = 2.0 ** np.arange(-6, 7)
+    losses = labelled.over_margins(found, lambda s, label: _slope_losses(model, s, label, slopes)) / n_rows
+    discard(found)
+    best = np.inf
+    for slope, loss in zip(slopes.tolist(), losses.tolist(), strict=True):
+        if loss < best - 1e-4:
+            best, model.slope = loss, slope
+    return model
+
+
+def _slope_losses(model: QualityModel, s: np.ndarray, label: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+    """For each slope the sum of the log losses of strengths."""
+    out = np.zeros(len(slopes))
+    for k, slope in enumerate(slopes):
+        p = np.clip(replace(model, slope=float(slope)).scores(s), 1e-9, 1 - 1e-9)
+        out[k] = -np.where(label == 1, np.log(p), np.log(1 - p)).sum()
+    return out
+
+
 def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: the kept columns (doc_id), score (0 to 1) and predicted (1 if score >= 0.7, else 0). Null and empty texts are scored alike. No shuffle."""
     keep = ["doc_id"] if keep is None else keep
