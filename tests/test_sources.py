@@ -138,3 +138,26 @@ def test_files_by_their_first_bytes(spark, tmp_path):
         assert small(95, 60) == bytes(33) + b"DICM" + bytes(23) and small(1130, 10) == bytes(2) and small(120, 13) == bytes(8) + b"DICM" + bytes(1)
     flags = files.directory_flags(read.withColumn("kind", files.kind(F.col("path"), F.col("bytes"))))
     assert sorted((r["folder"].rpartition("/")[2], r["n_files"], r["contains_dicom"], r["contains_other"]) for r in flags.collect()) == [("deep", 1, False, True), ("in", 2, True, True)]
+
+
+def test_sections_of_several_files(spark, tmp_path, monkeypatch):
+    """A long section goes on in further files; a comment that ends one belongs to the option that begins the next."""
+    monkeypatch.setattr(ini, "SPREAD_ROWS", 7)
+    lines = [("long", 2 * k + c, f"k{k}=v{k}" if c else f"; {k}") for k in range(60) for c in (0, 1)] + [("short", 0, "a=b"), ("short", None, "z=1"), ("short", None, "y=2"), (None, 5, "n=0"), (None, 4, "; none")]
+    ini.write_options(spark.createDataFrame(lines, "section string, place long, line string"), str(tmp_path / "o"))
+    files = sorted((tmp_path / "o" / "section=long").glob("part-*"))
+    text = "".join(f.read_text() for f in files)
+    assert text == "[long]\n" + "".join(f"; {k}\nk{k}=v{k}\n" for k in range(60))
+    assert len(files) > 5 and all(f.read_text().count("\n") < 40 for f in files)
+    assert any(f.read_text().splitlines()[0].startswith("k") for f in files)
+    got = sorted(map(tuple, ini.read_with_comments(spark, str(tmp_path / "o")).collect()), key=str)
+    want = [("long", f"k{k}", f"v{k}", f"; {k}") for k in range(60)] + [("short", "a", "b", None), ("short", "y", "2", None), ("short", "z", "1", None), (None, "n", "0", "; none")]
+    assert got == sorted(want, key=str)
+
+
+def test_lines_without_a_key_stay_out_of_the_join(spark):
+    """Comments, of which a section has many, have no key to be joined by: they stay as they are."""
+    lines = spark.createDataFrame([("s", 0, "; c"), ("s", 1, "a=1"), ("s", 2, ""), ("s", 3, None)], "section string, place long, line string")
+    registered = spark.createDataFrame([("s", "a", "2"), ("s", "", "odd")], "section string, key string, value string")
+    got = {r["place"]: r["line"] for r in ini.rewritten(lines, registered).collect()}
+    assert got == {0: "; c", 1: "a=2", 2: "", 3: None, None: "=odd"}
