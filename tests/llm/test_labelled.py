@@ -78,3 +78,15 @@ def test_places_in_the_order(spark):
     found = spark.createDataFrame([(0, float(v)) for v in values], "quality int, m double")
     ranks = [0, 7, 150, 151, 303, len(values) - 1]
     assert labelled.at_ranks(found, ranks) == np.sort(values)[ranks].tolist()
+
+
+def test_rules_are_learned_from_all_rows(spark, monkeypatch):
+    """Rows in blocks give the weights that one array of all of them gives, and about the same calibration."""
+    from tilewright.llm import quality_rules
+
+    monkeypatch.setattr(labelled, "BLOCK_ROWS", 200)
+    docs, labels = corpus(spark, 1200)
+    whole, some = quality_rules.train(docs, labels, 1200), quality_rules.train(docs, labels, 900)
+    assert np.abs(whole.weights).max() > 0.01
+    assert some.mean == pytest.approx(whole.mean, abs=1e-6) and some.weights == pytest.approx(whole.weights, abs=2e-3)
+    assert some.slope == pytest.approx(whole.slope, rel=0.1) and some.shift == pytest.approx(whole.shift, abs=0.2)

@@ -18,17 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm import labelled
 from tilewright.llm.shingles import words
 from tilewright.llm.text import BYTE_HASH, U64, mix, sliced, span_hash, utf8
-from tilewright.session import text_batches
+from tilewright.session import discard, text_batches
 
 #: Texts with fewer words fail, and those with a greater percentage of their words in repeated windows of three words.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
 #: Probability from which on a document that passes the counts is kept.
 KEEP_FROM = 0.5
-#: Labelled documents that are learned from (a sample by a hash of their id; about so many, and all if there are fewer).
+#: Labelled documents up to which the fit is made on the driver; with more, about so many give the weights that the fit over all of them starts from.
 TRAIN_ROWS = 12_000
-#: Bits of the bucket of a run of words, and of characters; strength of the penalty; parts of the sample that are left out in turn.
+#: Bits of the bucket of a run of words, and of characters; strength of the penalty; parts of the rows that are left out in turn.
 BITS, RIDGE, FOLDS = 9, 1e-2, 3
 FEATURES = 2 << BITS
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -158,9 +159,9 @@ def fit(x: np.ndarray, label: np.ndarray, ridge: float = RIDGE, folds: int = FOL
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> RuleModel:
-    """Learns from labels (doc_id, quality) and docs (doc_id, text). Labels other than 0 and 1, null ids, and ids of both labels aren't used; repeated rows count once.
+    """Learns from all labels (doc_id, quality) and docs (doc_id, text). Labels other than 0 and 1, null ids, and ids of both labels aren't used; repeated rows count once.
 
-    The sample is bounded by train_rows (in the mean), so it is broadcast to find its texts, and the features of one text for each id come to the driver (4 KB a row).
+    Up to train_rows labelled rows are broadcast to find their texts, and the features of one text for each id come to the driver (4 KB a row); with more, see fit_blocks().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,16 +169,84 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> R
             _, x = measure(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most")
-    n = known.count()
-    if n > train_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(1 << 20)) < int((1 << 20) * train_rows / n))
+    known = labelled.known_labels(labels)
+    sizes = dict(map(tuple, known.groupBy("quality").count().collect()))
+    if sum(sizes.values()) > train_rows:
+        if len(sizes) < 2:
+            return fit(np.zeros((0, FEATURES)), np.zeros(0))
+        table = labelled.blocks(docs, known, sizes, lambda texts: measure(texts)[1])
+        model = fit_blocks(table, train_rows)
+        discard(table)
+        return model
     rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(run, "doc_id long, quality int, x binary")
     table = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("s")).select("doc_id", "s.quality", "s.x").orderBy("doc_id").toArrow()
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
     return fit(x, table.column("quality").to_numpy())
 
 
+def _curve(z: np.ndarray, w: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """The curvature of the mean logistic loss of rows (with a last one for the bias) at w."""
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return (z * (p * (1 - p))[:, None]).T @ z / len(z) + np.diag(penalty)
+
+
+def _losses(z: np.ndarray, label: np.ndarray, points: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each point (a row) the weight of the rows, and the sums of their logistic losses and slopes; weight has a column for each point."""
+    margin = z @ points.T
+    loss = np.logaddexp(0, -margin * np.where(label == 1, 1, -1)[:, None])
+    pull = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label[:, None]) * weight
+    return np.concatenate((weight.sum(axis=0)[:, None], (loss * weight).sum(axis=0)[:, None], pull.T @ z), axis=1)
+
+
+def _mean(total: np.ndarray, points: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and slopes of the mean losses, with the penalty, of sums of _losses()."""
+    total = total.reshape(len(points), -1)
+    n = np.maximum(total[:, :1], 1)
+    return total[:, 1] / n[:, 0] + (penalty * points**2).sum(axis=1) / 2, total[:, 2:] / n + penalty * points
+
+
+def fit_blocks(table: DataFrame, start_rows: int, ridge: float = RIDGE) -> RuleModel:
+    """What fit() does, over rows of any number in blocks (labelled.blocks): losses are summed over all blocks. The first blocks give the weights to start from."""
+    model = RuleModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 1.0, 0.0)
+    x, label, _ = labelled.first_rows(table, start_rows)
+    sizes = labelled.over_blocks(table, lambda x, label, fold, own: np.bincount(label[own], minlength=2))
+    if not sizes.min():  # a label whose texts aren't there
+        return model
+    mean, scale = labelled.moments(table, x.mean(axis=0))
+    model.mean, model.scale = mean, scale = mean, np.maximum(scale, 1e-3)
+    folds = labelled.FOLDS if sizes.min() >= 20 * labelled.FOLDS else 0
+    penalty = np.append(np.full(FEATURES, ridge), 1e-6)
+
+    def biased(x: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))), axis=1)
+
+    def value(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # the first with all rows, the others without a fold
+        work = lambda x, label, fold, own: _losses(biased(x[own]), label[own], points, (fold[own][:, None] != np.arange(len(points)) - 1).astype(float))
+        return _mean(labelled.over_blocks(table, work), points, penalty)
+
+    z, w = biased(x), np.zeros(FEATURES + 1)
+    if len(np.unique(label)) == 2:
+        w = _logistic(z[:, :-1].astype(np.float32), label, ridge)
+    weights = labelled.minimise(value, np.tile(w, (1 + folds, 1)), _curve(z, w, penalty), 1e-4)  # the losses then agree to some 1e-7
+    model.weights, model.bias = weights[0, :-1], float(weights[0, -1])
+    found = labelled.margins(table, lambda x, fold: (biased(x) * (weights[1 + fold] if folds else weights[:1])).sum(axis=1))
+    n, total, squares = labelled.over_margins(found, lambda m, label: np.array([len(m), m.sum(), (m * m).sum()]))
+    spread = max(float(np.sqrt(max(squares / n - (total / n) ** 2, 0))), 1e-9)
+    light = np.array([1e-4, 1e-6])
+    line = lambda m: np.stack((m / spread, np.ones(len(m))), axis=1)
+
+    def calibration(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _mean(labelled.over_margins(found, lambda m, label: _losses(line(m), label, points, np.ones((len(m), len(points))))), points, light)
+
+    own = line(z @ weights[0])
+    start = _logistic(own[:, :1], label, 1e-4) if len(np.unique(label)) == 2 else np.zeros(2)
+    slope, shift = labelled.minimise(calibration, start[None], _curve(own, start, light))[0]
+    model.slope, model.shift = float(slope) / spread, float(shift)
+    discard(found)
+    return model
+
+
 def apply_rules(docs: DataFrame, model: RuleModel, keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: the kept columns (doc_id), the counts, base_failed, probability and kept. No shuffle."""
     keep = ["doc_id"] if keep is None else keep
