@@ -2,6 +2,11 @@
 
 import struct
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tilewright.plans import formats
 from tilewright.sources import dicom, files
 
 
@@ -66,3 +71,58 @@ def test_files_that_break_off(spark, tmp_path):
     rows = dicom.read_fragments(spark, str(tmp_path))
     assert sorted((r["path"][-1], r["frame"]) for r in rows.collect()) == [("a", 0), ("b", None), ("c", None)]
     assert [(r["frame"], r["n_parts"], bytes(r["data"])) for r in dicom.read_frames(rows).collect()] == [(0, 1, b"abcd")]
+
+
+@pytest.mark.parametrize("limits", [{}, {"SMALL": 0, "HELD_BYTES": 5}, {"HELD_FRAMES": 2}])
+def test_whole_frames_without_a_shuffle(spark, tmp_path, monkeypatch, limits):
+    """Files of every kind of table, large and small, broken and without frames: as fragments that are read and put together, in any size of what is held."""
+    for name, value in limits.items():
+        monkeypatch.setattr(dicom, name, value)
+    pixels = b"".join(map(item, (b"aa", b"bbbb", b"cc", b"dddddd")))
+    basic = body(HEAD + item(struct.pack("<3I", 0, 10, 32)) + pixels + END)
+    contents = {"a": basic, "b": b"no", "c": basic[:-10], "d": basic[:150], "e": body(b""), "f": body(HEAD + item(b"") + END), "g": body(HEAD + item(b"") + pixels + END), "h": body(HEAD + item(b"") + pixels + END, b"1")}
+    contents |= {"i": body(HEAD + item(b"") + pixels + END, b"4"), "j": body(dicom.packed(0x7FE00010, "OB", b"abcdef")), "k": body(HEAD + item(b"") + pixels + END, table=dicom.packed(0x7FE00001, "OV", struct.pack("<3Q", 0, 10, 32)))}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    want = sorted(map(tuple, dicom.read_frames(dicom.read_fragments(spark, str(tmp_path))).collect()))
+    got = dicom.whole_frames(files.listing(spark, str(tmp_path)), ["path"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want and {r[0][-1] for r in want} == set("ahijk") and len(want) == 3 + 1 + 4 + 3 + 3
+    named = files.listing(spark, str(tmp_path)).filter("name = 'k'").select("path", "name", "length")
+    assert sorted((r["name"], r["length"], r["frame"], bytes(r["data"])) for r in dicom.whole_frames(named, ["name", "length"]).collect()) == [("k", len(contents["k"]), i, d) for i, d in enumerate((b"aa", b"bbbbcc", b"dddddd"))]
+
+
+def test_files_are_made_one_by_one():
+    """A file is made of rows of several batches, and given out before rows of the next but one are taken."""
+    frames = [("x", "basic", [b"a"]), ("x", "basic", [b"bb", b"ccc"]), ("x", "basic", [b""]), ("y", "extended", [b"dd", b"e"]), ("y", "extended", [b"ffff"]), ("z", None, [b"g"]), ("z", None, [b"hh"])]
+    taken = []
+
+    def batches():
+        for k in range(0, len(frames), 2):
+            taken.append(k)
+            yield pa.record_batch({"name": [f[0] for f in frames[k : k + 2]], "tables": pa.array([f[1] for f in frames[k : k + 2]], pa.string()), "parts": pa.array([f[2] for f in frames[k : k + 2]], pa.list_(pa.binary()))})
+
+    made = dicom.framed(batches())
+    name, x = next(made)
+    assert name == "x" and taken == [0, 2]
+    found = lambda data: [(frame, part, data[at : at + n]) for frame, part, at, n in dicom.file_fragments(data)]
+    assert found(x) == [(0, 0, b"a\0"), (1, 0, b"bb"), (1, 1, b"ccc\0"), (2, 0, b"")]
+    assert [(name, found(data)) for name, data in made] == [("y", [(0, 0, b"dd"), (0, 1, b"e\0"), (1, 0, b"ffff")]), ("z", [(0, 0, b"g\0"), (1, 0, b"hh")])]
+
+
+def test_frames_of_the_query_are_not_collected(spark):
+    """No file's frames are one row, and the bytes of frames are not shuffled."""
+    plan = formats.dicom_frames(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "collect_list" not in plan
+
+
+def test_pieces_go_on_in_parts(spark, tmp_path, monkeypatch):
+    """Places of several files, some missing, in batches of a few bytes."""
+    monkeypatch.setattr(files, "READ_BYTES", 7)
+    for name in ("a", "b"):
+        (tmp_path / name).write_bytes(name.encode() * 40)
+    rows = [(f"file:{tmp_path}/{n}", k) for k in range(9) for n in ("a", "gone", "b")] + [(None, 3), (f"file:{tmp_path}/a", None)]
+    at = spark.createDataFrame(rows, "path string, k long").coalesce(1)
+    got = files.read_at(at, F.col("k") * 4, F.lit(5))
+    seen = sorted(((r["path"] or "-")[-1], -1 if r["k"] is None else r["k"], b"" if r["bytes"] is None else bytes(r["bytes"])) for r in got.collect())
+    assert seen == sorted([("-", 3, b""), ("a", -1, b""), *(("e", k, b"") for k in range(9)), *((n, k, n.encode() * min(5, 40 - 4 * k)) for n in "ab" for k in range(9))])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.operators import rings
 from tilewright.plans import views as V
 from tilewright.plans.registry import query
-from tilewright.session import shared_dir
+from tilewright.session import shared_dir, spread
 from tilewright.sources import annotations as A
 from tilewright.sources import dicom, files, ini, tiff
 from tilewright.streaming import requests as S
@@ -217,17 +218,14 @@ def dicom_nested_elements(spark, d):
 select k::bigint as k, frame::bigint as frame, case when k % 3 < 2 and frame % 2 = 1 and len(text) >= 4 then 2 else 1 end::bigint as n_parts, text from f""")
 def dicom_frames(spark, d):
     """Frames of files of fragments, found by basic and extended tables of offsets or by their number, read at their places and put together."""
-    line = V.table(spark, d, "lineitem").selectExpr("l_orderkey div 64 as k", "struct(l_orderkey, l_linenumber, l_partkey % 10 as digit, l_quantity) as f")
-    frames = line.groupBy("k").agg(F.array_sort(F.collect_list("f")).alias("f"))  # at most 64 orders
-
-    def parts(f, i):
-        text = F.repeat(f["digit"].cast("string"), f["l_quantity"].cast("int"))
-        cut = (F.floor(F.length(text) / 4) * 2).cast("int")
-        two = F.array(F.substring(text, F.lit(1), cut).cast("binary"), F.substring(text, cut + 1, F.length(text)).cast("binary"))
-        return F.when((F.col("k") % 3 < 2) & (i % 2 == 1) & (F.length(text) >= 4), two).otherwise(F.array(text.cast("binary")))
-
-    path = _folder(spark, "frames")
+    line = V.table(spark, d, "lineitem").selectExpr("l_orderkey div 64 as k", "l_orderkey", "l_linenumber", "l_partkey % 10 as digit", "l_quantity")
+    frame = F.row_number().over(W.partitionBy("k").orderBy("l_orderkey", "l_linenumber", "digit", "l_quantity")) - 1
+    text, cut = F.col("text"), (F.floor(F.length("text") / 4) * 2).cast("int")
+    two = F.array(F.substring(text, F.lit(1), cut).cast("binary"), F.substring(text, cut + 1, F.length(text)).cast("binary"))
+    parts = F.when((F.col("k") % 3 < 2) & (F.col("frame") % 2 == 1) & (F.length(text) >= 4), two).otherwise(F.array(text.cast("binary")))
     tables = F.element_at(F.array(F.lit("basic"), F.lit("extended"), F.lit("none")), (F.col("k") % 3 + 1).cast("int"))
-    files.write_all(dicom.framed_files(frames.select(F.concat(F.lit("f"), F.col("k").cast("string"), F.lit(".dcm")).alias("name"), tables.alias("tables"), F.transform("f", parts).alias("frames"))), path)
-    found = dicom.read_frames(dicom.read_fragments(spark, path))
-    return found.select(_number().alias("k"), "frame", "n_parts", F.rtrim(F.col("data").cast("string"), F.lit("\0")).alias("text"))
+    # the rows of a file follow each other in a task
+    rows = line.select("k", frame.alias("frame"), F.repeat(F.col("digit").cast("string"), F.col("l_quantity").cast("int")).alias("text")).select(F.concat(F.lit("f"), F.col("k").cast("string"), F.lit(".dcm")).alias("name"), tables.alias("tables"), parts.alias("parts"))
+    made = files.write_made(rows, dicom.framed, _folder(spark, "frames"))
+    found = dicom.whole_frames(spread(made.select("path", _number().alias("k")), 500), ["k"])
+    return found.select("k", "frame", "n_parts", F.rtrim(F.col("data").cast("string"), F.lit("\0")).alias("text"))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import text as T
+from tilewright.session import written
 
+#: Bytes that are read at places before they go on to Spark.
+READ_BYTES = 1 << 24
 #: Bytes of a file that are read to tell its kind.
 HEADER = 256
 
@@ -98,38 +102,69 @@ def read_at(files: DataFrame, offset: Column, size: Column) -> DataFrame:
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in files.select(*columns).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(batch: pa.RecordBatch, own: list[int], out: list[bytes | None]) -> pa.RecordBatch:
+            some = batch.take(pa.array(own, pa.int64()))
+            return pa.RecordBatch.from_arrays([*(some.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "bytes"])
+
         for batch in batches:
             paths, ats, sizes = (batch.column(c).to_pylist() for c in ("path", "__at", "__n"))
-            out: list[bytes | None] = [None] * len(paths)
-            by_path: dict = {}
+            own: list[int] = []
+            out: list[bytes | None] = []
+            held, by_path = 0, {}
             for i, path in enumerate(paths):
-                if None not in (path, ats[i], sizes[i]):
-                    by_path.setdefault(path, []).append(i)
+                by_path.setdefault(None if None in (path, ats[i], sizes[i]) else path, deque()).append(i)
             for path, rows in by_path.items():  # a file is opened once for all of its places in a batch
                 try:
-                    with opened(path) as f:
-                        for i in rows:
-                            left = max(0, min(sizes[i], f.size() - ats[i]))
-                            out[i] = f.read_at(left, ats[i]) if left else b""
+                    if path is not None:
+                        with opened(path) as f:
+                            while rows:
+                                left = max(0, min(sizes[rows[0]], f.size() - ats[rows[0]]))
+                                out.append(f.read_at(left, ats[rows[0]]) if left else b"")
+                                own.append(rows.popleft())
+                                held += left
+                                if held >= READ_BYTES:
+                                    yield rows_of(batch, own, out)
+                                    own, out, held = [], [], 0
                 except OSError:
-                    continue
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "bytes"])
+                    pass
+                own.extend(rows)
+                out.extend([None] * len(rows))
+            if own:
+                yield rows_of(batch, own, out)
 
     return files.select(*columns, offset.cast("long").alias("__at"), size.cast("long").alias("__n")).mapInArrow(run, fields + "bytes binary")
 
 
-def write_all(contents: DataFrame, folder: str) -> int:
-    """Writes each row (name, content) as a file of a folder that all tasks share; how many. A task that runs again writes the same files."""
-
+def _writer(made: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, bytes]]], folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
         system, place = FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
         system.create_dir(place, recursive=True)
+        out = []
+        for name, content in made(batches):
+            with system.open_output_stream(f"{place}/{name}") as f:
+                f.write(content)
+            out.append((f"{folder}/{name}", len(content)))
+            if len(out) == 1000:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out, strict=True))), ["path", "length"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out, strict=True))), ["path", "length"])
+
+    return run
+
+
+def write_all(contents: DataFrame, folder: str) -> int:
+    """Writes each row (name, content) as a file of a folder that all tasks share; how many. A task that runs again writes the same files."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
         for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with system.open_output_stream(f"{place}/{name}") as f:
-                    f.write(content)
-            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+            yield from zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True)
+
+    return contents.select("name", "content").mapInArrow(_writer(rows, folder), "path string, length long").count()
+
 
-    return contents.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def write_made(rows: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, bytes]]], folder: str) -> DataFrame:
+    """path, length of the files of a folder that all tasks share, which tasks write one by one as they make them (name, content) of their rows. Files that are as many as these needn't be listed by the driver."""
+    return written(rows.mapInArrow(_writer(made, folder), "path string, length long"), "files")
